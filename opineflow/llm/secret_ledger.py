@@ -39,7 +39,7 @@ ADDED_RULES = (
     Rule("forge", "gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES_VERSION = 2
-_SPAN = "struct<start:bigint,end:bigint,rank:int,kind:string>"
+_SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -53,7 +53,7 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
     step = lambda acc, x: F.struct(
         (acc["at"] + x["gap"] + x["size"]).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind")))).alias("out"),
+        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + x["gap"] + x["size"]).alias("end"), F.lit(rule.kind).alias("kind")))).alias("out"),
     )
     spans = F.aggregate(sizes, zero, step, lambda acc: acc["out"])
     enough = F.zip_with(spans, values, lambda s, v: F.when(F.char_length(v) >= rule.least, s))
@@ -116,7 +116,7 @@ def document_secrets(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + ADDED
     findings, _ = scan_incremental(docs.select("text"), rules=rules)
     base = len(BASE_RULES)
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{rule.kind}") for k, rule in enumerate(BASE_RULES)]
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.rank = {k})) as bigint)").alias(f"n_{rule.kind}") for k, rule in enumerate(BASE_RULES)]
     findings = findings.select("blob_id", F.struct(*counts, listed(F.filter("spans", lambda s: s["rank"] < base)).alias("base"), listed(F.col("spans")).alias("spans")).alias("spans"))
     out = findings_by_path(docs.select("doc_id", key128(F.col("text")).alias("__blob")), findings)
     return out.select(
