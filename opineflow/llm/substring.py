@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, release
 from .components import components
 from .shingles import SHINGLE, mix, shingle_hashes, words_of
 
@@ -104,6 +104,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     pairs = materialize(pairs.where("uid != first").distinct(), "piece-pairs")
     needed = pairs.select(F.explode(F.array("uid", "first")).alias("needed")).distinct()
     texts = materialize(pieces.drop("keys").join(needed, F.col("uid") == F.col("needed"), "left_semi"), "piece-texts")
+    release(pieces)
     x = texts.select(F.col("uid").alias("a"), F.col("body").alias("x"))
     y = texts.select(F.col("uid").alias("b"), F.col("body").alias("y"))
     links = pairs.join(x, F.col("first") == F.col("a")).join(y, F.col("uid") == F.col("b")).select("a", "b", "x", "y")
