@@ -1,9 +1,9 @@
 """WARC: write pages as archives with revisits, read archives back with segment reassembly.
 
 Writing goes through Spark's text sink: one row per record, CRLF as the line separator, so the
-files are plain WARC/1.1, made by committed tasks.  HTTP payloads are chunk-framed, and chunk borders
-are placed so that the reader's record separator never occurs in a block; the reader can then split
-archives anywhere.  Records over ``segment_bytes`` continue in segments of their own.
+files are WARC/1.1 under gzip, made by committed tasks.  HTTP payloads are chunk-framed, and chunk borders
+are placed so that the reader's record separator never occurs in a block; the reader can then
+split archives anywhere.  Records over ``segment_bytes`` continue in segments of their own.
 
 Reading groups continuation records by origin identifier, orders them by segment number, checks the
 total length and decodes the chunked framing.  A group is the segments of one record, never more.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import materialize, scratch_path
 
 VERSION = "WARC/1.1"
-_SEPARATOR = f"\r\n\r\n{VERSION}\r\n"
+_SEPARATOR = f"{VERSION}\r\n"  # no part of it begins it again, so readers can resume anywhere
 _EPOCH = "1970-01-01T00:00:00Z"
 _RECORD = "value string"
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -73,7 +73,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     the response; all others, repeated rows too, are revisits that refer to it.
     """
     url = F.col(url_col) if url_col in pages.columns else F.lit(None)
-    columns = [F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.regexp_replace(F.coalesce(url.cast("string"), F.lit("")), r"[\x00-\x20\x7F]", "").alias("url")]
+    columns = [F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.replace(F.regexp_replace(F.coalesce(url.cast("string"), F.lit("")), r"[\x00-\x20\x7F]", ""), F.lit(VERSION), F.lit(VERSION.replace("/", "%2F"))).alias("url")]
     rows = pages.select(*columns, F.monotonically_increasing_id().alias("row_id"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
     first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row_id")).alias("first")
@@ -111,7 +111,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                         out.append(_record(segment, part))
                 yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
 
-    rows.mapInArrow(records, _RECORD).write.option("lineSep", "\r\n").option("compression", "none").text(path)
+    rows.mapInArrow(records, _RECORD).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def read_records(spark, path: str) -> DataFrame:
@@ -128,10 +128,9 @@ def read_records(spark, path: str) -> DataFrame:
         field("WARC-Segment-Number").cast("int").alias("segment"), field("WARC-Segment-Total-Length").cast("long").alias("total"),
         field("WARC-Refers-To").alias("refers_to"), field("WARC-Payload-Digest").alias("digest"), field("Content-Length").cast("long").alias("length"), "block",
     )
-    # the last record of a file keeps the two line ends that close it
-    rows = rows.withColumn("block", F.when(F.octet_length("block") == F.col("length") + 4, F.expr(r"regexp_replace(block, '\r\n\r\n\\z', '')")).otherwise(F.col("block")))
-    whole = F.octet_length("block") == F.col("length")
-    return rows.withColumn("block", F.when(whole, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("record "), F.col("record_id"), F.lit(" is not as long as its Content-Length")))))
+    # two line ends close a record
+    whole = (F.octet_length("block") == F.col("length") + 4) & F.endswith("block", F.lit("\r\n\r\n"))
+    return rows.withColumn("block", F.when(whole, F.expr("left(block, char_length(block) - 4)")).otherwise(F.raise_error(F.concat(F.lit("record "), F.col("record_id"), F.lit(" is not as long as its Content-Length")))))
 
 
 def reassemble(records: DataFrame) -> DataFrame:
