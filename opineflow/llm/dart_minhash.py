@@ -150,23 +150,25 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     last), and that row is kept (of fully repeated rows, one).  Words are lower case, split at white space.
     Texts of under five words are one shingle; texts without words are alike only if they are equal.
     """
-    docs = documents(docs).withColumn("rid", F.monotonically_increasing_id()).withColumn("id", key128(F.col("text")))
-    by_text = _classes(docs, similarity)
-    rows = docs.select("doc_id", "rid", "id").join(by_text, F.col("id") == F.col("t"))
+    docs = documents(docs).withColumn("id", key128(F.col("text")))
+    rows = materialize(docs.select("doc_id", "id").withColumn("rid", F.monotonically_increasing_id()), "rows")
+    by_text = _classes(docs, rows, similarity)
+    rows = rows.join(by_text, F.col("id") == F.col("t"))
     return rows.select("doc_id", F.col("keep.doc_id").alias("class_id"), F.col("size").alias("class_size"), (F.col("rid") == F.col("keep.rid")).alias("kept"))
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``near_duplicate_classes`` keeps."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__id", key128(text))
-    by_text = _classes(rows.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.col("__rid").alias("rid"), F.col("__id").alias("id")), similarity)
-    keepers = by_text.select(F.col("t").alias("__t"), F.col("keep.rid").alias("__keep"))
-    return rows.join(keepers, (F.col("__id") == F.col("__t")) & (F.col("__rid") == F.col("__keep")), "left_semi").select(docs.columns)
+    """The rows of ``docs``, all columns, that ``near_duplicate_classes`` keeps; of rows that repeat id and text, any one."""
+    tagged = docs.withColumn("__doc", F.col(id_col).cast("long")).withColumn("__id", key128(F.coalesce(F.col(text_col), F.lit(""))))
+    plain = documents(docs, id_col, text_col).withColumn("id", key128(F.col("text")))
+    rows = materialize(plain.select("doc_id", "id").withColumn("rid", F.monotonically_increasing_id()), "rows")
+    keepers = _classes(plain, rows, similarity).where(F.col("t") == F.col("keep.id")).select(F.col("t").alias("__t"), F.col("keep.doc_id").alias("__keep"))
+    kept = tagged.join(keepers, (F.col("__id") == F.col("__t")) & F.col("__doc").eqNullSafe(F.col("__keep")), "left_semi")
+    return kept.dropDuplicates(["__id"]).select(docs.columns)
 
 
-def _classes(docs: DataFrame, similarity: float) -> DataFrame:
-    """t (a text's id), keep (its class's first row) and size; docs have doc_id, text, rid, id."""
+def _classes(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """t (a text's id), keep (its class's first row) and size; docs have text and id, rows (written) doc_id, id and rid."""
     distinct = docs.select("id", "text").dropDuplicates(["id"])
     # keys of every row, then one row a text: less to shuffle than the texts
     keys = materialize(docs.select("id", "text").mapInArrow(_keys, "id binary, keys array<long>").dropDuplicates(["id"]), "band-keys")
@@ -174,8 +176,8 @@ def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     links = materialize(verified_links(band_candidates(bands), distinct, similarity), "links")
     roots = components(links)
     # classes are summed up per text, then per class; only sizes and ids meet the rows again
-    rank = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid"))
-    texts = docs.groupBy("id").agg(rank().alias("first"), F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "id")).alias("first")
+    texts = rows.groupBy("id").agg(first, F.count("*").alias("n"))
     texts = materialize(texts.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "first", "n"), "classes")
     classes = texts.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("keep"), F.sum("n").alias("size"))
     return texts.join(classes, F.col("root") == F.col("r")).select(F.col("id").alias("t"), "keep", "size")

@@ -70,30 +70,30 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """Write one logical record per row; null html is an empty payload.
 
     Of equal payloads of ``least_revisit`` bytes or more, the row with the smallest id (null last) is
-    the response; all others, repeated rows too, are revisits that refer to it.
+    the response, as are rows that repeat its id; all others are revisits that refer to it.
     """
     url = F.col(url_col) if url_col in pages.columns else F.lit(None)
     columns = [F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.replace(F.regexp_replace(F.coalesce(url.cast("string"), F.lit("")), r"[\x00-\x20\x7F]", ""), F.lit(VERSION), F.lit(VERSION.replace("/", "%2F"))).alias("url")]
     rows = pages.select(*columns, F.monotonically_increasing_id().alias("row_id"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
-    first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row_id")).alias("first")
+    first = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id")).alias("first")
     copied = rows.where(F.octet_length("html") >= least_revisit).groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1")
     # salted on both sides, as one payload may be a third of all pages
     copied = copied.select(F.col("digest").alias("same"), "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("same_salt"))
     rows = rows.join(copied, (F.col("digest") == F.col("same")) & (F.col("salt") == F.col("same_salt")), "left")
-    rows = rows.select("page_id", "row_id", "url", "html", "digest", F.col("first.page_id").alias("ref_page"), F.col("first.row_id").alias("ref_row"))
+    rows = rows.select("page_id", "row_id", "url", "html", "digest", F.col("first.page_id").alias("ref_page"), F.col("same").isNotNull().alias("copied"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 out = []
                 for r in batch.slice(at, 64).to_pylist():
-                    name = lambda page, row: f"<urn:page:{'' if page is None else page}:{row}>"
-                    me, payload = name(r["page_id"], r["row_id"]), r["html"].encode()
+                    name = lambda page, r=r: f"urn:page:{'' if page is None else page}:{r['digest'][:32]}"
+                    me, payload = f"<{name(r['page_id'])}:{r['row_id']}>", r["html"].encode()
                     head = [("WARC-Record-ID", me), ("WARC-Date", _EPOCH), ("WARC-Target-URI", r["url"] or "urn:none"), ("WARC-Payload-Digest", f"sha256:{r['digest']}"), ("Content-Type", "application/http;msgtype=response")]
                     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-                    if r["ref_row"] is not None and r["ref_row"] != r["row_id"]:
-                        out.append(_record([("WARC-Type", "revisit"), *head, ("WARC-Profile", _REVISIT_PROFILE), ("WARC-Refers-To", name(r["ref_page"], r["ref_row"]))], http))
+                    if r["copied"] and r["ref_page"] != r["page_id"]:
+                        out.append(_record([("WARC-Type", "revisit"), *head, ("WARC-Profile", _REVISIT_PROFILE), ("WARC-Refers-To", f"<{name(r['ref_page'])}>")], http))
                         continue
                     block = http + chunk_frame(payload, chunk_bytes)
                     cuts = [0]
@@ -180,17 +180,19 @@ def read_warc(spark, path: str, with_payload: bool = True) -> DataFrame:
 def warc_round_trip(pages: DataFrame, path: str | None = None, salts: int = 16, **options) -> DataFrame:
     """Write, then read back: page_id, payload_bytes, payload_digest, record_type, refers_to per row of ``pages``.
 
-    A revisit's payload is that of the response it refers to, taken from the archive by record id.
+    A revisit's payload is that of the response it refers to, taken from the archive by page and payload digest.
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write_warc(pages, path, salts=salts, **options)
     found = materialize(read_warc(spark, path, with_payload=False), "warc-index")
     salt = F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int")
-    cited = found.where("type = 'revisit'").select(F.col("refers_to").alias("cited")).distinct()
-    target = found.where("type = 'response'").join(cited, F.col("record_id") == F.col("cited"), "left_semi")
-    target = target.select(F.col("record_id").alias("target_id"), F.col("payload_bytes").alias("target_bytes"), F.col("payload_digest").alias("target_digest"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("target_salt"))
-    found = found.withColumn("salt", salt).join(target, (F.col("refers_to") == F.col("target_id")) & (F.col("salt") == F.col("target_salt")), "left")
+    cited = found.where("type = 'revisit'").select(F.col("digest").alias("cited")).distinct()
+    target = found.where("type = 'response'").join(cited, F.col("digest") == F.col("cited"), "left_semi")
+    target = target.groupBy(F.col("page_id").alias("target_page"), F.col("digest").alias("target_header")).agg(F.max("payload_bytes").alias("target_bytes"), F.max("payload_digest").alias("target_digest"))
+    target = target.withColumn("target_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    refers = (F.col("type") == "revisit") & (F.col("digest") == F.col("target_header")) & F.col("refers_to_page").eqNullSafe(F.col("target_page"))
+    found = found.withColumn("salt", salt).join(target, refers & (F.col("salt") == F.col("target_salt")), "left")
     return found.select(
         "page_id", F.coalesce("payload_bytes", "target_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "target_digest").alias("payload_digest"),
         F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", F.col("refers_to_page")).alias("refers_to"),
