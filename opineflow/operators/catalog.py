@@ -31,3 +31,19 @@ def lineage_closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return spark.sql("""with recursive walk(ancestor, descendant) as (
         select parent, child from __lineage_edges union all select w.ancestor, e.child from walk w join __lineage_edges e on e.parent = w.descendant)
         select ancestor, descendant, cast(count(*) as bigint) as paths from walk group by ancestor, descendant""")
+
+
+def reconcile(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Rows per key in both tables, keys of either side, nulls included, and whether they agree."""
+    a = left.groupBy(F.col(left_key).alias("__a")).agg(F.count("*").alias("n_left"))
+    b = right.groupBy(F.col(right_key).alias("__b")).agg(F.count("*").alias("n_right"))
+    both = a.join(b, F.col("__a").eqNullSafe(F.col("__b")), "full").select(F.coalesce("__a", "__b").alias("key"), F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"))
+    return both.withColumn("agrees", F.col("n_left") == F.col("n_right"))
+
+
+def upsert(base: DataFrame, updates: DataFrame, key: str, version: str) -> DataFrame:
+    """The row of the highest version of each key; of equal versions an update's.  One shuffle, merged before it."""
+    rest = [c for c in base.columns if c not in (key, version)]
+    both = base.withColumn("__new", F.lit(0)).unionByName(updates.select(base.columns).withColumn("__new", F.lit(1)))
+    best = both.groupBy(key).agg(F.max(F.struct(version, "__new", *rest)).alias("r"))
+    return best.select(key, F.col(f"r.{version}").alias(version), *[F.col(f"r.{c}").alias(c) for c in rest])

@@ -43,3 +43,39 @@ def neighbour_days(calendar: DataFrame) -> DataFrame:
     open_day = F.when(F.col("is_open"), F.col("date"))
     back, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     return calendar.select("date", "is_open", F.last(open_day, ignorenulls=True).over(back).alias("prev_day"), F.first(open_day, ignorenulls=True).over(ahead).alias("next_day"), F.count_if("is_open").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("open_days"))
+
+
+# Opening, last close and the market's name; between them a lunch break counts as regular time.
+SESSIONS = (("HK", "09:30", "16:00"), ("CN", "09:30", "15:00"), ("US", "09:30", "16:00"))
+
+
+def session_timing(events: DataFrame, calendar: DataFrame, delay: int = 5) -> DataFrame:
+    """(event_id, market, local): the session and when one can act: at once after the delay, at the day's or the next trading day's opening."""
+    s = events.join(neighbour_days(calendar).select("date", "is_open", "next_day"), F.col("local").cast("date") == F.col("date"), "left")
+    of = lambda i: F.create_map(*[F.lit(x) for row in SESSIONS for x in (row[0], row[i])])[F.col("market")]
+    clock = F.date_format("local", "HH:mm:ss.SSSSSS")
+    first, last = F.concat(of(1), F.lit(":00.000000")), F.concat(of(2), F.lit(":00.000000"))
+    s = s.withColumn("session", F.when(first.isNull(), "unknown").when(~F.coalesce("is_open", F.lit(False)), "non_trading_day").when(clock < first, "pre_market").when(clock <= last, "regular").otherwise("after_close"))
+    opening = lambda day: F.to_timestamp_ntz(F.concat_ws(" ", F.col(day).cast("string"), first), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    later = F.col("local") + F.make_dt_interval(mins=F.lit(delay))
+    at = F.when(F.col("session").isin("regular", "unknown"), later).when(F.col("session") == "pre_market", opening("date")).otherwise(opening("next_day"))
+    return s.select("event_id", "market", "session", at.alias("executable_at"))
+
+
+def daily_scan(daily: DataFrame, tickers: list[str], start: str, end: str) -> DataFrame:
+    """Bars of some tickers between two days, both included, given as 20240131 or 2024-01-31; an end before the start is an error."""
+    low, high = start.replace("-", ""), end.replace("-", "")
+    if high < low:
+        raise ValueError("end before start")
+    return daily.where(F.col("ticker").isin(tickers) & F.col("date").between(F.to_date(F.lit(low), "yyyyMMdd"), F.to_date(F.lit(high), "yyyyMMdd")))
+
+
+def anchor_windows(actions: DataFrame, bars: DataFrame, reach: int) -> DataFrame:
+    """Bars within ``reach`` trading days of each action's last bar (its ticker's first bar, if that is later): an equi-join, no range join."""
+    numbered = bars.select("ticker", "date", "close", F.row_number().over(Window.partitionBy("ticker").orderBy("date")).alias("no"))
+    anchors = asof_bars(actions, bars).select(F.col("action_id").alias("__a"), "last_date")
+    a = actions.select("action_id", "ticker").join(anchors, F.col("action_id") == F.col("__a"))
+    places = numbered.select(F.col("ticker").alias("__t"), F.col("date").alias("__d"), "no")
+    a = a.join(places, (F.col("ticker") == F.col("__t")) & (F.col("last_date") == F.col("__d")), "left").select("action_id", "ticker", F.coalesce("no", F.lit(1)).alias("at"))
+    a = a.select("action_id", "ticker", F.explode(F.sequence(F.col("at") - reach, F.col("at") + reach)).alias("no"))
+    return a.join(numbered, ["ticker", "no"]).groupBy("action_id").agg(F.count("*").alias("bars"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max("close").alias("high"), F.min("close").alias("low"))

@@ -106,3 +106,18 @@ def consistency(actions: DataFrame) -> DataFrame:
     each = t.groupBy("creator_id", "ticker").agg(F.count("*").alias("n"), F.sum(weight).alias("w")).where("n >= 2")
     each = each.withColumn("score", F.greatest(F.lit(0.0), 1 - F.col("w") / (F.col("n") - 1)))
     return each.groupBy("creator_id").agg(F.round(100 * F.avg("score"), 2).alias("consistency"))
+
+
+def action_meta(actions: DataFrame) -> DataFrame:
+    return actions.agg(F.count("*").alias("total"), F.count_distinct("ticker").alias("tickers"), F.count_distinct("creator_id").alias("creators"), F.min("clock").alias("first_at"), F.max("clock").alias("last_at"))
+
+
+def direction_cosine(actions: DataFrame) -> DataFrame:
+    """Cosine of two creators' latest directions (1 and -1) over all tickers; pairs that share a directional ticker."""
+    sign = F.when(F.col("direction") == "bullish", 1).when(F.col("direction").isin("bearish", "risk_warning"), -1)
+    v = latest_stance(actions).select("creator_id", "ticker", sign.alias("s")).where("s is not null")
+    size = v.groupBy("creator_id").agg(F.count("*").alias("n"))
+    x, y = v.select(F.col("creator_id").alias("left_id"), "ticker", F.col("s").alias("a")), v.select(F.col("creator_id").alias("right_id"), "ticker", F.col("s").alias("b"))
+    dot = x.join(y, "ticker").where("left_id < right_id").groupBy("left_id", "right_id").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+    l, r = size.select(F.col("creator_id").alias("left_id"), F.col("n").alias("nl")), size.select(F.col("creator_id").alias("right_id"), F.col("n").alias("nr"))
+    return dot.join(l, "left_id").join(r, "right_id").select("left_id", "right_id", F.round(F.col("dot") / F.sqrt(F.col("nl") * F.col("nr")), 6).alias("cosine"))

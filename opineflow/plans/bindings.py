@@ -12,7 +12,10 @@ _STATUSES = ["pending", "verified", "failed", "under_review"]
 
 
 def actions(spark: SparkSession, root: str) -> DataFrame:
-    e = table(spark, root, "events", "event_id", "ts", "user_id", "event_type")
+    return actions_of(table(spark, root, "events", "event_id", "ts", "user_id", "event_type"))
+
+
+def actions_of(e: DataFrame) -> DataFrame:
     direction = F.create_map(*[F.lit(x) for kv in _DIRECTIONS.items() for x in kv])
     status = F.array(*[F.lit(s) for s in _STATUSES])
     return e.select(

@@ -22,3 +22,30 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete")
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def live_latest(actions: DataFrame) -> DataFrame:
+    """The latest stance of each creator and ticker, kept up to date: state is one row a key."""
+    last = F.max_by(F.struct("action_id", "direction", "clock"), F.struct("clock", "action_id"))
+    return actions.groupBy("creator_id", "ticker").agg(last.alias("s")).select("creator_id", "ticker", "s.*")
+
+
+def first_arrivals(events: DataFrame, keys: list[str], at: str, watermark: str) -> DataFrame:
+    """Events whose keys have not come before within the watermark."""
+    return events.withWatermark(at, watermark).dropDuplicatesWithinWatermark(keys)
+
+
+def drain_to_folder(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Run over all data there is; each complete result replaces the one in ``folder``, written by the executors."""
+    query = (
+        stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(folder)).start()
+    )
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
+
+
+def drain_appended(stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Run over all data there is, appending to ``folder``."""
+    stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
