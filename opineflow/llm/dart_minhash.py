@@ -8,9 +8,10 @@ Ranks are swept upward only until all coordinates of a text are filled, so a tex
 darts, however long it is.
 
 Exact copies are put under one representative first.  Texts that agree in a band are candidates:
-all pairs of a small bucket; in a large one each text is held against pivots, those that most others
-agree with, so work is linear in a group's size.  Candidates are verified by the exact weighted
-Jaccard; classes are connected components.
+all pairs of a small bucket; in a large one each text is first held against two pivots, one of which most
+others agree with, so work is linear in a group's size.  Candidates are verified by the exact weighted
+Jaccard; classes are connected components.  Large buckets that still hold several components go through
+an exact prefix-filter join between the components, so that no link there is lost to the pivots.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, key128, materialize
@@ -104,10 +105,14 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("id").take(pa.array(some)), lists], names=["id", "keys"])
 
 
-def band_candidates(bands: DataFrame, small: int = SMALL_BUCKET) -> DataFrame:
-    """Candidate pairs (a < b) of (key, id) rows."""
+def shared_buckets(bands: DataFrame) -> DataFrame:
+    """The (key, id) rows whose key several texts have, with n, their number."""
     shared = bands.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
-    rows = materialize(bands.join(shared, F.col("key") == F.col("k")).select("key", "id", "n"), "buckets")
+    return materialize(bands.join(shared, F.col("key") == F.col("k")).select("key", "id", "n"), "buckets")
+
+
+def bucket_pairs(rows: DataFrame, small: int = SMALL_BUCKET) -> DataFrame:
+    """Pairs (a < b) to compare first: all of small buckets, each text with two pivots in large ones."""
     few = rows.where(F.col("n") <= small).select("key", "id")
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     many = rows.where(F.col("n") > small)
@@ -119,6 +124,44 @@ def band_candidates(bands: DataFrame, small: int = SMALL_BUCKET) -> DataFrame:
     return pairs.unionByName(held.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))).distinct()
 
 
+def open_texts(rows: DataFrame, roots: DataFrame, small: int = SMALL_BUCKET) -> DataFrame:
+    """(id, root) of the texts in large buckets whose texts are still of several components."""
+    many = rows.where(F.col("n") > small).join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    many = materialize(many, "large-rooted")
+    several = many.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("k")
+    return materialize(many.join(several, F.col("key") == F.col("k"), "left_semi").select("id", "root").distinct(), "open")
+
+
+def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a < b) of different roots that may be similar; texts are (id, root, items), items as of ``_sets``.
+
+    Prefix filter: with all items in one order, rare ones first, two sets of this similarity share an item among
+    the first size - ceil(similarity * size) + 1 of each.  Sizes and the items behind the shared one bound the rest.
+    """
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                values = np.frombuffer(row.column("items")[0].as_py(), np.int64)
+                for at in range(0, len(values), 1 << 16):
+                    part = values[at : at + (1 << 16)]
+                    same = pa.array(np.zeros(len(part), np.int32))
+                    yield pa.record_batch([row.column("id").take(same), row.column("root").take(same), pa.array(np.full(len(part), len(values))), pa.array(part)], names=["id", "root", "size", "item"])
+
+    each = texts.select("id", "root", "items").mapInArrow(items, "id binary, root binary, size long, item long")
+    met = each.groupBy(F.col("item").alias("i")).agg(F.count("*").alias("met"))
+    rarest = Window.partitionBy("id").orderBy("met", "item")
+    first = each.join(met, F.col("item") == F.col("i")).select("id", "root", "size", "item", "met", F.row_number().over(rarest).alias("at"))
+    first = first.where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1) & (F.col("met") > 1))
+    first = materialize(first.drop("met"), "prefixes")
+    x, y = first.alias("x"), first.alias("y")
+    common = F.ceil((F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-6)
+    left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + 1
+    near = (F.col("x.item") == F.col("y.item")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & (left >= common)
+    return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
@@ -127,8 +170,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "items"])
 
 
-def verified_links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard is ``similarity`` or more; texts are (id, text), ids once each."""
+def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard is ``similarity`` or more; sets are (id, items) of their texts."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,13 +179,22 @@ def verified_links(pairs: DataFrame, texts: DataFrame, similarity: float = SIMIL
             good = [jaccard(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) >= similarity for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(texts.join(needed, "id").select("id", "text").mapInArrow(_sets, "id binary, items binary"), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
+def text_roots(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of the components of similar texts; bands are (key, id), texts (id, text), ids once each."""
+    rows = shared_buckets(bands)
+    pairs = materialize(bucket_pairs(rows), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialize(texts.join(needed, "id").select("id", "text").mapInArrow(_sets, "id binary, items binary"), "sets")
+    links = materialize(verified_links(pairs, sets, similarity), "links")
+    roots = materialize(components(links), "roots")
+    rest = materialize(prefix_pairs(open_texts(rows, roots).join(sets, "id"), similarity).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
+    return components(materialize(links.unionByName(verified_links(rest, sets, similarity)), "all-links"))
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, kept.
 
@@ -173,8 +225,7 @@ def _classes(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     # keys of every row, then one row a text: less to shuffle than the texts
     keys = materialize(docs.select("id", "text").mapInArrow(_keys, "id binary, keys array<long>").dropDuplicates(["id"]), "band-keys")
     bands = keys.select(F.explode("keys").alias("key"), "id")
-    links = materialize(verified_links(band_candidates(bands), distinct, similarity), "links")
-    roots = components(links)
+    roots = text_roots(bands, distinct, similarity)
     # classes are summed up per text, then per class; only sizes and ids meet the rows again
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "id")).alias("first")
     texts = rows.groupBy("id").agg(first, F.count("*").alias("n"))

@@ -241,6 +241,30 @@ def test_near_duplicates(rows, docs, empty):
     assert dart_minhash.near_duplicate_classes(empty).count() == 0
 
 
+def test_large_buckets_lose_no_link(spark):
+    """Many variants of one text, of which most are like a few others only."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for n in range(60):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 9)), replace=False):
+            words[at] = f"x{n}y{at}" if at % 2 else f"z{at}"
+        texts.append(" ".join(words))
+    roots = brute_classes(texts)
+    want = [min(i for i, r in enumerate(roots) if r == own) for own in roots]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in dart_minhash.near_duplicate_classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+    sets = spark.createDataFrame([(str(i).encode(), s.tobytes()) for i, s in enumerate(dart_minhash.occurrence_sets(texts))], "id binary, items binary")
+    pairs = dart_minhash.prefix_pairs(sets.withColumn("root", sets.id))
+    found = {frozenset((int(r.a), int(r.b))) for r in dart_minhash.verified_links(pairs, sets).collect()}
+    bags = [shingle_counts(t) for t in texts]
+    alike = {frozenset((i, j)) for i in range(len(texts)) for j in range(i) if (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total()}
+    assert found == alike and len(alike) < 61 * 60 / 2
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
     h = rng.integers(1, 2**63, 400).astype(np.uint64)
