@@ -16,7 +16,7 @@ an exact prefix-filter join between the components, so that no link there is los
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ from .common import documents, key128, materialize
 from .components import components
 from .shingles import jaccard, mix, occurrence_sets, shingle_sets, weighted
 
+Sets = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
 SMALL_BUCKET = 8
@@ -183,12 +184,15 @@ def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILA
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
-def text_roots(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of the components of similar texts; bands are (key, id), texts (id, text), ids once each."""
+def text_roots(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, sets_of: Sets = _sets) -> DataFrame:
+    """(node, root) of the components of similar texts; bands are (key, id), texts (id, text), ids once each.
+
+    ``sets_of`` turns texts into (id, items), whose Jaccard is the similarity.
+    """
     rows = shared_buckets(bands)
     pairs = materialize(bucket_pairs(rows), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(texts.join(needed, "id").select("id", "text").mapInArrow(_sets, "id binary, items binary"), "sets")
+    sets = materialize(texts.join(needed, "id").select("id", "text").mapInArrow(sets_of, "id binary, items binary"), "sets")
     links = materialize(verified_links(pairs, sets, similarity), "links")
     roots = materialize(components(links), "roots")
     rest = materialize(prefix_pairs(open_texts(rows, roots).join(sets, "id"), similarity).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")

@@ -2,10 +2,11 @@
 
 Repeated passages rarely begin and end with a paragraph, so paragraphs are cut into pieces at places
 that the words nearby choose: where the hash of a word pair is least among its neighbours.  A passage
-is cut alike wherever it stands, and one of over 50 words all but surely holds whole pieces.  Pieces
-that agree in a band (one coordinate each: recall 99 % at similarity 0.8) are held against the first
-piece of the bucket, verified by exact Jaccard of five-word shingles, and linked into components;
-the first piece of a component stays, the others are to be removed.
+is cut alike wherever it stands, and one of over 50 words all but surely holds whole pieces.  Equal
+pieces count as one text.  Texts that agree in a band (one coordinate each: recall 99 % at similarity
+0.8) are joined, all of a small bucket, through pivots and an exact prefix filter in a large one,
+verified by exact Jaccard of five-word shingles, and linked into components; the first piece of a
+component stays, the others are to be removed.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, release
-from .components import components
+from .common import documents, key128, materialize, release
+from .dart_minhash import text_roots
 from .shingles import SHINGLE, mix, shingle_hashes, words_of
 
 REACH = 6  # word pairs on either side that a border is compared with
@@ -71,17 +72,15 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("doc_id").take(pa.array(of)), pa.array(a), pa.array(z), lists, pa.array(bodies, pa.string())], names=["doc_id", "start", "end", "keys", "body"])
 
 
-def shingles(text: str) -> set[tuple[str, ...]]:
-    words = text.split()
-    return set(zip(*[words[k:] for k in range(SHINGLE)], strict=False)) or {tuple(words)}
-
-
-def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    if a == b:
-        return True
-    x, y = shingles(a), shingles(b)
-    common = len(x & y)
-    return common >= similarity * (len(x) + len(y) - common)
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each piece's sorted set of five-word shingles."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            w = words_of(part.column("text").to_pylist())
+            runs = shingle_hashes(w.hashes)
+            sets = [np.unique(runs[a : z - SHINGLE + 1]).tobytes() for a, z in zip(w.first[:-1], w.first[1:], strict=True)]
+            yield pa.record_batch([part.column("id"), pa.array(sets, pa.binary())], names=["id", "items"])
 
 
 def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -91,27 +90,20 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     false.  Null, empty and short texts have no pieces.  Repeats within a document and in repeated rows count.
     """
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [alike(x, y, similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield batch.drop_columns(["x", "y"]).filter(pa.array(good, pa.bool_()))
-
     pieces = documents(docs).mapInArrow(_pieces, "doc_id long, start long, end long, keys array<long>, body string")
     pieces = materialize(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     # a window streams a bucket through sorting, so a hot one is never held in memory
     order = Window.partitionBy("key").orderBy("uid")
-    pairs = pieces.select("uid", F.explode("keys").alias("key")).select("uid", F.first("uid").over(order).alias("first"))
-    pairs = materialize(pairs.where("uid != first").distinct(), "piece-pairs")
+    pairs = pieces.select("uid", F.explode("keys").alias("key")).select("uid", F.first("uid").over(order).alias("first")).where("uid != first")
     needed = pairs.select(F.explode(F.array("uid", "first")).alias("needed")).distinct()
-    texts = materialize(pieces.drop("keys").join(needed, F.col("uid") == F.col("needed"), "left_semi"), "piece-texts")
+    shared = materialize(pieces.join(needed, F.col("uid") == F.col("needed"), "left_semi").withColumn("id", key128(F.col("body"))), "shared-pieces")
     release(pieces)
-    x = texts.select(F.col("uid").alias("a"), F.col("body").alias("x"))
-    y = texts.select(F.col("uid").alias("b"), F.col("body").alias("y"))
-    links = pairs.join(x, F.col("first") == F.col("a")).join(y, F.col("uid") == F.col("b")).select("a", "b", "x", "y")
-    links = materialize(links.mapInArrow(check, "a long, b long"), "piece-links")
-    roots = materialize(components(links), "piece-roots")
-    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    spans = texts.select("uid", "doc_id", "start", "end")
-    kept = spans.select(F.col("uid").alias("k"), F.col("doc_id").alias("keep_doc_id"), F.col("start").alias("keep_start"))
-    rows = members.join(spans, F.col("node") == F.col("uid")).join(kept, F.col("root") == F.col("k"))
-    return rows.select("doc_id", "start", "end", "keep_doc_id", "keep_start", (F.col("node") != F.col("root")).alias("removed"))
+    # equal pieces count as one text, summed up before the shuffle; only different texts are compared
+    where = F.min(F.struct("uid", "doc_id", "start")).alias("where")
+    texts = materialize(shared.groupBy("id").agg(where, F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("body").alias("text")), "piece-texts")
+    roots = text_roots(texts.select(F.explode("keys").alias("key"), "id"), texts.select("id", "text"), similarity, _sets)
+    rooted = materialize(texts.select("id", "where", "n").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "where", "n"), "piece-roots")
+    classes = rooted.groupBy(F.col("root").alias("r")).agg(F.min("where").alias("keep"), F.sum("n").alias("size")).where("size > 1")
+    members = rooted.join(classes, F.col("root") == F.col("r")).select(F.col("id").alias("member"), "keep")
+    rows = shared.select("uid", "doc_id", "start", "end", "id").join(members, F.col("id") == F.col("member"))
+    return rows.select("doc_id", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), (F.col("uid") != F.col("keep.uid")).alias("removed"))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from opineflow.llm import dart_minhash, line_chunks, multiset_hash, secret_ledger, substring, toxicity_fm, warc
@@ -323,6 +324,34 @@ def test_substring(spark, empty):
     assert substring.repeated_paragraphs(empty).count() == 0
 
 
+def test_substring_links(spark):
+    """All links between pieces that agree in a band are found, in large buckets too; counts the repeated rows."""
+    rng = random.Random(12)
+    bases = [[word(rng) for _ in range(18)] for _ in range(8)]
+    texts = []
+    for k in range(240):
+        w = bases[k % 8]
+        texts.append(" ".join(w[rng.randint(0, 4) : 18 - rng.randint(0, 4)] + [word(rng) for _ in range(rng.randint(0, 2))]))
+    texts += texts[:20]
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], schema=schema)
+    pieces = [r for b in substring._pieces(iter([batch])) for r in b.to_pylist()]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (p["body"].split() for p in pieces)]
+    group = list(range(len(pieces)))
+    for i in range(len(pieces)):
+        for j in range(i):
+            if set(pieces[i]["keys"]) & set(pieces[j]["keys"]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    want, got = defaultdict(set), defaultdict(set)
+    for p, g in zip(pieces, group, strict=True):
+        want[g].add((p["doc_id"], p["start"], p["end"]))
+    for r in substring.repeated_paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect():
+        got[r.keep_doc_id, r.keep_start].add((r.doc_id, r.start, r.end))
+    assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values() if len(v) > 1}
+    assert max(map(len, got.values())) > 20
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline
