@@ -43,6 +43,11 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_old_shuffles(df: DataFrame) -> None:
+    """Spark deletes the shuffle files of ended queries once the driver's collector finds them unused; ask it to look now."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that count, so that clashing extra columns do no harm."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

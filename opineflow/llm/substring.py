@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, key128, materialize, release
+from .common import documents, drop_old_shuffles, key128, materialize, release
 from .dart_minhash import text_roots
 from .shingles import SHINGLE, mix, shingle_hashes, words_of
 
@@ -95,9 +95,11 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> Data
     # a window streams a bucket through sorting, so a hot one is never held in memory
     order = Window.partitionBy("key").orderBy("uid")
     pairs = pieces.select("uid", F.explode("keys").alias("key")).select("uid", F.first("uid").over(order).alias("first")).where("uid != first")
-    needed = pairs.select(F.explode(F.array("uid", "first")).alias("needed")).distinct()
+    needed = materialize(pairs.select(F.explode(F.array("uid", "first")).alias("needed")).distinct(), "shared-ids")
+    drop_old_shuffles(needed)
     shared = materialize(pieces.join(needed, F.col("uid") == F.col("needed"), "left_semi").withColumn("id", key128(F.col("body"))), "shared-pieces")
     release(pieces)
+    drop_old_shuffles(shared)
     # equal pieces count as one text, summed up before the shuffle; only different texts are compared
     where = F.min(F.struct("uid", "doc_id", "start")).alias("where")
     texts = materialize(shared.groupBy("id").agg(where, F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("body").alias("text")), "piece-texts")
