@@ -25,8 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line chunks go from the texts; all documents stay."""
-    return _counted(remove_line_chunks(docs))
+    """Repeated line chunks and passages go from the texts; all documents stay."""
+    return _counted(remove_line_chunks(docs, passages=True))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,16 +4,26 @@ A rolling hash over the hashes of ``window`` neighbouring lines ends a chunk whe
 ``every``; borders depend on nearby lines alone, so a passage that is shifted by inserted lines is cut
 the same way.  Chunks of two lines or more that occur more than once in the corpus are removed from
 all documents but the first (smallest doc_id, then text hash, then place).
+
+Chunks alone leave the ends of a shared passage, and all of a short one.  With ``passages`` every run
+of whole lines of over ``PASSAGE_WORDS`` words that stands in the corpus before goes in full as well.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from hashlib import sha256
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, key128
 
 WINDOW, EVERY = 2, 4
+PASSAGE_WORDS = 50  # a passage has more
 _BASE, _MOD = 1_000_003, 2_147_483_647
 
 
@@ -51,19 +61,74 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -
     return found.where(F.col("place") != F.col("first")).select("doc_id", "text_key", "first_line", "n_lines")
 
 
-def remove_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, every: int = EVERY, report: bool = False) -> DataFrame:
+def passage_spans(lines: list[bytes]) -> set[tuple[int, int]]:
+    """(start, end) of the shortest run of over PASSAGE_WORDS words from each line on, and up to each line.
+
+    A passage that two texts share holds, for each of its lines, the run up to that line or the run from its own
+    first line on, so the runs that repeat make up exactly the passages that repeat.  Runs begin and end with words,
+    so blank lines beside a run stay, and a run has few lines but blank ones.
+    """
+    before = [0, *accumulate(len(x.split()) for x in lines)]
+    spans = set()
+    for i in range(len(lines)):
+        if before[i] == before[i + 1]:
+            continue
+        end = bisect_right(before, before[i] + PASSAGE_WORDS)
+        if end <= len(lines):
+            spans.add((i, end))
+        start = bisect_left(before, before[i + 1] - PASSAGE_WORDS) - 1
+        if start >= 0:
+            spans.add((start, i + 1))
+    return spans
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "text_key", "first_line", "n_lines", "passage"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 128):
+            part = batch.slice(at, 128)
+            of, first, count, keys = [], [], [], []
+            for k, text in enumerate(part.column("text").to_pylist()):
+                lines = text.split(b"\n")
+                begins = [0, *accumulate(len(x) + 1 for x in lines)]
+                for a, z in passage_spans(lines):
+                    of.append(k)
+                    first.append(a)
+                    count.append(z - a)
+                    keys.append(sha256(text[begins[a] : begins[z] - 1]).digest()[:16])
+            of = pa.array(of, pa.int32())
+            yield pa.record_batch([part.column("doc_id").take(of), part.column("text_key").take(of), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(keys, pa.binary())], names=names)
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """The runs of over PASSAGE_WORDS words to remove: doc_id, text_key, first_line, n_lines; they overlap.
+
+    A line's first occurrence never goes, as no run that holds it stands before.
+    """
+    rows = docs.select("doc_id", key128(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
+    spans = rows.mapInArrow(_passages, "doc_id long, text_key binary, first_line int, n_lines int, passage binary")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "first_line")
+    groups = spans.groupBy("passage").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("passage", "first")
+    return spans.join(groups, "passage").where(place != F.col("first")).select("doc_id", "text_key", "first_line", "n_lines")
+
+
+def remove_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, every: int = EVERY, report: bool = False, passages: bool = False) -> DataFrame:
     """``docs`` with repeated chunks taken out of its texts (and, with ``report``, __removed_chunks and __removed_lines).
 
+    With ``passages`` repeated passages go too, in full; they count as chunks in the report.
     Every row stays, as its text may still be wanted when empty; null texts stay null.  Repeated rows are one
     document: both keep its first occurrences.  All other columns are left alone.
     """
     plain = documents(docs, id_col, text_col)
     # text_key differs within a group of copies, so at most one group of lines a document is gathered
-    cut = repeated_chunks(plain, window, every).distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_line", "n_lines")).alias("__cut"))
+    spans = repeated_chunks(plain, window, every)
+    if passages:
+        spans = spans.unionByName(repeated_passages(plain))
+    cut = spans.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_line", "n_lines")).alias("__cut"))
     cut = cut.select(F.col("doc_id").alias("__cut_id"), F.col("text_key").alias("__cut_key"), "__cut")
     rows = docs.withColumn("__key", key128(F.coalesce(F.col(text_col), F.lit(""))))
     rows = rows.join(cut, F.col(id_col).cast("long").eqNullSafe(F.col("__cut_id")) & (F.col("__key") == F.col("__cut_key")), "left")
-    gone = "flatten(transform(__cut, c -> sequence(c.first_line, c.first_line + c.n_lines - 1)))"
+    gone = "array_distinct(flatten(transform(__cut, c -> sequence(c.first_line, c.first_line + c.n_lines - 1))))"
     rows = rows.withColumn("__lines", F.expr(f"if(__cut is null, null, {gone})")).withColumn("__split", F.split(F.col(text_col), "\n", -1))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(__split) - 1), __lines), i -> if(size(__split) = 1, __split[0], __split[i])), '\n')")
     columns = [F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]

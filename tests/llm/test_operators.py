@@ -310,6 +310,26 @@ def test_line_chunks(rows, docs, empty):
     assert line_chunks.line_chunk_digest(empty).count() == 0
 
 
+def test_repeated_passages_go_in_full(spark):
+    """Recall of the pipeline's line dedup on passages of 1-6 lines: 1, and no other line goes."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    lines = lambda n, words: [" ".join(word(rng) for _ in range(words)) for _ in range(n)]
+    passages = [lines(n, 51 // n + 1) for n in range(1, 7) for _ in range(10)] + [[*lines(1, 60), *lines(1, 3)], [*lines(1, 3), *lines(1, 60)]]
+    short = lines(1, 50)  # no passage
+    texts = []
+    for k in range(3):
+        for p in passages:
+            around = [lines(rng.randint(0, 3), 9) for _ in range(2)]
+            texts.append((k, p, around, "\n".join([*around[0], *p, *around[1]])))
+    rows = [(i, t, "en", "s", None) for i, (*_, t) in enumerate(texts)] + [(9000, short[0], "en", "s", None), (9001, "\n".join(lines(1, 5) + short[:1]), "en", "s", None)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), None).collect()}
+    for i, (k, _, around, t) in enumerate(texts):
+        assert got[i] == (t if k == 0 else "\n".join([*around[0], *around[1]]))
+    assert got[9000] == rows[-2][1] and got[9001] == rows[-1][1]
+
+
 def test_substring(spark, empty):
     rng = random.Random(9)
     passage = prose(rng, 70)
