@@ -1,6 +1,6 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-Terms are lower-case words and their first letters, hashed into ``2**bits`` slots, present or not.  Beside a weight per slot the
+Terms are lower-case words, their first letters and how many words share these, hashed into ``2**bits`` slots, present or not.  Beside a weight per slot the
 model has a short factor vector per slot, so it learns pairs of terms, which a sum of term weights
 misses.  It is fitted with AdaGrad on a bounded sample of labelled rows; scoring is a narrow pass.
 """
@@ -8,6 +8,7 @@ misses.  It is fitted with AdaGrad on a bounded sample of labelled rows; scoring
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 from zlib import crc32
@@ -23,7 +24,15 @@ from .common import documents
 FIT_ROWS = 10_000
 BITS, FACTORS = 18, 4
 #: Beginnings of words, in letters, that are terms too, so that inflected forms share weights.
-STEMS = (4, 6)
+STEMS = (4, 5, 6, 7, 8)
+#: That so many different words of a text share a beginning is a term too: one may be chance, a family isn't.
+SHARED = (2, 3, 4)
+#: Terms met in fewer fitted rows keep weight 0, whatever the number of rows; decay holds down those hardly more frequent.
+LEAST_ROWS = 3
+#: A toxic row counts as so many clean ones, as these are many.
+TOXIC_WEIGHT = 3
+#: Rows that fitting sees in all, within 8 and 16 epochs.
+SEEN_ROWS = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -57,12 +66,15 @@ def _scale(sizes: np.ndarray) -> np.ndarray:
 def slots_of(text: str) -> np.ndarray:
     """The distinct slots of a text's terms, in order."""
     words, mask = set(_WORD.findall(text.lower())), (1 << BITS) - 1
+    terms = set(words)
     for n in STEMS:
-        words |= {w[:n] + "-" for w in words if len(w) > n and w[-1] != "-"}
-    return np.unique(np.fromiter((crc32(w.encode()) & mask for w in words), np.int32, len(words)))
+        for stem, many in Counter([w[:n] for w in words if len(w) > n]).items():
+            terms.add(stem + "-")
+            terms.update(f"{stem}-{k}" for k in SHARED if many >= k)
+    return np.unique(np.fromiter((crc32(w.encode()) & mask for w in terms), np.int32, len(terms)))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 4, rate: float = 0.7, decay: float = 1e-5, batch: int = 128, seed: int = 7) -> FactorizationMachine:
+def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int | None = None, rate: float = 0.7, decay: float = 0.02, batch: int = 128, seed: int = 7) -> FactorizationMachine:
     """AdaGrad on the logistic loss.  One class or no rows: the bias alone."""
     rng = np.random.default_rng(seed)
     n = len(texts)
@@ -73,12 +85,11 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 4, rate: floa
     if n == 0 or labels.min() == labels.max():
         return FactorizationMachine(bias, w, np.zeros_like(v))
     met = np.bincount(np.concatenate(texts), minlength=1 << BITS)
-    least = max(3, n // 400)
-    texts = [t[met[t] >= least] for t in texts]
-    v[met < least] = 0  # terms hardly met keep weight 0
+    texts = [t[met[t] >= LEAST_ROWS] for t in texts]
+    v[met < LEAST_ROWS] = 0
     gw, gv, gb = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6
     sizes = np.array([len(t) for t in texts])
-    for _ in range(epochs):
+    for _ in range(epochs or min(max(SEEN_ROWS // n, 8), 16)):
         order = rng.permutation(n)
         for k in range(0, n, batch):
             rows = order[k : k + batch]
@@ -93,7 +104,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 4, rate: floa
             total = np.add.reduceat(vi, at, axis=0)
             square = np.add.reduceat((vi * vi).sum(1), at)
             z = bias + np.add.reduceat(w[idx], at) * scale[:, 0] + 0.5 * ((total * total).sum(1) - square) * scale[:, 0] ** 2
-            e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]) * np.where(labels[rows] > 0, TOXIC_WEIGHT, 1)
             each = np.repeat(e * scale[:, 0], m)
             slots, inverse = np.unique(idx, return_inverse=True)
             dw = np.bincount(inverse, each) + decay * w[slots]
@@ -103,7 +114,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 4, rate: floa
             gv[slots] += dv * dv
             gb += e.sum() ** 2
             w[slots] -= rate * dw / np.sqrt(gw[slots])
-            v[slots] -= 0.2 * rate * dv / np.sqrt(gv[slots])
+            v[slots] -= 0.1 * rate * dv / np.sqrt(gv[slots])
             bias -= rate * e.sum() / np.sqrt(gb)
     return FactorizationMachine(float(bias), w.astype(np.float32), v.astype(np.float32))
 

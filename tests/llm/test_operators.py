@@ -174,6 +174,23 @@ def test_toxicity(spark, empty):
     assert toxicity_fm.score_toxicity(empty, toxicity_fm.fit_toxicity(empty, labels.limit(0))).count() == 0
 
 
+def test_rare_families_are_learnt():
+    """A rarer language's insults, each in a few rows of many, whose beginnings clean texts have too."""
+    rng = random.Random(5)
+    family = ["kobment" + word(rng) for _ in range(60)]
+    texts, labels = [], []
+    for i in range(4400):
+        rare, bad = i % 20 == 0, rng.random() < 0.2
+        own = (rng.sample(family[:50], 4) if bad else [rng.choice(family[50:])] if i % 40 else []) if rare else ["zzinsult"] if bad else []
+        texts.append(toxicity_fm.slots_of(" ".join([prose(rng, 20), *own])))
+        labels.append((float(bad), rare))
+    y, rare = np.array([b for b, _ in labels]), np.array([r for _, r in labels])
+    fm = toxicity_fm.fit(texts[:4000], y[:4000])
+    got = fm.raw(np.concatenate(texts), np.cumsum([len(t) for t in texts])) > 0
+    assert got[4000:][y[4000:] == 1].mean() > 0.9 and got[4000:][y[4000:] == 0].mean() < 0.02
+    assert got[rare & (y == 1)].mean() > 0.9
+
+
 def test_pairs_of_terms_are_learnt():
     """Toxic if and only if both terms are there: linear weights alone can't tell."""
     rng = np.random.default_rng(0)
