@@ -124,8 +124,8 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> FactorizationMachine:
-    """Fit on at most ``fit_rows`` labelled rows that aren't held out; only their slots reach the driver.
+def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, toxic, slots of at most ``fit_rows`` labelled ids that aren't held out, one row an id.
 
     Of several labels of one id the largest counts; null labels and ids have no part in it.
     """
@@ -137,8 +137,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "slots": [slots_of(t).tobytes() for t in frame["text"]]})
 
-    sample = rows.select("doc_id", "toxic", "text").mapInPandas(featurize, "doc_id long, toxic int, slots binary").toPandas()
-    sample = sample.sort_values(["doc_id", "slots"]).drop_duplicates("doc_id")
+    sample = rows.select("doc_id", "toxic", "text").mapInPandas(featurize, "doc_id long, toxic int, slots binary")
+    return sample.groupBy("doc_id", "toxic").agg(F.min("slots").alias("slots"))  # however many rows an id has
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> FactorizationMachine:
+    """Fit on ``fit_sample``; only its slots reach the driver."""
+    sample = fit_sample(docs, labels, fit_rows).toPandas().sort_values("doc_id")
     return fit([np.frombuffer(s, np.int32) for s in sample["slots"]], sample["toxic"].to_numpy(float))
 
 

@@ -174,6 +174,19 @@ def test_toxicity(spark, empty):
     assert toxicity_fm.score_toxicity(empty, toxicity_fm.fit_toxicity(empty, labels.limit(0))).count() == 0
 
 
+def test_repeated_id_is_collected_once(spark, monkeypatch):
+    """What the driver collects for fitting has one row an id, the least slots of its texts."""
+    collected = []
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda self, f=type(spark.range(0)).toPandas: collected.append(f(self)) or collected[-1])
+    texts = [f"word{chr(97 + i % 7)} text" for i in range(200)]
+    docs = spark.createDataFrame([(2, t) for t in texts] + [(3, "other text"), (4, None)], "doc_id long, text string")
+    toxicity_fm.fit_toxicity(docs, spark.createDataFrame([(2, 1), (3, 0), (4, 0)], "doc_id long, toxic long"))
+    held = {i for i in (2, 3, 4) if zlib.crc32(str(i).encode()) % 5 == 0}
+    got = {r.doc_id: r.slots for r in collected[0].itertuples()}
+    assert 2 not in held and len(collected[0]) == len(got) and set(got) == {2, 3, 4} - held
+    assert bytes(got[2]) == min(toxicity_fm.slots_of(t).tobytes() for t in texts)
+
+
 def test_rare_families_are_learnt():
     """A rarer language's insults, each in a few rows of many, whose beginnings clean texts have too."""
     rng = random.Random(5)
