@@ -7,6 +7,7 @@ Tokenizing and cutting are narrow: the job has no shuffle, whatever the skew of
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,6 +27,11 @@ _GAP = re.compile("[ \t\n\r]+")
 _ENCODERS: dict[str, "_WordIds"] = {}
 
 
+def _stays_letter(c: str) -> bool:
+    """Whether the tokenizer's lower case and NFC make no letter and mark of it: the mark and a sign after it would be one run."""
+    return c.isalpha() and (c.isascii() or unicodedata.normalize("NFC", c.lower()).isalpha() and unicodedata.normalize("NFC", c).isalpha())
+
+
 class _WordIds(dict):
     """Word -> its ids as little-endian uint32 bytes, from the tokenizers library.
 
@@ -48,7 +54,7 @@ class _WordIds(dict):
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def add(self, words: set[str]) -> None:
-        ended = [w for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()]
+        ended = [w for w in words if len(w) > 1 and w[-1] in ".," and _stays_letter(w[-2])]
         roots = words.difference(ended).union(w[:-1] for w in ended).union(".,")
         letters, others = [], []
         for word in roots:

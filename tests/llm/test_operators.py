@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from opineflow.llm import dart_minhash, line_chunks, multiset_hash, secret_ledger, substring, toxicity_fm, warc
+from opineflow.llm import dart_minhash, line_chunks, multiset_hash, packing, secret_ledger, substring, toxicity_fm, warc
 from opineflow.llm.bpe import bpe_round_trip
 from opineflow.llm.exact_sort import content_sort_dedup
 from opineflow.llm.packing import binary_pieces, power_of_two_pack
@@ -101,6 +101,14 @@ def test_packing(rows, docs, empty):
     assert power_of_two_pack(empty, path).count() == 0
 
 
+def test_signs_after_letters_that_get_marks():
+    words = [f"ab{c}{sign}" for c in "\u0130\u0958\u095f\ufb2a\ufb4eé\u00dfz" for sign in ".,"]
+    ids = packing._WordIds(tokenizer_path("word_bpe_49k.json"))
+    ids.add(set(words))
+    for w in words:
+        assert ids[w] == np.array(ids.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+
+
 def test_bpe(rows, docs, empty):
     from tokenizers import Tokenizer
 
