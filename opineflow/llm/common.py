@@ -7,7 +7,6 @@ empty, a null doc_id is kept and sorts after every other id.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +14,14 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not shared:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
-        shared = sc.getCheckpointDir()
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').removeprefix('file:').rstrip('/')}/.scratch"
+        sc.setCheckpointDir(shared)
     return shared.rstrip("/")
 
 
@@ -32,20 +33,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote, once all that reads it has been written itself."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned, once all that reads them has been written itself."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop_old_shuffles(df: DataFrame) -> None:
-    """Spark deletes the shuffle files of ended queries once the driver's collector finds them unused; ask it to look now."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+#: A group of over 1 / HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE of these, whatever the data.
+HOT_SHARE = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, row_key: str, group_key: str, size: str = "n", sizes: DataFrame | None = None, how: str = "inner", share: int = HOT_SHARE) -> DataFrame:
+    """Join of ``rows`` to at most one row a group; all are written tables, and ``sizes`` (or ``groups``) has the rows of each group.
+
+    Hot groups, fewer than ``share``, are broadcast, so that their rows stay where they are; only the others are shuffled."""
+    sizes = groups if sizes is None else sizes
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    same = F.col(row_key) == F.col(group_key)
+    if total <= share:
+        return rows.join(groups, same, how)
+    keys = F.broadcast(sizes.where(F.col(size) * share > total).select(F.col(group_key).alias("__hot")))
+    hot = F.broadcast(groups.join(keys, F.col(group_key) == F.col("__hot"), "left_semi"))
+    rest = rows.join(keys, F.col(row_key) == F.col("__hot"), "left_anti")
+    return rows.join(keys, F.col(row_key) == F.col("__hot"), "left_semi").join(hot, same, how).unionByName(rest.join(groups, same, how))
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

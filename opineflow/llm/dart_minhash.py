@@ -16,6 +16,7 @@ an exact prefix-filter join between the components, so that no link there is los
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, key128, materialize
+from .common import documents, join_groups, key128, materialize, release
 from .components import components
 from .shingles import jaccard, mix, occurrence_sets, shingle_sets, weighted
 
-Sets = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
 SMALL_BUCKET = 8
@@ -108,8 +108,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_buckets(bands: DataFrame) -> DataFrame:
     """The (key, id) rows whose key several texts have, with n, their number."""
-    shared = bands.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
-    return materialize(bands.join(shared, F.col("key") == F.col("k")).select("key", "id", "n"), "buckets")
+    shared = materialize(bands.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
+    rows = materialize(join_groups(bands, shared, "key", "k").select("key", "id", "n"), "buckets")
+    release(shared)
+    return rows
 
 
 def bucket_pairs(rows: DataFrame, small: int = SMALL_BUCKET) -> DataFrame:
@@ -120,8 +122,8 @@ def bucket_pairs(rows: DataFrame, small: int = SMALL_BUCKET) -> DataFrame:
     # a text that shares large buckets with many others is close to the middle of its group
     liked = many.groupBy(F.col("id").alias("i")).agg(F.sum("n").alias("liked"))
     many = materialize(many.join(liked, F.col("id") == F.col("i")).select("key", "id", "liked"), "large-buckets")
-    pivots = many.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("liked", "id"))["id"].alias("p1"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))["id"].alias("p2"))
-    held = many.join(pivots, F.col("key") == F.col("k")).select("id", F.explode(F.array("p1", "p2")).alias("p")).where("id != p")
+    pivots = many.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("liked", "id"))["id"].alias("p1"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))["id"].alias("p2"), F.count("*").alias("n"))
+    held = join_groups(many, materialize(pivots, "pivots"), "key", "k").select("id", F.explode(F.array("p1", "p2")).alias("p")).where("id != p")
     return pairs.unionByName(held.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))).distinct()
 
 
@@ -129,8 +131,10 @@ def open_texts(rows: DataFrame, roots: DataFrame, small: int = SMALL_BUCKET) ->
     """(id, root) of the texts in large buckets whose texts are still of several components."""
     many = rows.where(F.col("n") > small).join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     many = materialize(many, "large-rooted")
-    several = many.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("k")
-    return materialize(many.join(several, F.col("key") == F.col("k"), "left_semi").select("id", "root").distinct(), "open")
+    several = many.groupBy(F.col("key").alias("k")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("k", "n")
+    found = materialize(join_groups(many, materialize(several, "open-keys"), "key", "k").select("id", "root").distinct(), "open")
+    release(many)
+    return found
 
 
 def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -151,16 +155,19 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                     yield pa.record_batch([row.column("id").take(same), row.column("root").take(same), pa.array(np.full(len(part), len(values))), pa.array(part)], names=["id", "root", "size", "item"])
 
     each = texts.select("id", "root", "items").mapInArrow(items, "id binary, root binary, size long, item long")
-    met = each.groupBy(F.col("item").alias("i")).agg(F.count("*").alias("met"))
+    met = each.groupBy(F.col("item").alias("i")).agg(F.count("*").alias("met"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     rarest = Window.partitionBy("id").orderBy("met", "item")
-    first = each.join(met, F.col("item") == F.col("i")).select("id", "root", "size", "item", "met", F.row_number().over(rarest).alias("at"))
-    first = first.where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1) & (F.col("met") > 1))
-    first = materialize(first.drop("met"), "prefixes")
-    x, y = first.alias("x"), first.alias("y")
+    first = each.join(met, F.col("item") == F.col("i")).select("id", "root", "size", "item", (F.col("lo") != F.col("hi")).alias("several"), F.row_number().over(rarest).alias("at"))
+    # similar sets are of one size class or of neighbouring ones
+    grade = F.floor(F.log("size") / (1.0001 * -math.log(similarity)))
+    first = first.where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1) & F.col("several"))
+    first = materialize(first.drop("several").withColumn("grade", grade), "prefixes")
+    x, y = first.withColumn("grade", F.explode(F.array("grade", F.col("grade") + 1))).alias("x"), first.alias("y")
     common = F.ceil((F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-6)
     left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + 1
-    near = (F.col("x.item") == F.col("y.item")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & (left >= common)
-    return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id")))
+    near = (F.col("x.item") == F.col("y.item")) & (F.col("x.grade") == F.col("y.grade")) & smaller & (F.col("x.root") != F.col("y.root")) & (left >= common)
+    return x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,23 +187,28 @@ def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILA
             good = [jaccard(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) >= similarity for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    def with_items(rows: DataFrame, side: str, name: str) -> DataFrame:
+        degrees = materialize(pairs.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("n")), "degrees")
+        # pivots are in many pairs; fewer than 64 sets go to all tasks
+        return join_groups(rows, sets, side, "id", sizes=degrees, share=64).withColumnRenamed("items", name).drop("id")
 
+    return with_items(with_items(pairs, "a", "x"), "b", "y").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
-def text_roots(bands: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, sets_of: Sets = _sets) -> DataFrame:
-    """(node, root) of the components of similar texts; bands are (key, id), texts (id, text), ids once each.
 
-    ``sets_of`` turns texts into (id, items), whose Jaccard is the similarity.
+def text_roots(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of the components of similar texts; bands are (key, id) of different texts, from a written table.
+
+    ``sets_of`` gives (id, items), whose Jaccard is the similarity, of a table of wanted ids.
     """
     rows = shared_buckets(bands)
     pairs = materialize(bucket_pairs(rows), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = materialize(texts.join(needed, "id").select("id", "text").mapInArrow(sets_of, "id binary, items binary"), "sets")
+    sets = materialize(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
     links = materialize(verified_links(pairs, sets, similarity), "links")
     roots = materialize(components(links), "roots")
     rest = materialize(prefix_pairs(open_texts(rows, roots).join(sets, "id"), similarity).join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
-    return components(materialize(links.unionByName(verified_links(rest, sets, similarity)), "all-links"))
+    links = materialize(links.unionByName(verified_links(rest, sets, similarity)), "all-links")
+    release(rows, pairs, sets, roots, rest)
+    return components(links)
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -208,31 +220,33 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     """
     docs = documents(docs).withColumn("id", key128(F.col("text")))
     rows = materialize(docs.select("doc_id", "id").withColumn("rid", F.monotonically_increasing_id()), "rows")
-    by_text = _classes(docs, rows, similarity)
-    rows = rows.join(by_text, F.col("id") == F.col("t"))
+    rows = join_groups(rows, _classes(docs, rows, similarity), "id", "t")
     return rows.select("doc_id", F.col("keep.doc_id").alias("class_id"), F.col("size").alias("class_size"), (F.col("rid") == F.col("keep.rid")).alias("kept"))
 
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``near_duplicate_classes`` keeps; of rows that repeat id and text, any one."""
-    tagged = docs.withColumn("__doc", F.col(id_col).cast("long")).withColumn("__id", key128(F.coalesce(F.col(text_col), F.lit(""))))
+    """The rows of ``docs``, all columns, that ``near_duplicate_classes`` keeps; of rows that repeat id and text, any one.
+
+    The row travels as one column, so its other columns may have any names."""
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), key128(F.coalesce(F.col(text_col), F.lit(""))).alias("id"))
     plain = documents(docs, id_col, text_col).withColumn("id", key128(F.col("text")))
     rows = materialize(plain.select("doc_id", "id").withColumn("rid", F.monotonically_increasing_id()), "rows")
-    keepers = _classes(plain, rows, similarity).where(F.col("t") == F.col("keep.id")).select(F.col("t").alias("__t"), F.col("keep.doc_id").alias("__keep"))
-    kept = tagged.join(keepers, (F.col("__id") == F.col("__t")) & F.col("__doc").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates(["__id"]).select(docs.columns)
+    keepers = _classes(plain, rows, similarity).where(F.col("t") == F.col("keep.id")).select("t", F.col("keep.doc_id").alias("keep_id"))
+    kept = whole.join(keepers, (F.col("id") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return kept.dropDuplicates(["id"]).select("row.*")
 
 
 def _classes(docs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """t (a text's id), keep (its class's first row) and size; docs have text and id, rows (written) doc_id, id and rid."""
+    """t (a text's id), keep (its class's first row), size and n, the text's rows; docs have text and id, rows (written) doc_id, id and rid."""
     distinct = docs.select("id", "text").dropDuplicates(["id"])
     # keys of every row, then one row a text: less to shuffle than the texts
     keys = materialize(docs.select("id", "text").mapInArrow(_keys, "id binary, keys array<long>").dropDuplicates(["id"]), "band-keys")
-    bands = keys.select(F.explode("keys").alias("key"), "id")
-    roots = text_roots(bands, distinct, similarity)
+    roots = text_roots(keys.select(F.explode("keys").alias("key"), "id"), lambda needed: distinct.join(needed, "id").select("id", "text").mapInArrow(_sets, "id binary, items binary"), similarity)
     # classes are summed up per text, then per class; only sizes and ids meet the rows again
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "id")).alias("first")
     texts = rows.groupBy("id").agg(first, F.count("*").alias("n"))
-    texts = materialize(texts.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "first", "n"), "classes")
-    classes = texts.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("keep"), F.sum("n").alias("size"))
-    return texts.join(classes, F.col("root") == F.col("r")).select(F.col("id").alias("t"), "keep", "size")
+    texts = materialize(texts.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "first", "n"), "text-roots")
+    classes = materialize(texts.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("keep"), F.sum("n").alias("size")), "classes")
+    found = materialize(join_groups(texts, classes, "root", "r", "size").select(F.col("id").alias("t"), "keep", "size", "n"), "text-classes")
+    release(keys, texts, classes)
+    return found

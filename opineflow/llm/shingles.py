@@ -40,6 +40,7 @@ class Words(NamedTuple):
     hashes: np.ndarray
     first: np.ndarray  # per text: its first word; one more entry ends the last
     offset: np.ndarray  # per text: where it begins in the concatenation
+    paragraphs: np.ndarray  # per line with words: its first word
 
 
 def words_of(texts: list[str]) -> Words:
@@ -57,7 +58,8 @@ def words_of(texts: list[str]) -> Words:
     hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     offset = np.cumsum(sizes) - sizes
-    return Words(starts, ends, hashes, np.searchsorted(starts, np.append(offset, len(points))), offset)
+    line = np.searchsorted(np.flatnonzero(points == 10), starts)
+    return Words(starts, ends, hashes, np.searchsorted(starts, np.append(offset, len(points))), offset, np.flatnonzero(np.diff(line, prepend=-1)))
 
 
 def shingle_hashes(words: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as pf
 
 from opineflow.llm import dart_minhash, line_chunks, multiset_hash, packing, secret_ledger, substring, toxicity_fm, warc
 from opineflow.llm.bpe import bpe_round_trip
@@ -368,46 +369,108 @@ def test_repeated_passages_go_in_full(spark):
     assert got[9000] == rows[-2][1] and got[9001] == rows[-1][1]
 
 
-def test_substring(spark, empty):
-    rng = random.Random(9)
-    passage = prose(rng, 70)
-    texts = [prose(rng, 80) + passage + prose(rng, 50) for _ in range(8)] + [prose(rng, 120) for _ in range(20)] + [None, "", "x"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    got = substring.repeated_paragraphs(df).collect()
-    assert {r.doc_id for r in got} == set(range(8))
-    for r in got:
-        piece, kept = texts[r.doc_id][r.start : r.end], texts[r.keep_doc_id][r.keep_start :]
-        assert kept.startswith(piece[:10]) and r.removed == ((r.doc_id, r.start) != (r.keep_doc_id, r.keep_start))
-    assert len({(r.doc_id, r.start) for r in got}) == len(got)
-    assert substring.repeated_paragraphs(empty).count() == 0
+def paragraphs_of(text):
+    """(start, end, body) of each line with words, from its first word to its last."""
+    at = 0
+    for line in (text or "").split("\n"):
+        if line.strip():
+            start = at + len(line) - len(line.lstrip())
+            yield start, start + len(line.strip()), line.strip()
+        at += len(line) + 1
 
 
-def test_substring_links(spark):
-    """All links between pieces that agree in a band are found, in large buckets too; counts the repeated rows."""
-    rng = random.Random(12)
-    bases = [[word(rng) for _ in range(18)] for _ in range(8)]
-    texts = []
-    for k in range(240):
-        w = bases[k % 8]
-        texts.append(" ".join(w[rng.randint(0, 4) : 18 - rng.randint(0, 4)] + [word(rng) for _ in range(rng.randint(0, 2))]))
-    texts += texts[:20]
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], schema=schema)
-    pieces = [r for b in substring._pieces(iter([batch])) for r in b.to_pylist()]
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (p["body"].split() for p in pieces)]
-    group = list(range(len(pieces)))
-    for i in range(len(pieces)):
+def alike(a, b, similarity=0.8):
+    if a == b:
+        return True
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return bool(x and y) and len(x & y) >= similarity * len(x | y)
+
+
+def brute_paragraphs(rows):
+    """Classes of all paragraphs by comparing every pair."""
+    units = [(*key(i), a, z, body) for i, t in rows for a, z, body in paragraphs_of(t)]
+    group = list(range(len(units)))
+    for i in range(len(units)):
         for j in range(i):
-            if set(pieces[i]["keys"]) & set(pieces[j]["keys"]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = group[i], group[j]
-                group = [b if g == a else g for g in group]
-    want, got = defaultdict(set), defaultdict(set)
-    for p, g in zip(pieces, group, strict=True):
-        want[g].add((p["doc_id"], p["start"], p["end"]))
-    for r in substring.repeated_paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect():
+            if group[i] != group[j] and alike(units[i][-1], units[j][-1]):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    classes = defaultdict(set)
+    for (no_id, i, a, z, _), g in zip(units, group, strict=True):
+        classes[g].add((None if no_id else i, a, z))
+    return [c for c in classes.values() if len(c) > 1]
+
+
+def test_paragraphs_against_all_pairs(spark, empty):
+    """End to end: equal, near and short paragraphs between different neighbours; recall 0.99, no false link."""
+    rng = random.Random(9)
+    line = lambda n: " ".join(word(rng) for _ in range(n))
+    texts, bases = [], [line(n) for n in (30, 40, 50, 60, 80, 100) for _ in range(4)]
+    for k in range(150):
+        own = bases[k % len(bases)].split(" ")
+        for at in rng.sample(range(len(own)), rng.choice([0, 1, 1, 2])):
+            own[at] = word(rng)
+        texts.append("\n".join([line(12), " ".join(own), "", line(20)]))
+    texts += [f"{line(9)}\nprivacy policy\n{line(15)}" for _ in range(20)]  # a short paragraph
+    texts += [f"{line(30)}\n\nthis one has just under the five\n\n{line(3)}"[: rng.choice([10**6, 40])] for _ in range(6)]
+    texts += ["\u65e5\u672c\u8a9e" * 1000, "x\n" + "\u65e5\u672c\u8a9e" * 1000, "y" * 5_000_000, None, "", " \n\t\n", "x"]
+    rows = list(enumerate(texts)) + [(None, texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__id": pf.lit(1), "n": pf.lit(2), "key": pf.lit(3)}).repartition(3)
+    got = defaultdict(set)
+    keeps = defaultdict(set)
+    for r in substring.repeated_paragraphs(df).where("paragraph").collect():
         got[r.keep_doc_id, r.keep_start].add((r.doc_id, r.start, r.end))
-    assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values() if len(v) > 1}
-    assert max(map(len, got.values())) > 20
+        keeps[r.keep_doc_id, r.keep_start].add(None if r.removed else (r.doc_id, r.start))
+    for at, members in got.items():
+        assert at == min(members, key=lambda m: (*key(m[0]), m[1]))[:2] and keeps[at] - {None} == {at}
+    want = brute_paragraphs(rows)
+    of = {m: n for n, c in enumerate(want) for m in c}
+    assert all(len({of[m] for m in c}) == 1 for c in got.values())  # nothing is linked that isn't alike
+    assert {m for c in want for m in c} - {m for c in got.values() for m in c} == set()
+    pairs = lambda cs: sum(len(c) * (len(c) - 1) // 2 for c in cs)
+    assert pairs(got.values()) >= 0.99 * pairs(want)
+    assert max(map(len, got.values())) >= 20
+    assert substring.repeated_paragraphs(empty).count() == 0
+
+
+def test_near_paragraph_recall():
+    """Of paragraph pairs whose Jaccard is just 0.8 or more nearly all share a band."""
+    rng, near, met = random.Random(3), 0, 0
+    for _ in range(1500):
+        a = [word(rng) for _ in range(rng.randint(40, 120))]
+        b = list(a)
+        for at in rng.sample(range(len(a)), rng.choice([1, 1, 2])):
+            b[at] = word(rng) + "x"
+        if alike(" ".join(a), " ".join(b)):
+            schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("text", pa.string())])
+            batch = pa.record_batch([pa.array([1, 2]), pa.array([1, 2]), pa.array([" ".join(a), " ".join(b)])], schema=schema)
+            keys = [set(r["keys"]) for x in substring._units(iter([batch])) for r in x.to_pylist() if r["paragraph"]]
+            near, met = near + 1, met + bool(keys[0] & keys[1])
+    assert near > 500 and met >= 0.98 * near
+
+
+def test_passages_within_paragraphs(spark):
+    """Passages of 51 words and more, in the middle of long paragraphs: at least a piece of nearly all is found, and nothing else."""
+    rng = random.Random(10)
+    line = lambda n: " ".join(word(rng) for _ in range(n))
+    passages = [line(rng.randint(51, 120)) for _ in range(60)]
+    texts = [f"{line(rng.randint(5, 90))} {p} {line(rng.randint(5, 90))}" for p in passages for _ in range(3)] + [line(200) for _ in range(30)]
+    rows = substring.repeated_paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    covered = defaultdict(int)
+    for r in rows:
+        p = passages[r.doc_id // 3]
+        at = texts[r.doc_id].index(p)
+        assert not r.paragraph and at <= r.start < r.end <= at + len(p)
+        assert texts[r.keep_doc_id][r.keep_start :].startswith(texts[r.doc_id][r.start : r.end]) and r.removed == (r.doc_id != r.keep_doc_id)
+        covered[r.doc_id] += r.end - r.start
+    assert len(covered) >= 0.97 * 180
+    assert sum(covered.values()) > 0.6 * sum(len(p) for p in passages) * 3
+
+
+def test_repeated_rows_count(spark):
+    df = spark.createDataFrame([(1, "one same line\nother"), (1, "one same line\nother"), (2, "one same line")], "doc_id long, text string")
+    got = substring.repeated_paragraphs(df).collect()
+    assert Counter((r.doc_id, r.start, r.removed) for r in got) == Counter({(1, 0, False): 1, (1, 0, True): 1, (1, 14, False): 1, (1, 14, True): 1, (2, 0, True): 1})
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
