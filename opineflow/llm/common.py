@@ -46,23 +46,23 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: A group of over 1 / HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE of these, whatever the data.
-HOT_SHARE = 1024
+#: A group of over 1 / HOT_SHARE of all rows and over HOT_ROWS rows is hot; there are fewer than HOT_SHARE of these, whatever the data.
+HOT_SHARE, HOT_ROWS = 1024, 500_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, row_key: str, group_key: str, size: str = "n", sizes: DataFrame | None = None, how: str = "inner", share: int = HOT_SHARE) -> DataFrame:
-    """Join of ``rows`` to at most one row a group; all are written tables, and ``sizes`` (or ``groups``) has the rows of each group.
+def join_groups(rows: DataFrame, groups: DataFrame, row_key: str, group_key: str, size: str = "n") -> DataFrame:
+    """Inner join of ``rows`` to one row a group, ``size`` being its rows; both are written tables.
 
-    Hot groups, fewer than ``share``, are broadcast, so that their rows stay where they are; only the others are shuffled."""
-    sizes = groups if sizes is None else sizes
-    total = sizes.agg(F.sum(size)).first()[0] or 0
+    Hot groups, fewer than HOT_SHARE, are broadcast, so that their rows stay where they are; only the others are shuffled.
+    Where there are none it is one join, whose larger partitions AQE may split."""
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    least = max((total or 0) // HOT_SHARE, HOT_ROWS)
     same = F.col(row_key) == F.col(group_key)
-    if total <= share:
-        return rows.join(groups, same, how)
-    keys = F.broadcast(sizes.where(F.col(size) * share > total).select(F.col(group_key).alias("__hot")))
-    hot = F.broadcast(groups.join(keys, F.col(group_key) == F.col("__hot"), "left_semi"))
-    rest = rows.join(keys, F.col(row_key) == F.col("__hot"), "left_anti")
-    return rows.join(keys, F.col(row_key) == F.col("__hot"), "left_semi").join(hot, same, how).unionByName(rest.join(groups, same, how))
+    if (most or 0) <= least:
+        return rows.join(groups, same)
+    hot = F.broadcast(groups.where(F.col(size) > least))
+    rest = rows.join(hot.select(F.col(group_key).alias("__hot")), F.col(row_key) == F.col("__hot"), "left_anti")
+    return rows.join(hot, same).unionByName(rest.join(groups.where(F.col(size) <= least), same))
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, materialize, release
+from .common import materialize, release
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -39,13 +39,13 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     stars around their least node, as most groups of copies are, is settled by that.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi != lo").distinct(), "edges")
-    parent = materialize(edges.groupBy("hi").agg(F.min("lo").alias("up"), F.count("*").alias("n")), "parents")
-    up, over = parent.select(F.col("hi").alias("x"), F.col("up").alias("up_hi"), "n"), parent.select(F.col("hi").alias("y"), F.col("up").alias("up_lo"))
-    low = materialize(edges.groupBy(F.col("lo").alias("y")).agg(F.count("*").alias("n")), "low-ends")  # hubs have many edges
-    redrawn = join_groups(join_groups(edges, up, "hi", "x").drop("n"), over, "lo", "y", sizes=low, how="left").select("up_hi", F.coalesce("up_lo", "lo").alias("up_lo"))
+    parent = materialize(edges.groupBy("hi").agg(F.min("lo").alias("up")), "parents")
+    up, over = parent.select(F.col("hi").alias("x"), F.col("up").alias("up_hi")), parent.select(F.col("hi").alias("y"), F.col("up").alias("up_lo"))
+    # hubs have many edges: their parents come from a written table, so that AQE can split such joins
+    redrawn = edges.join(up, F.col("hi") == F.col("x")).join(over, F.col("lo") == F.col("y"), "left").select("up_hi", F.coalesce("up_lo", "lo").alias("up_lo"))
     redrawn = redrawn.where("up_hi != up_lo").select(F.greatest("up_hi", "up_lo").alias("hi"), F.least("up_hi", "up_lo").alias("lo")).distinct()
     redrawn = materialize(redrawn, "redrawn")
-    release(edges, low)
+    release(edges)
     if redrawn.isEmpty():
         return parent.select(F.col("hi").alias("node"), F.col("up").alias("root"))
     roots = _stars(redrawn, rounds)

@@ -31,6 +31,7 @@ from .shingles import jaccard, mix, occurrence_sets, shingle_sets, weighted
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
 SMALL_BUCKET = 8
+BIT_WORDS = 8
 #: Rank cells: [0, 2^-10), coarse up to 2^-4, then doubling.
 _RANKS = [0.0, 2.0**-10, 2.0**-7, *(2.0**k for k in range(-4, 24))]
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -141,7 +142,8 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a < b) of different roots that may be similar; texts are (id, root, items), items as of ``_sets``.
 
     Prefix filter: with all items in one order, rare ones first, two sets of this similarity share an item among
-    the first size - ceil(similarity * size) + 1 of each.  Sizes and the items behind the shared one bound the rest.
+    the first size - ceil(similarity * size) + 1 of each.  Sizes and the items behind the shared one bound the rest,
+    and so do bit maps of the items: each bit that the other text lacks is at least one item it lacks.
     """
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,15 +151,19 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 values = np.frombuffer(row.column("items")[0].as_py(), np.int64)
+                met = np.zeros(64 * BIT_WORDS, np.uint8)
+                met[values.view(np.uint64) % np.uint64(len(met))] = 1
+                bits = pa.array(np.packbits(met).view(np.int64)[None].tolist(), pa.list_(pa.int64()))
                 for at in range(0, len(values), 1 << 16):
                     part = values[at : at + (1 << 16)]
                     same = pa.array(np.zeros(len(part), np.int32))
-                    yield pa.record_batch([row.column("id").take(same), row.column("root").take(same), pa.array(np.full(len(part), len(values))), pa.array(part)], names=["id", "root", "size", "item"])
+                    yield pa.record_batch([row.column("id").take(same), row.column("root").take(same), pa.array(np.full(len(part), len(values))), pa.array(part), bits.take(same)], names=["id", "root", "size", "item", "bits"])
 
-    each = texts.select("id", "root", "items").mapInArrow(items, "id binary, root binary, size long, item long")
+    each = texts.select("id", "root", "items").mapInArrow(items, "id binary, root binary, size long, item long, bits array<long>")
+    each = each.select("id", "root", "size", "item", *[F.col("bits")[k].alias(f"b{k}") for k in range(BIT_WORDS)])
     met = each.groupBy(F.col("item").alias("i")).agg(F.count("*").alias("met"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     rarest = Window.partitionBy("id").orderBy("met", "item")
-    first = each.join(met, F.col("item") == F.col("i")).select("id", "root", "size", "item", (F.col("lo") != F.col("hi")).alias("several"), F.row_number().over(rarest).alias("at"))
+    first = each.join(met, F.col("item") == F.col("i")).select(*each.columns, (F.col("lo") != F.col("hi")).alias("several"), F.row_number().over(rarest).alias("at"))
     # similar sets are of one size class or of neighbouring ones
     grade = F.floor(F.log("size") / (1.0001 * -math.log(similarity)))
     first = first.where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1) & F.col("several"))
@@ -166,7 +172,9 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     common = F.ceil((F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-6)
     left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + 1
     smaller = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.id") < F.col("y.id")))
-    near = (F.col("x.item") == F.col("y.item")) & (F.col("x.grade") == F.col("y.grade")) & smaller & (F.col("x.root") != F.col("y.root")) & (left >= common)
+    only = lambda a, b: sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.b{k}")))) for k in range(BIT_WORDS)), F.lit(0))
+    enough = (F.col("x.size") - only("x", "y") >= common) & (F.col("y.size") - only("y", "x") >= common)
+    near = (F.col("x.item") == F.col("y.item")) & (F.col("x.grade") == F.col("y.grade")) & smaller & (F.col("x.root") != F.col("y.root")) & (left >= common) & enough
     return x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -187,12 +195,8 @@ def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILA
             good = [jaccard(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) >= similarity for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def with_items(rows: DataFrame, side: str, name: str) -> DataFrame:
-        degrees = materialize(pairs.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("n")), "degrees")
-        # pivots are in many pairs; fewer than 64 sets go to all tasks
-        return join_groups(rows, sets, side, "id", sizes=degrees, share=64).withColumnRenamed("items", name).drop("id")
-
-    return with_items(with_items(pairs, "a", "x"), "b", "y").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
 
 
 def text_roots(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY) -> DataFrame:
