@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release
 
+#: Up to so many edges are no work to deal out.
+SMALL = 20_000
+
 
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first())
@@ -15,20 +18,22 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def _stars(edges: DataFrame, rounds: int) -> DataFrame:
     """(node, root) of a small graph.  Large stars tie larger neighbours to the least one, small stars the rest;
     minima are taken before the shuffle, and a hot node's edges are joined, not gathered."""
-    before = None
+    before = _fingerprint(edges)
+    together = (lambda df: df.coalesce(1)) if before[0] <= SMALL else (lambda df: df)  # a small graph's rounds need no shuffles
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).select(F.col("hi").alias("u"), F.col("lo").alias("v"))
+        now = together(edges)
+        both = together(now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))).select(F.col("hi").alias("u"), F.col("lo").alias("v"))
         least = both.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m")).select("c", F.least("c", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy(F.col("hi").alias("c")).agg(F.min("lo").alias("m"))
         small = large.join(least, F.col("hi") == F.col("c"))
-        small = small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi != lo").unionByName(least.select(F.col("c").alias("hi"), F.col("m").alias("lo")))
-        old, edges = edges, materialize(small.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(), "stars")
-        release(old)
-        now = _fingerprint(edges)
-        if now == before:
+        small = together(small.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi != lo").unionByName(least.select(F.col("c").alias("hi"), F.col("m").alias("lo"))))
+        stars = materialize(small.select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(), "stars")
+        release(edges)
+        edges, after = stars, _fingerprint(stars)
+        if after == before:
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        before = now
+        before = after
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

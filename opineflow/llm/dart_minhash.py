@@ -31,7 +31,7 @@ from .shingles import jaccard, mix, occurrence_sets, shingle_sets, weighted
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
 SMALL_BUCKET = 8
-BIT_WORDS = 8
+BIT_WORDS, SHORT_PREFIX = 16, 32
 #: Rank cells: [0, 2^-10), coarse up to 2^-4, then doubling.
 _RANKS = [0.0, 2.0**-10, 2.0**-7, *(2.0**k for k in range(-4, 24))]
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -167,7 +167,11 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # similar sets are of one size class or of neighbouring ones
     grade = F.floor(F.log("size") / (1.0001 * -math.log(similarity)))
     first = first.where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1) & F.col("several"))
-    first = materialize(first.drop("several").withColumn("grade", grade), "prefixes")
+    # where both prefixes are short, a pair is only met at the first item that they share
+    whole = Window.partitionBy("id")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "item")).over(whole)), lambda x: x["item"])
+    prefix = F.when(F.count("*").over(whole) <= SHORT_PREFIX, in_order)
+    first = materialize(first.drop("several").withColumns({"grade": grade, "prefix": prefix}), "prefixes")
     x, y = first.withColumn("grade", F.explode(F.array("grade", F.col("grade") + 1))).alias("x"), first.alias("y")
     common = F.ceil((F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-6)
     left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + 1
@@ -175,6 +179,7 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     only = lambda a, b: sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.b{k}")))) for k in range(BIT_WORDS)), F.lit(0))
     enough = (F.col("x.size") - only("x", "y") >= common) & (F.col("y.size") - only("y", "x") >= common)
     near = (F.col("x.item") == F.col("y.item")) & (F.col("x.grade") == F.col("y.grade")) & smaller & (F.col("x.root") != F.col("y.root")) & (left >= common) & enough
+    near = near & F.coalesce(F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.item"), F.lit(True))
     return x.join(y, near).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
