@@ -213,6 +213,26 @@ def test_rare_families_are_learnt():
     assert got[rare & (y == 1)].mean() > 0.9
 
 
+def test_raw_scores_against_a_plain_loop():
+    rng = np.random.default_rng(4)
+    fm = toxicity_fm.FactorizationMachine(0.3, rng.normal(size=50).astype(np.float32), rng.normal(size=(50, 4)).astype(np.float32))
+    texts = [np.sort(rng.choice(50, n, replace=False)) for n in (1, 5, 0, 12, 2)]
+    want = []
+    for t in texts:
+        scale = max(len(t), 1) ** -0.25
+        pairs = sum(float(fm.factors[i] @ fm.factors[j]) for i in t for j in t if i < j)
+        want.append(0.3 + scale * sum(float(fm.weights[i]) for i in t) + scale**2 * pairs)
+    assert np.allclose(fm.raw(np.concatenate(texts), np.cumsum([len(t) for t in texts])), want, atol=1e-5)
+
+
+def test_one_half_is_the_best_cut():
+    rng = np.random.default_rng(6)
+    raw, y = np.round(np.concatenate([rng.normal(-3, 1, 900), rng.normal(0, 1, 100)]), 1), np.repeat([0.0, 1.0], [900, 100])
+    gain = lambda c: (raw[900:] >= c).mean() - toxicity_fm.FALSE_ALARM * (raw[:900] >= c).mean()
+    assert gain(toxicity_fm.best_cut(raw, y)) == max(gain(c) for c in np.arange(-7, 5, 0.05))
+    assert toxicity_fm.best_cut(raw, np.zeros(1000)) == 0
+
+
 def test_pairs_of_terms_are_learnt():
     """Toxic if and only if both terms are there: linear weights alone can't tell."""
     rng = np.random.default_rng(0)
