@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, key128
+from .common import documents, join_groups, key128, materialize
 
 WINDOW, EVERY = 2, 4
 PASSAGE_WORDS = 50  # a passage has more
@@ -56,8 +56,9 @@ def repeated_chunks(docs: DataFrame, window: int = WINDOW, every: int = EVERY) -
     pieces = chunks(docs, window, every).where("n_lines >= 2")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "nth")
     groups = pieces.groupBy("chunk").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
-    groups = groups.select(key128(F.col("chunk")).alias("chunk_key"), "first")
-    found = pieces.select("doc_id", "text_key", "nth", "first_line", "n_lines", key128(F.col("chunk")).alias("chunk_key"), place.alias("place")).join(groups, "chunk_key")
+    groups = materialize(groups.select(key128(F.col("chunk")).alias("common"), "first", "n"), "common-chunks")
+    found = pieces.select("doc_id", "text_key", "nth", "first_line", "n_lines", key128(F.col("chunk")).alias("chunk_key"), place.alias("place"))
+    found = join_groups(found, groups, "chunk_key", "common")
     return found.where(F.col("place") != F.col("first")).select("doc_id", "text_key", "first_line", "n_lines")
 
 
@@ -108,43 +109,44 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", key128(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
     spans = rows.mapInArrow(_passages, "doc_id long, text_key binary, first_line int, n_lines int, passage binary")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "first_line")
-    groups = spans.groupBy("passage").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("passage", "first")
-    return spans.join(groups, "passage").where(place != F.col("first")).select("doc_id", "text_key", "first_line", "n_lines")
+    groups = spans.groupBy("passage").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    groups = materialize(groups.select(F.col("passage").alias("common"), "first", "n"), "common-passages")
+    return join_groups(spans, groups, "passage", "common").where(place != F.col("first")).select("doc_id", "text_key", "first_line", "n_lines")
 
 
-def remove_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, every: int = EVERY, report: bool = False, passages: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks taken out of its texts (and, with ``report``, __removed_chunks and __removed_lines).
-
-    With ``passages`` repeated passages go too, in full; they count as chunks in the report.
-    Every row stays, as its text may still be wanted when empty; null texts stay null.  Repeated rows are one
-    document: both keep its first occurrences.  All other columns are left alone.
-    """
+def _without_chunks(docs: DataFrame, id_col: str, text_col: str, window: int, every: int, passages: bool) -> DataFrame:
+    """row (the whole one), clean (its text without the repeats), n_lines (before), chunks and lines (how many went)."""
     plain = documents(docs, id_col, text_col)
     # text_key differs within a group of copies, so at most one group of lines a document is gathered
     spans = repeated_chunks(plain, window, every)
     if passages:
         spans = spans.unionByName(repeated_passages(plain))
-    cut = spans.distinct().groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first_line", "n_lines")).alias("__cut"))
-    cut = cut.select(F.col("doc_id").alias("__cut_id"), F.col("text_key").alias("__cut_key"), "__cut")
-    rows = docs.withColumn("__key", key128(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.join(cut, F.col(id_col).cast("long").eqNullSafe(F.col("__cut_id")) & (F.col("__key") == F.col("__cut_key")), "left")
-    gone = "array_distinct(flatten(transform(__cut, c -> sequence(c.first_line, c.first_line + c.n_lines - 1))))"
-    rows = rows.withColumn("__lines", F.expr(f"if(__cut is null, null, {gone})")).withColumn("__split", F.split(F.col(text_col), "\n", -1))
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(__split) - 1), __lines), i -> if(size(__split) = 1, __split[0], __split[i])), '\n')")
-    columns = [F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
-    if report:
-        columns += [F.coalesce(F.size("__cut"), F.lit(0)).alias("__removed_chunks"), F.coalesce(F.size("__lines"), F.lit(0)).alias("__removed_lines")]
-    return rows.select(columns)
+    cut = spans.distinct().groupBy(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key")).agg(F.collect_list(F.struct("first_line", "n_lines")).alias("cut"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key128(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
+    rows = rows.join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_key") == F.col("cut_key")), "left")
+    gone = "array_distinct(flatten(transform(cut, c -> sequence(c.first_line, c.first_line + c.n_lines - 1))))"
+    rows = rows.withColumn("gone", F.expr(f"if(cut is null, null, {gone})")).withColumn("split", F.split("text", "\n", -1))
+    # split is named twice, so that the optimizer doesn't move its making into the loop
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(split) - 1), gone), i -> if(size(split) = 1, split[0], split[i])), '\n')")
+    return rows.select("row", F.when(F.col("cut").isNull(), F.col("text")).otherwise(kept).alias("clean"), F.size("split").alias("n_lines"), F.coalesce(F.size("cut"), F.lit(0)).alias("chunks"), F.coalesce(F.size("gone"), F.lit(0)).alias("lines"))
+
+
+def remove_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, every: int = EVERY, passages: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks taken out of its texts; with ``passages`` repeated passages go too, in full.
+
+    Every row stays, as its text may still be wanted when empty; null texts stay null.  Repeated rows are one
+    document: both keep its first occurrences.  All other columns are left alone, whatever their names.
+    """
+    out = _without_chunks(docs, id_col, text_col, window, every, passages)
+    return out.select([F.col("clean").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def line_chunk_digest(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_lines (before), removed_chunks, removed_lines, clean_sha256 (of the text that is left)."""
-    plain = documents(docs)
-    n_lines = F.size(F.split("text", "\n", -1))
-    out = remove_line_chunks(plain.withColumn("__n", n_lines.cast("long")), report=True)
+    out = _without_chunks(documents(docs), "doc_id", "text", WINDOW, EVERY, False)
     return out.select(
-        "doc_id", F.col("__n").alias("n_lines"), F.col("__removed_chunks").cast("long").alias("removed_chunks"),
-        F.col("__removed_lines").cast("long").alias("removed_lines"), F.sha2("text", 256).alias("clean_sha256"),
+        F.col("row.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("chunks").cast("long").alias("removed_chunks"),
+        F.col("lines").cast("long").alias("removed_lines"), F.sha2("clean", 256).alias("clean_sha256"),
     )
 
 

@@ -48,6 +48,22 @@ def fingerprint_sums(texts: DataFrame, keys: list[str], text: str = "text") -> D
     return sums.select(*keys, *zero)
 
 
+def updated_sums(sums: DataFrame, keys: list[str], inserted: DataFrame | None = None, deleted: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """The lane sums of edited texts without hashing them anew: those of ``sums`` plus the inserted texts' elements, less the deleted ones'.
+
+    ``inserted`` and ``deleted`` have the keys and a text; several a key, and keys that ``sums`` lacks, are allowed.
+    Only what was there may be deleted: counts are never below 0."""
+    changes = [sums]
+    for more, sign in ((inserted, 1), (deleted, -1)):
+        if more is not None:
+            own = fingerprint_sums(more.select(*keys, text), keys, text)
+            changes.append(own.select(*keys, *[(sign * F.col(c)).alias(c) for c in own.columns if c not in keys]))
+    both = changes[0]
+    for c in changes[1:]:
+        both = both.unionByName(c)
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums.columns if c not in keys])
+
+
 def fingerprint_text(prefix: str = "") -> Column:
     """The fingerprint as hex: element count, exact words modulo 2^32, sign counts modulo 2^31."""
     name = lambda c: F.col(prefix + c)

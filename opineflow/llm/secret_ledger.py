@@ -1,8 +1,9 @@
 r"""Secret scans over an incremental blob ledger, in DataFrame functions only.
 
 Every historical version of a path is content-addressed; a blob that several paths or versions share
-is scanned once per rule version, and a ledger of (blob, rule set version) pairs makes later runs
-scan only what is new.  Findings hang on blobs and are joined back to all paths.
+is scanned once per rule version, and a ledger of (blob, rule, rule version) makes later runs scan only
+unseen pairs: a changed rule is run over all blobs, the others over new blobs.  A rule's version is a
+digest of the rule itself.  Findings hang on blobs and are joined back to all paths.
 
 Spans are found without offsets from the regex engine: matches and the pieces between them alternate,
 so a match starts where the lengths of all pieces and matches before it add up to (code points).
@@ -11,6 +12,7 @@ so a match starts where the lengths of all pieces and matches before it add up t
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import sha256
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,10 @@ class Rule(NamedTuple):
     group: int = 0  # the group whose length counts
     least: int = 1  # its least length; shorter matches are dropped after matching
 
+    @property
+    def version(self) -> str:
+        return sha256(f"{self.kind}\0{self.pattern}\0{self.group}\0{self.least}".encode()).hexdigest()[:16]
+
 
 #: Base rules, leftmost and non-overlapping per kind; their order breaks ties of start.
 BASE_RULES = (
@@ -38,7 +44,6 @@ ADDED_RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("forge", "gh[pousr]_[A-Za-z0-9]{36,}"),
 )
-RULES_VERSION = 2
 _SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
 
@@ -61,50 +66,59 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(F.rlike(text, pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
-def scan_blobs(blobs: DataFrame, rules: Sequence[Rule] = BASE_RULES + ADDED_RULES) -> DataFrame:
-    """blob_id and all spans of its text, by start and then in the order of the rules."""
-    found = [_spans(F.col("text"), rule, rank).alias(f"k{rank}") for rank, rule in enumerate(rules)]
-    blobs = blobs.select("blob_id", *found)
-    return blobs.select("blob_id", F.array_sort(F.concat(*[f"k{rank}" for rank in range(len(rules))])).alias("spans"))
+def _asked(rules: Sequence[Rule]) -> Column:
+    """Whether a row of the ledger or the findings is of one of these rules, as it is now."""
+    return F.concat_ws(":", "rule", "rule_version").isin([f"{r.kind}:{r.version}" for r in rules])
 
 
-def scan_incremental(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: Sequence[Rule] = BASE_RULES + ADDED_RULES, rules_version: int = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
-    """New findings (blob_id, rules_version, spans) and new ledger rows (blob_id, rules_version).
+def scan_incremental(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: Sequence[Rule] = BASE_RULES + ADDED_RULES) -> tuple[DataFrame, DataFrame]:
+    """Findings of these rules (blob_id, rule, rule_version, spans), earlier ones included, and new ledger rows (blob_id, rule, rule_version).
 
-    ``versions`` has a ``text`` per path and version.  Blobs that the ledger has under this rules
-    version are not scanned; append both results to the tables kept, after earlier ``findings``.
+    ``versions`` has a ``text`` per path and version.  Pairs of a blob and a rule's version that the ledger
+    has are not scanned.  Append new ledger rows and findings to the tables kept; repeats of both do no harm.
+    Findings of other rules and of older versions stay out.
     """
-    keyed = versions.select(key128(F.col("text")).alias("blob_id"), "text")
+    blobs = versions.select(key128(F.col("text")).alias("blob_id"), "text").dropDuplicates(["blob_id"])
+    seen = F.array().cast("array<string>")
     if ledger is not None:
-        seen = ledger.where(F.col("rules_version") == rules_version).select("blob_id").distinct()
-        keyed = keyed.join(seen, "blob_id", "left_anti")
-    found = scan_blobs(keyed.dropDuplicates(["blob_id"]), rules).withColumn("rules_version", F.lit(rules_version))
-    kept = found.where(F.size("spans") > 0)
+        known = ledger.where(_asked(rules)).groupBy(F.col("blob_id").alias("known")).agg(F.collect_set("rule").alias("seen"))  # as many as there are rules
+        blobs = blobs.join(known, F.col("blob_id") == F.col("known"), "left").where(F.coalesce(F.size("seen"), F.lit(0)) < len(rules))
+        seen = F.coalesce("seen", seen)
+    scans = [F.when(~F.array_contains(seen, rule.kind), F.struct(F.lit(rule.kind).alias("rule"), F.lit(rule.version).alias("rule_version"), _spans(F.col("text"), rule, rank).alias("spans"))) for rank, rule in enumerate(rules)]
+    scanned = blobs.select("blob_id", F.filter(F.array(*scans), lambda x: x.isNotNull()).alias("scans"))
+    hits = scanned.select("blob_id", F.explode(F.filter("scans", lambda x: F.size(x["spans"]) > 0)).alias("s")).select("blob_id", "s.*")
     if findings is not None:
-        kept = findings.unionByName(kept)
-    return kept, found.select("blob_id", "rules_version")
+        hits = findings.where(_asked(rules)).unionByName(hits).dropDuplicates(["blob_id", "rule"])
+    return hits, scanned.select("blob_id", F.explode("scans").alias("s")).select("blob_id", "s.rule", "s.rule_version")
+
+
+def spans_of_blobs(findings: DataFrame, rules: Sequence[Rule] = BASE_RULES + ADDED_RULES) -> DataFrame:
+    """blob_id and all its spans, by start and then in the order of ``rules``."""
+    rank = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)])
+    ranked = findings.select("blob_id", F.transform("spans", lambda s: s.withField("rank", rank[F.col("rule")])).alias("spans"))
+    return ranked.groupBy("blob_id").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))  # a row a rule
+
 
+def findings_by_path(paths: DataFrame, blob: Column, found: DataFrame, salts: int = 16) -> DataFrame:
+    """``row`` (each one of ``paths``, whole) and ``found``, the columns of its blob's row in the table ``found``.
 
-def findings_by_path(paths: DataFrame, findings: DataFrame, salts: int = 16) -> DataFrame:
-    """Each row of ``paths`` (with __blob) and __spans, those of its blob; salted, as one blob may be a third of all paths."""
-    spread = findings.select(F.col("blob_id").alias("__found"), F.col("spans").alias("__spans"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__nth"))
-    paths = paths.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    joined = paths.join(spread, (F.col("__blob") == F.col("__found")) & (F.col("__salt") == F.col("__nth")), "left")
-    return joined.drop("__found", "__nth", "__salt")
+    ``blob`` makes a row's blob_id.  Salted, as one blob may be a third of all paths."""
+    spread = found.select(F.col("blob_id").alias("found_id"), F.struct([c for c in found.columns if c != "blob_id"]).alias("found"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("nth"))
+    rows = paths.select(F.struct("*").alias("row"), blob.alias("blob_id"), F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("salt"))
+    return rows.join(spread, (F.col("blob_id") == F.col("found_id")) & (F.col("salt") == F.col("nth")), "left").select("row", "found")
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = BASE_RULES + ADDED_RULES) -> DataFrame:
     """``docs``, all rows and columns, with each found span (overlapping ones as one) replaced by ``[kind]``; null texts stay null."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     findings, _ = scan_incremental(docs.select(text.alias("text")), rules=rules)
-    rows = findings_by_path(docs.withColumn("__blob", key128(text)), findings)
-    body = f"`{text_col}`"
-    clean = F.expr(f"""aggregate(__spans, struct(0L as at, '' as out),
+    rows = findings_by_path(docs, key128(text), spans_of_blobs(findings, rules)).select("row", F.col("found.spans").alias("spans"), F.col("row").getField(text_col).alias("body"))
+    clean = F.expr("""aggregate(spans, struct(0L as at, '' as out),
         (acc, s) -> if(s.start >= acc.at,
-            struct(s.end as at, concat(acc.out, substring({body}, int(acc.at) + 1, int(s.start - acc.at)), '[', s.kind, ']') as out),
+            struct(s.end as at, concat(acc.out, substring(body, int(acc.at) + 1, int(s.start - acc.at)), '[', s.kind, ']') as out),
             struct(greatest(acc.at, s.end) as at, acc.out as out)),
-        acc -> concat(acc.out, substring({body}, int(acc.at) + 1)))""")
-    return rows.select([F.when(F.col("__spans").isNull(), F.col(c)).otherwise(clean).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+        acc -> concat(acc.out, substring(body, int(acc.at) + 1)))""")
+    return rows.select([F.when(F.col("spans").isNull(), F.col("body")).otherwise(clean).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def document_secrets(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + ADDED_RULES) -> DataFrame:
@@ -117,11 +131,11 @@ def document_secrets(docs: DataFrame, rules: Sequence[Rule] = BASE_RULES + ADDED
     base = len(BASE_RULES)
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.expr(f"cast(size(filter(spans, s -> s.rank = {k})) as bigint)").alias(f"n_{rule.kind}") for k, rule in enumerate(BASE_RULES)]
-    findings = findings.select("blob_id", F.struct(*counts, listed(F.filter("spans", lambda s: s["rank"] < base)).alias("base"), listed(F.col("spans")).alias("spans")).alias("spans"))
-    out = findings_by_path(docs.select("doc_id", key128(F.col("text")).alias("__blob")), findings)
+    found = spans_of_blobs(findings, rules).select("blob_id", *counts, listed(F.filter("spans", lambda s: s["rank"] < base)).alias("base"), listed(F.col("spans")).alias("spans"))
+    out = findings_by_path(docs.select("doc_id", "text"), key128(F.col("text")), found)
     return out.select(
-        "doc_id", *[F.coalesce(F.col(f"__spans.n_{r.kind}"), F.lit(0)).alias(f"n_{r.kind}") for r in BASE_RULES],
-        F.sha2(F.coalesce("__spans.base", F.lit("")), 256).alias("base_sha256"), F.coalesce("__spans.spans", F.lit("")).alias("spans"),
+        "row.doc_id", *[F.coalesce(F.col(f"found.n_{r.kind}"), F.lit(0)).alias(f"n_{r.kind}") for r in BASE_RULES],
+        F.sha2(F.coalesce("found.base", F.lit("")), 256).alias("base_sha256"), F.coalesce("found.spans", F.lit("")).alias("spans"),
     )
 
 

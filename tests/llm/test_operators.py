@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as pf
 
 from opineflow.llm import dart_minhash, line_chunks, multiset_hash, packing, secret_ledger, substring, toxicity_fm, warc
@@ -139,14 +140,34 @@ def test_secrets(rows, docs, empty):
     assert clean.count() == len(rows) and not any(any(brute_secrets(r.text or "")[:3]) for r in clean.collect())
 
 
-def test_ledger_scans_only_new_blobs(spark):
-    versions = spark.createDataFrame([("a", 1, "token = abcdef123"), ("b", 1, "token = abcdef123"), ("c", 1, "nothing")], "path string, version int, text string")
-    found, ledger = secret_ledger.scan_incremental(versions)
-    assert (found.count(), ledger.count()) == (1, 2)
-    more = versions.unionByName(spark.createDataFrame([("c", 2, "AKIA" + "B" * 20)], versions.schema))
-    found2, new = secret_ledger.scan_incremental(more, ledger, found)
-    assert (found2.count(), new.count()) == (2, 1)
-    assert secret_ledger.scan_incremental(more, ledger, rules_version=99)[1].count() == 3
+def test_ledger_scans_only_new_pairs(spark):
+    """Three versions of two paths; then one rule is changed, one added."""
+    key_ = "AKIA" + "B" * 20
+    text = {1: f"token = abcdef123 {key_}", 2: "nothing", 3: key_}
+    versions = spark.createDataFrame([("a", 1, text[1]), ("b", 1, text[1]), ("a", 2, text[2]), ("a", 3, text[3])], "path string, version int, text string")
+    assign, access, hex_ = secret_ledger.BASE_RULES
+    found, ledger = secret_ledger.scan_incremental(versions.where("version < 3"), rules=[assign, access])
+    assert sorted(r.rule for r in found.collect()) == ["access", "assign"] and ledger.count() == 4
+    found2, new = secret_ledger.scan_incremental(versions, ledger, found, rules=[assign, access])
+    assert (found2.count(), new.count()) == (3, 2)  # the third text's two pairs
+    ledger, longer = ledger.unionByName(new), access._replace(least=30)
+    found3, new = secret_ledger.scan_incremental(versions, ledger, found2, rules=[assign, longer, hex_])
+    assert sorted((r.rule, r.rule_version) for r in new.collect()) == sorted([("access", longer.version), ("hex", hex_.version)] * 3)
+    assert [r.rule for r in found3.collect()] == ["assign"]  # what the old rule found is gone
+    rows = secret_ledger.findings_by_path(versions, secret_ledger.key128(pf.col("text")), secret_ledger.spans_of_blobs(found2, [assign, access])).collect()
+    assert Counter((r.row.path, r.row.version, r.found and len(r.found.spans)) for r in rows) == Counter({("a", 1, 2): 1, ("b", 1, 2): 1, ("a", 2, None): 1, ("a", 3, 1): 1})
+
+
+CLASHES = ["__key", "__id", "__doc", "__spans", "__blob", "__cut", "__lines", "__split", "__n", "row", "id", "key", "spans", "body", "cut", "gone", "split", "found", "blob_id", "salt", "keep", "t", "clean"]
+
+
+def test_columns_of_any_name_are_left_alone(spark, rows):
+    docs = spark.createDataFrame(rows[:30] + [(900, rows[0][1] + " token = abcdef123", "en", "s", None)], SCHEMA).withColumns({c: pf.lit(c) for c in CLASHES})
+    model = toxicity_fm.fit([], np.zeros(0))
+    for change in (line_chunks.remove_line_chunks, dart_minhash.keep_one_per_class, secret_ledger.redact_secrets, lambda d: toxicity_fm.drop_toxic(d, model._replace(bias=-1.0))):
+        out = change(docs)
+        got = out.collect()
+        assert out.columns == docs.columns and got and all(r[c] == c for r in got for c in CLASHES)
 
 
 @pytest.mark.parametrize("sizes", [(16384, 8192), (64, 16)])
@@ -265,6 +286,44 @@ def test_fingerprints(spark, rows, docs, empty):
     assert multiset_hash.document_fingerprints(docs).count() == len(rows)
 
 
+def brute_lanes(text):
+    """Sums of random signs, and exact words, over the elements of a text."""
+    signs, words, n = [0] * 128, [0] * 8, 0
+    for unit in (x for x in re.split(r"\n+|(?<=[.!?])\s+", text) if x):
+        n += 1
+        for h in range(6):
+            v = xxhash.xxh64(unit.encode(), seed=xxhash.xxh64(h.to_bytes(8, "little"), seed=42).intdigest()).intdigest()
+            if h < 2:
+                for j in range(64):
+                    signs[(j % 32) + 32 * h + 64 * (j >= 32)] += 1 if v >> j & 1 else -1
+            else:
+                words[2 * h - 4] += v & 0xFFFFFFFF
+                words[2 * h - 3] += v >> 32
+    return np.array(signs, float), [w % 2**32 for w in words], n
+
+
+def test_likeness_against_brute_force(spark):
+    rng = random.Random(8)
+    texts = {i: ". ".join(prose(rng, rng.randint(3, 9)).replace(".", "") for _ in range(rng.choice([0, 1, 5, 20]))) for i in range(14)}
+    texts[6] = texts[5] + ". one more"
+    got = {r.doc_id: r for r in multiset_hash.document_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), parts=3).collect()}
+    like = lambda a, b: 1.0 if (a == b).all() else max(0.0, min(1.0, a @ b / (a @ a * (b @ b)) ** 0.5)) if (a @ a) * (b @ b) else 0.0
+    for i, t in texts.items():
+        nxt = texts[i - 1 if i else 13]
+        (own, words, n), (edited, *_), (after, *_) = (brute_lanes(x) for x in (t, t[: len(t) - len(t) // 2] + nxt[: len(t) // 2], nxt))
+        assert abs(got[i].near_edited - like(own, edited)) < 1e-9 and abs(got[i].near_next - like(own, after)) < 1e-9
+        assert got[i].fingerprint.startswith("".join(f"{w:08x}" for w in [n, *words]))
+
+
+def test_elements_are_inserted_and_deleted(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    sums = multiset_hash.fingerprint_sums(frame([(1, "one\ntwo\ntwo"), (2, "three")]), ["doc_id"])
+    new = multiset_hash.updated_sums(sums, ["doc_id"], inserted=frame([(1, "four"), (1, "five\nsix"), (3, "seven")]), deleted=frame([(1, "two"), (2, "three")]))
+    want = multiset_hash.fingerprint_sums(frame([(1, "six\ntwo\none\nfour\nfive"), (2, ""), (3, "seven")]), ["doc_id"])
+    text = lambda df: {r.doc_id: r.f for r in df.select("doc_id", multiset_hash.fingerprint_text().alias("f")).collect()}
+    assert text(new) == text(want)
+
+
 def shingle_counts(t):
     w = (t or "").lower().split()
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
