@@ -8,7 +8,7 @@ misses.  It is fitted with AdaGrad on a bounded sample of labelled rows; scoring
 from __future__ import annotations
 
 import re
-from collections import Counter
+import struct
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 from zlib import crc32
@@ -29,6 +29,8 @@ STEMS = (4, 5, 6, 7, 8)
 SHARED = (2, 3, 4)
 #: Terms met in fewer fitted rows keep weight 0, whatever the number of rows; decay holds down those hardly more frequent.
 LEAST_ROWS = 3
+#: Bounds of a worker's cache of words: entries, and letters of each.
+CACHE_WORDS, CACHE_LETTERS = 200_000, 40
 #: A toxic row counts as so many clean ones, as these are many.
 TOXIC_WEIGHT = 3
 #: Rows that fitting sees in all, within 8 and 16 epochs.
@@ -36,7 +38,7 @@ SEEN_ROWS = 50_000
 #: Of the fitted rows, those whose crc32(id) modulo 5 is this set where 0.5 lies; the held-out ones, of 0, never do.
 INNER = 1
 #: Where 0.5 lies, a share of clean rows above it weighs so many times as the same share of toxic rows below.
-FALSE_ALARM = 3
+FALSE_ALARM = 2
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -67,15 +69,32 @@ def _scale(sizes: np.ndarray) -> np.ndarray:
     return (np.maximum(sizes, 1) ** -0.25)[:, None]
 
 
+class _WordTerms(dict):
+    """word -> the hashes of it and of its beginnings (0: it has none so long), 4 bytes each; a bounded cache of a worker's."""
+
+    def __missing__(self, word: str) -> bytes:
+        terms = [crc32(word.encode()), *(crc32(f"{word[:n]}-".encode()) if len(word) > n else 0 for n in STEMS)]
+        raw = struct.pack(f"<{len(terms)}I", *terms)
+        if len(word) <= CACHE_LETTERS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = raw
+        return raw
+
+
+_TERMS = _WordTerms()
+
+
 def slots_of(text: str) -> np.ndarray:
     """The distinct slots of a text's terms, in order."""
-    words, mask = set(_WORD.findall(text.lower())), (1 << BITS) - 1
-    terms = set(words)
-    for n in STEMS:
-        for stem, many in Counter([w[:n] for w in words if len(w) > n]).items():
-            terms.add(stem + "-")
-            terms.update(f"{stem}-{k}" for k in SHARED if many >= k)
-    return np.unique(np.fromiter((crc32(w.encode()) & mask for w in terms), np.int32, len(terms)))
+    words = set(_WORD.findall(text.lower()))
+    if not words:
+        return np.zeros(0, np.int32)
+    hashes = np.frombuffer(b"".join(map(_TERMS.__getitem__, words)), np.uint32).reshape(len(words), -1)
+    stems, many = np.unique(hashes[:, 1:][hashes[:, 1:] > 0], return_counts=True)
+    shared = [stems[many >= k] * np.uint32(0x9E3779B1) + np.uint32(k) for k in SHARED]
+    terms = np.concatenate([hashes[:, 0], stems, *shared])
+    return np.unique((terms ^ terms >> np.uint32(BITS)) & np.uint32((1 << BITS) - 1)).astype(np.int32)
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int | None = None, rate: float = 0.7, decay: float = 0.02, batch: int = 128, seed: int = 7) -> FactorizationMachine:
