@@ -58,8 +58,8 @@ def credibility(results: DataFrame) -> DataFrame:
 
 
 def daily_totals(trades: DataFrame, start: float = 1_000_000.0) -> DataFrame:
-    """Per creator and exit day: pnl and the running total value."""
-    days = trades.groupBy("kol", F.col("exit").cast("date").alias("day")).agg(F.round(F.sum("net_pnl"), 2).alias("pnl"))
+    """Per creator and exit day: pnl in cents and the running total value; summed as whole hundredths of a cent, so in any order."""
+    days = trades.groupBy("kol", F.col("exit").cast("date").alias("day")).agg((F.rint(F.sum(F.rint(F.col("net_pnl") * 10_000).cast("long")) / 100) / 100).alias("pnl"))
     order = Window.partitionBy("kol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return days.withColumn("total", start + F.sum("pnl").over(order))
 
@@ -74,7 +74,8 @@ def drawdown(totals: DataFrame) -> DataFrame:
 
 
 def consecutive_losses(trades: DataFrame) -> DataFrame:
-    order = Window.partitionBy("kol").orderBy("exit", "l_orderkey", "l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
+    # all that tells rows apart: ties would make the runs depend on row order
+    order = Window.partitionBy("kol").orderBy("exit", "l_orderkey", "l_linenumber", "ticker", "holding_days", "net_pnl", "return_pct").rowsBetween(Window.unboundedPreceding, 0)
     t = trades.withColumn("island", F.sum(F.when(F.col("net_pnl") < 0, 0).otherwise(1)).over(order))
     runs = t.groupBy("kol", "island").agg(F.count_if(F.col("net_pnl") < 0).alias("run"))
     return runs.groupBy("kol").agg(F.max("run").alias("max_losses"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,12 +25,22 @@ def name_history(rows: DataFrame, key: str, value: str, *order: str) -> DataFram
     return changed.select(key, value, F.col(order[0]).alias("valid_from"), closed.alias("valid_to"), closed.isNull().alias("is_current"))
 
 
-def lineage_closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(ancestor, descendant) pairs reachable over child-parent edges; cycles end as pairs are distinct."""
-    edges.createOrReplaceTempView("__lineage_edges")
-    return spark.sql("""with recursive walk(ancestor, descendant) as (
-        select parent, child from __lineage_edges union all select w.ancestor, e.child from walk w join __lineage_edges e on e.parent = w.descendant)
-        select ancestor, descendant, cast(count(*) as bigint) as paths from walk group by ancestor, descendant""")
+def lineage_closure(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """Distinct (ancestor, descendant) pairs reachable over parent-child edges, cycles included.
+
+    Each round joins the paths known with themselves, so paths of length n take log n rounds; it ends once no
+    pair is new.  Rounds are cut by checkpoints in the shared folder."""
+    paths = edges.where("parent is not null and child is not null").select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct()
+    before = -1
+    for _ in range(rounds):
+        paths = paths.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else paths
+        now = paths.count()
+        if now == before:
+            return paths
+        before = now
+        longer = paths.alias("x").join(paths.alias("y"), F.col("x.descendant") == F.col("y.ancestor")).select(F.col("x.ancestor").alias("ancestor"), F.col("y.descendant").alias("descendant"))
+        paths = paths.unionByName(longer).distinct()
+    raise RuntimeError(f"paths of over 2^{rounds} edges")
 
 
 def reconcile(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

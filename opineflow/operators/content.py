@@ -37,7 +37,7 @@ def text_style(docs: DataFrame) -> DataFrame:
     words = F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: w != "")
     d = docs.select("doc_id", "text", words.alias("words"))
     n, distinct = F.size("words"), F.size(F.array_distinct("words"))
-    count = lambda p: (F.char_length("text") - F.char_length(F.regexp_replace("text", p, ""))).cast("int")
+    count = lambda p: F.regexp_count("text", F.lit(p))
     return d.select("doc_id", n.alias("words"), distinct.alias("distinct_words"), F.round(1 - F.try_divide(distinct, n), 4).alias("redundancy"), count(r"\?").alias("questions"), count("!").alias("exclamations"), count("[0-9]").alias("digits"))
 
 

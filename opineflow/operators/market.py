@@ -7,28 +7,38 @@ from pyspark.sql import functions as F
 
 
 def adjusted_bars(daily: DataFrame, factors: DataFrame, how: str = "qfq") -> DataFrame:
-    """Prices times the factor (hfq), or relative to the last factor of the queried range (qfq); gaps are filled
-    from the next factor, and days after the last one are dropped.  Change is taken of rounded prices."""
-    ahead = Window.partitionBy("ticker").orderBy("date").rowsBetween(0, Window.unboundedFollowing)
-    all_rows = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    order = Window.partitionBy("ticker").orderBy("date")
-    j = daily.join(factors, ["ticker", "date"], "left").withColumn("factor", F.first("adj_factor", ignorenulls=True).over(ahead)).where("factor is not null")
-    scale = F.col("factor") / F.last("factor").over(all_rows) if how == "qfq" else F.col("factor")
-    j = j.withColumn("scale", scale)
-    j = j.select("ticker", "date", *[F.round(F.col(c) * F.col("scale"), 2).alias(c) for c in ("close", "high", "low")])
-    return j.withColumn("change", F.round(F.col("close") - F.lag("close").over(order), 2))
+    """Prices times the factor (hfq), or relative to the last factor of the queried range (qfq: of its last day, the last ticker's);
+    gaps are filled from the next factor, and days after the last one are dropped.  Prices are rounded to cents, half to even
+    on the scaled double; change and pct_chg are taken of rounded prices."""
+    # newest first, so that the next factor is the last one met: a running frame
+    newest = Window.partitionBy("ticker").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
+    j = daily.join(factors, ["ticker", "date"], "left").withColumn("factor", F.last("adj_factor", ignorenulls=True).over(newest)).where("factor is not null")
+    scale = F.col("factor")
+    if how == "qfq":
+        j = j.crossJoin(F.broadcast(j.agg(F.max_by("factor", F.struct("date", "ticker")).alias("base"))))  # one row
+        scale = scale / F.col("base")
+    cents = lambda c: F.rint(c * 100) / 100
+    j = j.withColumn("scale", scale).select("ticker", "date", *[cents(F.col(c) * F.col("scale")).alias(c) for c in ("open", "high", "low", "close", "pre_close")])
+    j = j.withColumn("change", cents(F.col("close") - F.col("pre_close")))
+    return j.withColumn("pct_chg", cents(F.try_divide("change", "pre_close") * 100))
 
 
 def asof_bars(actions: DataFrame, bars: DataFrame) -> DataFrame:
     """Each action with the last bar on or before its day and the first on or after it.
 
-    Both tables are sorted together once per ticker and carried along, so nothing is multiplied."""
+    Both tables are sorted together once per ticker and month and carried along; what a month lacks comes from the
+    months beside it, of which there is one row each, so a ticker that most actions are about is many tasks."""
     a = actions.select("ticker", F.col("clock").cast("date").alias("date"), F.lit(1).alias("side"), "action_id", F.lit(None).cast("struct<date:date,close:double>").alias("bar"))
     b = bars.select("ticker", "date", F.lit(0).alias("side"), F.lit(None).cast("long").alias("action_id"), F.struct("date", "close").alias("bar"))
-    back = Window.partitionBy("ticker").orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("ticker").orderBy("date", F.desc("side")).rowsBetween(0, Window.unboundedFollowing)
-    j = a.unionByName(b).withColumn("last", F.last("bar", ignorenulls=True).over(back)).withColumn("next", F.first("bar", ignorenulls=True).over(ahead))
-    j = j.where("side = 1")
+    both = a.unionByName(b).withColumn("month", F.trunc("date", "MM"))
+    edges = both.groupBy("ticker", "month").agg(F.min("bar").alias("first"), F.max("bar").alias("last"))
+    earlier = Window.partitionBy("ticker").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("ticker").orderBy(F.desc("month")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select("ticker", "month", F.last("last", ignorenulls=True).over(earlier).alias("before"), F.last("first", ignorenulls=True).over(later).alias("after"))
+    back = Window.partitionBy("ticker", "month").orderBy("date", "side").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("ticker", "month").orderBy(F.desc("date"), "side").rowsBetween(Window.unboundedPreceding, 0)
+    j = both.withColumn("last", F.last("bar", ignorenulls=True).over(back)).withColumn("next", F.last("bar", ignorenulls=True).over(ahead)).where("side = 1")
+    j = j.join(edges, ["ticker", "month"]).withColumns({"last": F.coalesce("last", "before"), "next": F.coalesce("next", "after")})
     return j.select("action_id", F.col("last.date").alias("last_date"), F.col("last.close").alias("last_close"), F.col("next.date").alias("next_date"), F.col("next.close").alias("next_close"))
 
 
@@ -41,8 +51,8 @@ def neighbour_days(calendar: DataFrame) -> DataFrame:
     """For each day the trading days before and after it, and the running count of trading days.  A calendar is small."""
     order = Window.orderBy("date")
     open_day = F.when(F.col("is_open"), F.col("date"))
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    return calendar.select("date", "is_open", F.last(open_day, ignorenulls=True).over(back).alias("prev_day"), F.first(open_day, ignorenulls=True).over(ahead).alias("next_day"), F.count_if("is_open").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("open_days"))
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
+    return calendar.select("date", "is_open", F.last(open_day, ignorenulls=True).over(back).alias("prev_day"), F.last(open_day, ignorenulls=True).over(ahead).alias("next_day"), F.count_if("is_open").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("open_days"))
 
 
 # Opening, last close and the market's name; between them a lunch break counts as regular time.

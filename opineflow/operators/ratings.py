@@ -32,17 +32,26 @@ def rank_strategies(trades: DataFrame, capital: float) -> DataFrame:
 
 
 def sign_alternation(trades: DataFrame, *order: str) -> DataFrame:
-    """Share of neighbouring returns with opposite signs, per creator."""
+    """Share of neighbouring returns with opposite signs, per creator; ``order`` must tell all rows of a creator apart."""
     t = trades.withColumn("b", F.lag("return_pct").over(Window.partitionBy("kol").orderBy(*order)))
     return t.groupBy("kol").agg(F.round(F.try_divide(F.count_if(F.col("return_pct") * F.col("b") < 0), F.count("b")), 4).alias("alternation"))
 
 
 def budget_breaker(events: DataFrame, budget: int) -> DataFrame:
-    """Per type: items done until their cents reach the budget, and the item that trips the breaker."""
+    """Per type: items done until their cents reach the budget, and the item that trips the breaker.
+
+    Days are summed first; only the day on which a type's budget runs out is put in order, one a type."""
+    e = events.select("event_id", "event_type", "ts", F.to_date("ts").alias("day"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    upto = Window.partitionBy("event_type").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    days = e.groupBy("event_type", "day").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+    days = days.withColumns({"spent": F.sum("cents").over(upto), "seen": F.sum("n").over(upto)})
+    total = days.groupBy("event_type").agg(F.sum("n").alias("all"), F.min_by(F.struct("day", (F.col("spent") - F.col("cents")).alias("before"), (F.col("seen") - F.col("n")).alias("done_before")), F.when(F.col("spent") >= budget, F.col("day"))).alias("last"))
+    last = total.select("event_type", "last.*").where("day is not null")
     order = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = events.withColumn("spent", F.sum(F.round(F.col("value") * 100).cast("long")).over(order))
+    on_day = e.join(F.broadcast(last), ["event_type", "day"]).withColumn("spent", F.col("before") + F.sum("cents").over(order))
     over = F.col("spent") >= budget
-    return e.groupBy("event_type").agg((F.count_if(~over) + F.max(over.cast("int"))).alias("done"), F.min_by("event_id", F.when(over, F.col("spent"))).alias("tripped_by"))
+    trip = on_day.groupBy("event_type").agg((F.first("done_before") + F.count_if(~over) + 1).alias("tripped_at"), F.min_by("event_id", F.when(over, F.struct("ts", "event_id"))).alias("tripped_by"))
+    return total.join(trip, "event_type", "left").select("event_type", F.coalesce("tripped_at", "all").alias("done"), "tripped_by")
 
 
 def group_rates(rows: DataFrame, by: str, **flags: str) -> DataFrame:

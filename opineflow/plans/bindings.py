@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opineflow.sources.tables import table
@@ -37,6 +37,13 @@ def bars(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def daily(spark: SparkSession, root: str) -> DataFrame:
+    """Bars with an open and the close of the bar before."""
+    first = table(spark, root, "events", "event_id", "ts", "value").groupBy(F.concat(F.lit("T"), (F.col("event_id") % 11).cast("string")).alias("ticker"), F.col("ts").cast("date").alias("date")).agg(F.min_by("value", "event_id").alias("open"))
+    rows = bars(spark, root).join(first, ["ticker", "date"])
+    return rows.withColumn("pre_close", F.lag("close").over(Window.partitionBy("ticker").orderBy("date")))
+
+
 def adj_factors(daily: DataFrame) -> DataFrame:
     """Factors with gaps: every third day of the month has none."""
     day = F.dayofmonth("date")

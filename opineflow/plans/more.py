@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,24 +87,18 @@ def _pairs_json(s: SparkSession, d: str) -> DataFrame:
     return sc.preference_pairs(base._feedback(s, d)).select(F.to_json(F.struct("lang", "chosen", "rejected", "margin")).alias("line"))
 
 
-def _folders(s: SparkSession, name: str) -> tuple[str, str]:
-    shared = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    at = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
-    return f"{at}/rows", f"{at}/checkpoint"
-
-
 def _event_stream(s: SparkSession, d: str) -> DataFrame:
     return live.event_stream(s, d, table(s, d, "events").schema, "events.parquet")
 
 
 def _live_stances(s: SparkSession, d: str) -> DataFrame:
-    return live.drain_to_folder(live.live_latest(b.actions_of(_event_stream(s, d))), *_folders(s, "stances"))
+    return live.drain_to_folder(live.live_latest(b.actions_of(_event_stream(s, d))), *live.folders(s, "stances"))
 
 
 def _first_arrivals(s: SparkSession, d: str) -> DataFrame:
-    """One event a user and second, late copies left out."""
+    """Each event once, by its id: the stream holds all of them twice."""
     e = _event_stream(s, d).select("event_id", F.col("ts").cast("timestamp").alias("at"))
-    rows = live.drain_appended(live.first_arrivals(e.unionByName(e), ["event_id"], "at", "60 days"), *_folders(s, "arrivals"))
+    rows = live.drain_appended(live.first_arrivals(e.unionByName(e), ["event_id"], "at", "60 days"), *live.folders(s, "arrivals"))
     return rows.select("event_id")
 
 
@@ -162,7 +153,7 @@ _register("budget_breaker", lambda s, d: rt.budget_breaker(table(s, d, "events",
 _register("rating_engine", lambda s, d: rt.accuracy_rating(_views(s, d)), f"{_WITH}, v as (select kol, case when l_linenumber % 3 = 0 then 1.0::double else 1.5::double end as w, case when return_pct > 0 then 100 else 0 end + case when holding_days > 25 then 10 else 0 end + greatest(-20.0::double, least(20.0::double, 200 * return_pct)) as p from trades), r as (select kol, count(*) as views, greatest(0.0::double, least(100.0::double, sum(p * w) / sum(w))) as a from v group by 1) select kol, views, round(a, 3) as accuracy, case when a >= 90 then 5 when a >= 75 then 4 when a >= 60 then 3 when a >= 40 then 2 else 1 end as stars from r")
 _register("rating_from_backtest", lambda s, d: rt.backtest_rating(bt.trade_attribution(b.trades(s, d)), bt.backtest_metrics(bt.daily_totals(b.trades(s, d)))), f"{_WITH}, {base._TOTALS}, r as (select kol, pnl / total as r from totals), m as (select kol, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 4) as sharpe from r group by 1), w as (select kol, round(count(*) filter (net_pnl > 0) / count(*), 4) as win from trades group by 1) select kol, round(3 * win + 0.4::double * greatest(0.0::double, least(5.0::double, 2.5::double + coalesce(sharpe, 0))), 3) as rating from w left join m using (kol)")
 _register("strategy_ranking", lambda s, d: rt.rank_strategies(b.trades(s, d), 1_000_000.0), f"{_WITH}, e as (select kol, count(*) as n, round(sum(net_pnl) / 1000000.0::double, 6) as total_return from trades group by 1), r as (select *, cast(row_number() over (order by total_return desc, kol) as integer) as rank from e) select *, rank = 1 as best from r")
-_register("sign_alternation", lambda s, d: rt.sign_alternation(b.trades(s, d), "exit", "l_orderkey", "l_linenumber"), f"{_WITH}, t as (select kol, return_pct as r, lag(return_pct) over (partition by kol order by exit, l_orderkey, l_linenumber) as b from trades) select kol, round(count(*) filter (r * b < 0) / nullif(count(b), 0), 4) as alternation from t group by 1")
+_register("sign_alternation", lambda s, d: rt.sign_alternation(b.trades(s, d), "exit", "l_orderkey", "l_linenumber", "ticker", "holding_days", "net_pnl", "return_pct"), f"{_WITH}, t as (select kol, return_pct as r, lag(return_pct) over (partition by kol order by exit, l_orderkey, l_linenumber, ticker, holding_days, net_pnl, return_pct) as b from trades) select kol, round(count(*) filter (r * b < 0) / nullif(count(b), 0), 4) as alternation from t group by 1")
 _register("market_session_timing", _timed, f"""with {_HOURS}, e as (select event_id, case event_id % 4 when 0 then 'HK' when 1 then 'CN' when 2 then 'US' else 'XX' end as market, ts as local from events),
   s as (select e.*, first, case when first is null then 'unknown' when isodow(local) > 5 then 'non_trading_day' when cast(local as time) < first then 'pre_market' when cast(local as time) <= last then 'regular' else 'after_close' end as session from e left join h using (market))
   select event_id, market, session, case when session in ('regular', 'unknown') then local + interval 5 minute when session = 'pre_market' then cast(local as date) + first else cast(cast(local as date) + cast(greatest(1, case when isodow(local) >= 5 then 8 - isodow(local) else 1 end) as integer) as date) + first end as executable_at from s""")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +38,10 @@ _OUTCOME = f"""series as (select * from bars where close > 0),
     case when x.action_id is not null then e.entry_date end as entry_date, exit_date, round(gross - {bt.COST}, 4) as return_pct, cast(exit_date - case when x.action_id is not null then e.entry_date end as integer) as holding_days, case when x.action_id is not null then round(least(0.0::double, low), 4) end as max_drawdown
     from a left join e using (action_id) left join x using (action_id))"""
 _SETTLED = "s as (select action_id, status as old_status, case when status <> 'pending' then status when exit_reason in ('stop_loss', 'target_reached', 'time_exit') then case when return_pct > 0 then 'verified' else 'failed' end else 'pending' end as new_status from results)"
-_TOTALS = "d as (select kol, cast(exit as date) as day, round(sum(net_pnl), 2) as pnl from trades group by 1, 2), totals as (select *, 1000000.0::double + sum(pnl) over (partition by kol order by day) as total from d)"
-_ADJ = """daily as (select * from bars), adj as (select ticker, date, 1 + (day(date) % 5) / 10.0::double as adj_factor from bars where day(date) % 3 <> 0),
-  j as (select d.*, first_value(adj_factor ignore nulls) over (partition by d.ticker order by d.date rows between current row and unbounded following) as factor from daily d left join adj using (ticker, date)),
-  k as (select *, last_value(factor) over (partition by ticker order by date rows between unbounded preceding and unbounded following) as base from j where factor is not null)"""
+_TOTALS = "d as (select kol, cast(exit as date) as day, round_even(sum(cast(round_even(net_pnl * 10000, 0) as bigint)) / 100.0::double, 0) / 100 as pnl from trades group by 1, 2), totals as (select *, 1000000.0::double + sum(pnl) over (partition by kol order by day) as total from d)"
+_ADJ = """daily as (select 'T' || (event_id % 11) as ticker, cast(ts as date) as date, arg_min(value, event_id) as open, arg_max(value, event_id) as close, max(value) as high, min(value) as low from events group by 1, 2), adj as (select ticker, date, 1 + (day(date) % 5) / 10.0::double as adj_factor from bars where day(date) % 3 <> 0),
+  j as (select d.*, lag(d.close) over (partition by d.ticker order by d.date) as pre_close, first_value(adj_factor ignore nulls) over (partition by d.ticker order by d.date rows between current row and unbounded following) as factor from daily d left join adj using (ticker, date)),
+  k as (select *, last_value(factor) over (order by date, ticker rows between unbounded preceding and unbounded following) as base from j where factor is not null)"""
 _FEEDBACK = "fb as (select doc_id, lang, cast(1 + doc_id % 5 as integer) as rating, quality as ticker_correct, 1 - toxic as direction_correct from documents join labels using (doc_id))"
 _WORDS = "w as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as alias from documents), r(alias, ticker) as (values " + ", ".join(f"('{k}', '{v}')" for k, v in REGISTRY.items()) + "), m as (select doc_id, ticker, count(*) as mentions, arg_max(alias, (length(alias), alias)) as longest_alias from w join r using (alias) group by 1, 2)"
 
@@ -62,15 +61,15 @@ def _results(s: SparkSession, d: str) -> DataFrame:
 
 def _bars_and_factors(how: str) -> Query:
     def query(s: SparkSession, d: str) -> DataFrame:
-        daily = b.bars(s, d)
+        daily = b.daily(s, d)
         return mk.adjusted_bars(daily, b.adj_factors(daily), how)
 
     return query
 
 
 def _adjusted_sql(scale: str) -> str:
-    prices = ", ".join(f"round({c} * {scale}, 2) as {c}" for c in ("close", "high", "low"))
-    return f"{_WITH}, {_ADJ}, p as (select ticker, date, {prices} from k) select *, round(close - lag(close) over (partition by ticker order by date), 2) as change from p"
+    prices = ", ".join(f"round_even({c} * {scale} * 100, 0) / 100 as {c}" for c in ("open", "high", "low", "close", "pre_close"))
+    return f"{_WITH}, {_ADJ}, p as (select ticker, date, {prices} from k), q as (select *, round_even((close - pre_close) * 100, 0) / 100 as change from p) select *, round_even(change / nullif(pre_close, 0) * 100 * 100, 0) / 100 as pct_chg from q"
 
 
 def _mentions(s: SparkSession, d: str) -> DataFrame:
@@ -91,9 +90,7 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
     schema = table(s, d, "events").schema
-    name = f"windowed_{uuid.uuid4().hex[:8]}"
-    checkpoint = s.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints").rstrip("/") + f"/{name}"
-    return live.drain(live.windowed_counts(live.event_stream(s, d, schema, "events.parquet")), name, checkpoint)
+    return live.drain_to_folder(live.windowed_counts(live.event_stream(s, d, schema, "events.parquet")), *live.folders(s, "windowed"))
 
 
 _register("timeline_summary", lambda s, d: tl.timeline_summary(b.actions(s, d)), f"{_WITH} select creator_id, count(*) as total, {_DIR}, string_agg(distinct ticker, ',' order by ticker) as tickers, min(clock) as first_at, max(clock) as last_at, round(avg(confidence), 4) as avg_confidence, count(*) filter (status = 'verified') as verified, count(*) filter (status = 'pending') as pending from actions group by 1")
@@ -118,7 +115,7 @@ _register("settle_transitions", lambda s, d: bt.settle(_results(s, d)), f"{_WITH
 _register("settle_report", lambda s, d: bt.settle_report(_results(s, d)), f"{_WITH}, {_OUTCOME}, {_SETTLED} select old_status, new_status, count(*) as n from s group by 1, 2")
 _register("credibility_leaderboard", lambda s, d: bt.credibility(_results(s, d)), f"{_WITH}, {_OUTCOME}, c as (select creator_id, count(*) filter (return_pct is not null and holding_days > 0) as settled, count(*) filter (return_pct > 0 and holding_days > 0) as wins from results group by 1) select *, greatest(0, least(99, cast(round_even(40 + 55 * (wins + 2) / (settled + 4), 0) as integer))) as credibility from c")
 _register("drawdown_runs", lambda s, d: bt.drawdown(bt.daily_totals(b.trades(s, d))), f"{_WITH}, {_TOTALS}, p as (select *, max(total) over (partition by kol order by day) as peak from totals), q as (select *, case when peak > 0 then 1 - total / peak else 0 end as dd from p), i as (select *, sum(case when dd > 0 then 0 else 1 end) over (partition by kol order by day) as island from q), r as (select kol, island, max(dd) as dd, count(*) filter (dd > 0) as run from i group by 1, 2) select kol, round(max(dd), 6) as max_drawdown, max(run) as longest_run from r group by 1")
-_register("consecutive_losses", lambda s, d: bt.consecutive_losses(b.trades(s, d)), f"{_WITH}, i as (select *, sum(case when net_pnl < 0 then 0 else 1 end) over (partition by kol order by exit, l_orderkey, l_linenumber rows unbounded preceding) as island from trades), r as (select kol, island, count(*) filter (net_pnl < 0) as run from i group by 1, 2) select kol, max(run) as max_losses from r group by 1")
+_register("consecutive_losses", lambda s, d: bt.consecutive_losses(b.trades(s, d)), f"{_WITH}, i as (select *, sum(case when net_pnl < 0 then 0 else 1 end) over (partition by kol order by exit, l_orderkey, l_linenumber, ticker, holding_days, net_pnl, return_pct rows unbounded preceding) as island from trades), r as (select kol, island, count(*) filter (net_pnl < 0) as run from i group by 1, 2) select kol, max(run) as max_losses from r group by 1")
 _register("backtest_metrics", lambda s, d: bt.backtest_metrics(bt.daily_totals(b.trades(s, d))), f"{_WITH}, {_TOTALS}, r as (select kol, pnl / total as r from totals), q as (select kol, quantile_cont(r, 0.05) as v from r group by 1) select kol, count(*) as days, round(stddev_samp(r) * sqrt(252), 6) as volatility, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 4) as sharpe, round(max(v), 6) as value_at_risk, round(avg(r) filter (r <= v), 6) as expected_shortfall from r join q using (kol) group by 1")
 _register("kol_attribution", lambda s, d: bt.trade_attribution(b.trades(s, d)), f"{_WITH} select kol, count(*) as n, round(count(*) filter (net_pnl > 0) / count(*), 4) as win_rate, round(sum(case when net_pnl > 0 then net_pnl else 0 end) / nullif(sum(case when net_pnl < 0 then -net_pnl else 0 end), 0), 4) as profit_factor, round(avg(net_pnl) filter (net_pnl > 0), 2) as avg_win, round(avg(net_pnl) filter (net_pnl < 0), 2) as avg_loss, round(avg(holding_days), 2) as avg_days from trades group by 1")
 _register("perf_percentiles", lambda s, d: sc.perf_percentiles(table(s, d, "events", "event_type", "value"), "event_type", "value"), "select event_type, count(*) as n, min(value) as least, max(value) as most, round(avg(value), 4) as mean, round(quantile_cont(value, 0.5), 4) as p50, round(quantile_cont(value, 0.95), 4) as p95, round(quantile_cont(value, 0.99), 4) as p99 from events group by 1")
@@ -135,10 +132,10 @@ _register("entity_mentions", _mentions, f"with {_WORDS} select * from m")
 _register("entity_index", lambda s, d: tx.entity_index(_mentions(s, d)), f"with {_WORDS} select ticker, count(*) as texts, cast(sum(mentions) as bigint) as mentions, min(doc_id) as first_doc from m group by 1")
 _register("stratified_select", lambda s, d: tx.stratified_select(table(s, d, "documents", "doc_id", "source", "n_chars"), "source", "n_chars", "doc_id", 3), "select doc_id, source, n_chars, cast(row_number() over (partition by source order by n_chars desc, doc_id) as integer) as rank from documents qualify rank <= 3")
 _register("stratified_sample", lambda s, d: tx.stratified_sample(table(s, d, "documents", "doc_id", "source"), "source", "doc_id", 0.05, 2), "select doc_id, source, count(*) over (partition by source) as n, cast(row_number() over (partition by source order by doc_id) as integer) as rank from documents qualify rank <= least(n, greatest(2, ceil(n * 0.05)))")
-_register("integrity_antijoins", lambda s, d: ct.orphans(table(s, d, "customer", "c_custkey"), table(s, d, "orders", "o_custkey"), "c_custkey", "o_custkey"), "select c_custkey from customer anti join orders on c_custkey = o_custkey")
+_register("integrity_antijoins", lambda s, d: ct.orphans(table(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey"), table(s, d, "supplier", "s_suppkey").where("s_suppkey % 7 <> 0"), "l_suppkey", "s_suppkey"), "select l_orderkey, l_linenumber, l_suppkey from lineitem anti join (select s_suppkey from supplier where s_suppkey % 7 <> 0) on l_suppkey = s_suppkey")
 _register("latest_version", lambda s, d: ct.versions(table(s, d, "orders", "o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", "o_orderdate", "o_orderkey"), "select o_custkey, o_orderkey, o_orderdate, cast(row_number() over w as integer) as version_no, row_number() over w = count(*) over (partition by o_custkey) as is_latest from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)")
 _register("name_scd2", lambda s, d: ct.name_history(table(s, d, "orders", "o_custkey", "o_orderkey", "o_orderpriority"), "o_custkey", "o_orderpriority", "o_orderkey"), "with c as (select o_custkey, o_orderkey, o_orderpriority from orders qualify lag(o_orderpriority) over (partition by o_custkey order by o_orderkey) is distinct from o_orderpriority) select o_custkey, o_orderpriority, o_orderkey as valid_from, lead(o_orderkey) over w as valid_to, lead(o_orderkey) over w is null as is_current from c window w as (partition by o_custkey order by o_orderkey)")
-_register("lineage_closure", lambda s, d: ct.lineage_closure(s, _edges(s, d)), "with recursive e as (select 'region:' || n_regionkey as parent, 'nation:' || n_nationkey as child from nation union all select 'nation:' || s_nationkey, 'supplier:' || s_suppkey from supplier), walk as (select parent as ancestor, child as descendant from e union all select w.ancestor, e.child from walk w join e on e.parent = w.descendant) select ancestor, descendant, count(*) as paths from walk group by 1, 2")
+_register("lineage_closure", lambda s, d: ct.lineage_closure(_edges(s, d)), "with recursive e as (select 'region:' || n_regionkey as parent, 'nation:' || n_nationkey as child from nation union all select 'nation:' || s_nationkey, 'supplier:' || s_suppkey from supplier), walk as (select parent as ancestor, child as descendant from e union select w.ancestor, e.child from walk w join e on e.parent = w.descendant) select distinct ancestor, descendant from walk")
 _register("rlhf_stats", lambda s, d: sc.rlhf_stats(_feedback(s, d), s), f"with {_FEEDBACK} select r.rating, count(doc_id) as n, round(avg(ticker_correct), 4) as ticker_accuracy, round(avg(direction_correct), 4) as direction_accuracy, count(*) filter (doc_id is not null and (r.rating >= 4 or r.rating <= 2)) as dpo_ready from (select cast(x as integer) as rating from range(1, 6) t(x)) r left join fb using (rating) group by 1")
 _register("preference_pairs", lambda s, d: sc.preference_pairs(_feedback(s, d)), f"with {_FEEDBACK} select lang, arg_min(doc_id, (-rating, doc_id)) as chosen, arg_min(doc_id, (rating, doc_id)) as rejected, max(rating) - min(rating) as margin from fb group by 1 having max(rating) - min(rating) >= 2")
 _register("stream_windowed_counts", _stream, "select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,17 +13,18 @@ def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.par
 
 
 def windowed_counts(events: DataFrame, watermark: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Counts and values per window and type; a window is final once the watermark has passed it."""
+    """Counts and values per window and type.  In append mode a window is written once the watermark has passed it; in complete mode all are kept."""
     e = events.withColumn("at", F.to_timestamp_ltz("ts") if dict(events.dtypes)["ts"] == "string" else F.col("ts").cast("timestamp"))
     w = e.withWatermark("at", watermark).groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run over all data there is and return the result table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def folders(spark: SparkSession, name: str) -> tuple[str, str]:
+    """Folders for a stream's rows and its checkpoint, below the one that executors share."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/.scratch"
+    at = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{at}/rows", f"{at}/checkpoint"
 
 
 def live_latest(actions: DataFrame) -> DataFrame:
