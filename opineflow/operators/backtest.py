@@ -61,7 +61,7 @@ def daily_totals(trades: DataFrame, start: float = 1_000_000.0) -> DataFrame:
     """Per creator and exit day: pnl in cents and the running total value; summed as whole hundredths of a cent, so in any order."""
     days = trades.groupBy("kol", F.col("exit").cast("date").alias("day")).agg((F.rint(F.sum(F.rint(F.col("net_pnl") * 10_000).cast("long")) / 100) / 100).alias("pnl"))
     order = Window.partitionBy("kol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return days.withColumn("total", start + F.sum("pnl").over(order))
+    return days.withColumn("total", start + F.sum(F.rint(F.col("pnl") * 100).cast("long")).over(order) / 100)
 
 
 def drawdown(totals: DataFrame) -> DataFrame:

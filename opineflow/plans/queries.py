@@ -38,7 +38,7 @@ _OUTCOME = f"""series as (select * from bars where close > 0),
     case when x.action_id is not null then e.entry_date end as entry_date, exit_date, round(gross - {bt.COST}, 4) as return_pct, cast(exit_date - case when x.action_id is not null then e.entry_date end as integer) as holding_days, case when x.action_id is not null then round(least(0.0::double, low), 4) end as max_drawdown
     from a left join e using (action_id) left join x using (action_id))"""
 _SETTLED = "s as (select action_id, status as old_status, case when status <> 'pending' then status when exit_reason in ('stop_loss', 'target_reached', 'time_exit') then case when return_pct > 0 then 'verified' else 'failed' end else 'pending' end as new_status from results)"
-_TOTALS = "d as (select kol, cast(exit as date) as day, round_even(sum(cast(round_even(net_pnl * 10000, 0) as bigint)) / 100.0::double, 0) / 100 as pnl from trades group by 1, 2), totals as (select *, 1000000.0::double + sum(pnl) over (partition by kol order by day) as total from d)"
+_TOTALS = "d as (select kol, cast(exit as date) as day, round_even(sum(cast(round_even(net_pnl * 10000, 0) as bigint)) / 100.0::double, 0) / 100 as pnl from trades group by 1, 2), totals as (select *, 1000000.0::double + sum(cast(round_even(pnl * 100, 0) as bigint)) over (partition by kol order by day) / 100.0::double as total from d)"
 _ADJ = """daily as (select 'T' || (event_id % 11) as ticker, cast(ts as date) as date, arg_min(value, event_id) as open, arg_max(value, event_id) as close, max(value) as high, min(value) as low from events group by 1, 2), adj as (select ticker, date, 1 + (day(date) % 5) / 10.0::double as adj_factor from bars where day(date) % 3 <> 0),
   j as (select d.*, lag(d.close) over (partition by d.ticker order by d.date) as pre_close, first_value(adj_factor ignore nulls) over (partition by d.ticker order by d.date rows between current row and unbounded following) as factor from daily d left join adj using (ticker, date)),
   k as (select *, last_value(factor) over (order by date, ticker rows between unbounded preceding and unbounded following) as base from j where factor is not null)"""
