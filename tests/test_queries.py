@@ -9,6 +9,7 @@ import pytest
 
 from opineflow.plans import more as _more  # noqa: F401
 from opineflow.plans import queries as plans
+from opineflow.plans import evaluate as _evaluate  # noqa: F401
 from opineflow.plans import wide as _wide  # noqa: F401
 
 ROOT = "/root/testdata/sf0.001"
