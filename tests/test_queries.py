@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from opineflow.plans import anchors as _anchors  # noqa: F401
 from opineflow.plans import more as _more  # noqa: F401
 from opineflow.plans import queries as plans
 from opineflow.plans import evaluate as _evaluate  # noqa: F401
