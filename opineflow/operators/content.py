@@ -60,9 +60,17 @@ def stratified_select(rows: DataFrame, strata: str, score: str, key: str, quota:
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= quota)
 
 
-def stratified_sample(rows: DataFrame, strata: str, key: str, rate: float, least: int) -> DataFrame:
-    """min(n, max(least, ceil(n * rate))) rows of each stratum, first by key."""
-    n = F.count("*").over(Window.partitionBy(strata))
-    rank = F.row_number().over(Window.partitionBy(strata).orderBy(key))
+def stratified_sample(rows: DataFrame, strata: str, key: str, rate: float, least: int, slices: int = 64) -> DataFrame:
+    """min(n, max(least, ceil(n * rate))) rows of each stratum, first by its numeric key.
+
+    Approximate borders cut a stratum by key into slices and the slices are counted, so that rows are put in order within a slice,
+    never within a whole stratum; slices beyond the quota are not put in order at all."""
+    cuts = rows.groupBy(F.col(strata).alias("__of")).agg(F.count("*").alias("n"), F.percentile_approx(key, [i / slices for i in range(1, slices)], 10_000).alias("__cuts"))
+    cut = rows.join(cuts, F.col(strata).eqNullSafe(F.col("__of")))
+    cut = cut.withColumn("__slice", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(key))), F.lit(0))).drop("__cuts")
+    counts = cut.groupBy(F.col("__of").alias("__in"), F.col("__slice").alias("__nth")).agg(F.count("*").alias("__n"))
+    counts = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("__in").orderBy("__nth")) - F.col("__n"))
     quota = F.least("n", F.greatest(F.lit(least), F.ceil(F.col("n") * rate)))
-    return rows.select("*", n.alias("n"), rank.alias("rank")).where(F.col("rank") <= quota)
+    near = cut.join(counts, F.col("__of").eqNullSafe(F.col("__in")) & (F.col("__slice") == F.col("__nth"))).where(F.col("__before") < quota)
+    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__of", "__slice").orderBy(key))
+    return near.withColumn("rank", rank.cast("int")).where(F.col("rank") <= quota).select(*rows.columns, "n", "rank")

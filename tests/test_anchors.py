@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 from opineflow.operators.anchoring import dates_in, entity_spans, temporal_spans
+from opineflow.operators.content import stratified_sample
 from opineflow.operators.creators import creator_bands
 from opineflow.sources.tables import action_files
 
@@ -55,3 +56,12 @@ def test_action_files(spark, tmp_path):
     (tmp_path / "deep" / "torn.action.json").write_text('{"id": "3", "tick')
     (tmp_path / "other.json").write_text(json.dumps({"id": "4"}))
     assert sorted(tuple(r) for r in action_files(spark, str(tmp_path), "id string, ticker string", "id").collect()) == [("1", "A"), ("2", "B")]
+
+
+def test_stratified_sample_by_slices(spark):
+    rows = [("hot" if i % 4 else None, i * 7919 % 5003) for i in range(5000)]
+    got = stratified_sample(spark.createDataFrame(rows, "s string, k long"), "s", "k", 0.1, 3).collect()
+    for of in ("hot", None):
+        keys = sorted(k for s, k in rows if s == of)
+        want = keys[: -(-len(keys) // 10)]
+        assert sorted((r["rank"], r.k, r.n) for r in got if r.s == of) == [(i + 1, k, len(keys)) for i, k in enumerate(want)]
