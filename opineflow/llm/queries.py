@@ -12,13 +12,17 @@ from .dart_minhash import near_duplicate_classes
 from .exact_sort import content_sort_dedup
 from .line_chunks import ORACLE_SQL as LINE_SQL
 from .line_chunks import line_chunk_digest
+from .merkle import ORACLE_SQL as MERKLE_SQL
+from .merkle import tampered_proofs
 from .multiset_hash import document_fingerprints
 from .packing import power_of_two_pack
 from .secret_ledger import ORACLE_SQL as SECRET_SQL
 from .secret_ledger import document_secrets
 from .substring import repeated_paragraphs
+from .token_counts import token_counts
 from .toxicity_fm import fit_toxicity, held_out, score_toxicity
 from .warc import warc_round_trip
+from .whitening import whitened_embeddings
 
 
 def tokenizer_path(name: str) -> str:
@@ -69,6 +73,18 @@ def op10_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunk_digest(read(spark, sf_dir, "documents"))
 
 
+def op11_radix_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_proofs(read(spark, sf_dir, "documents"))
+
+
+def op12_digit_slice_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_embeddings(read(spark, sf_dir, "embeddings"))
+
+
+def op13_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()]
     return {f.__name__: f for f in own}
@@ -87,4 +103,4 @@ _SORT_SQL = r"""with d as (select doc_id, length(coalesce(text, '')) as n, regex
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_ledger": SECRET_SQL, "op4_warc_segments": _WARC_SQL, "op5_content_sort_dedup": _SORT_SQL, "op10_line_chunk_dedup": LINE_SQL}
+    return {"op2_secret_ledger": SECRET_SQL, "op4_warc_segments": _WARC_SQL, "op5_content_sort_dedup": _SORT_SQL, "op10_line_chunk_dedup": LINE_SQL, "op11_radix_merkle": MERKLE_SQL}
