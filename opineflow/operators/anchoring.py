@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import date, timedelta
-from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The forms of dates and the terms that count from the day of publication.
 FULL_DATE = r"(?<!\d)(20\d{2})(?:年\s*|[-/.])(0?[1-9]|1[0-2])(?:月\s*|[-/.])(0?[1-9]|[12]\d|3[01])日?(?!\d)"
@@ -123,36 +124,65 @@ def temporal_spans(docs: DataFrame, id_col: str, text_col: str, published_col: s
     return rows.mapInPandas(scan, f"id {kind}, start int, end int, raw string, day date, end_day date, confidence double, rule string").withColumnRenamed("id", id_col)
 
 
-def entity_spans(docs: DataFrame, id_col: str, text_col: str, aliases: Sequence[tuple[str, str]]) -> DataFrame:
-    """A row an occurrence of an alias: id, alias, ticker, start, end (code points).
+def _beside(border: str) -> Callable[[str], bool]:
+    """Whether a character beside a word keeps it from standing alone: an ASCII letter, or a digit too."""
+    return (lambda c: c.isascii() and c.isalpha()) if border == "letters" else (lambda c: c.isascii() and c.isalnum())
 
-    Aliases of ASCII characters stand between word borders (no ASCII letter or digit beside them), others anywhere, overlapping ones too.
-    The registry is a curated list; each task makes one automaton of it, so a text is read once however many aliases there are."""
-    tickers = dict(aliases)
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def alias_hits(docs: DataFrame, keys: Sequence[str], text_col: str, aliases: Sequence[str], border: str = "words", fold: bool = False, context: int = 0) -> DataFrame:
+    """A row an occurrence of an alias: the ``keys`` of its text, alias, start, end (code points); overlapping ones too.
+
+    Aliases without a Chinese character stand alone: no ASCII letter or digit beside them (``words``), no letter (``letters``), or
+    anywhere (``none``).  ``fold`` compares in lower case, so offsets are those of the text in lower case.  With ``context`` the
+    characters before and after come along.  Null texts have no hits; aliases are a curated list without empty ones, and each task
+    makes one automaton of it, so a text is read once however many there are."""
+    wanted = sorted({a.lower() if fold else a for a in aliases})
+    if "" in wanted:
+        raise ValueError("an alias is empty")
+    around = ["before", "after"] if context else []
+    names = [*keys, "alias", "start", "end", *around]
+    schema = StructType([docs.schema[k] for k in keys]).add("alias", "string").add("start", "integer").add("end", "integer")
+    for c in around:
+        schema = schema.add(c, "string")
+    if not wanted:
+        return docs.sparkSession.createDataFrame([], schema)
+    beside, alone = _beside(border), {a for a in wanted if border != "none" and not any("一" <= c <= "鿿" for c in a)}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for alias in tickers:
+        for alias in wanted:
             automaton.add_word(alias, alias)
         automaton.make_automaton()
-
-        def bare(c: str) -> bool:
-            return not (c.isascii() and c.isalnum())
-
-        def within(text: str) -> Iterator[tuple]:
-            for last, alias in automaton.iter(text):
-                start, end = last + 1 - len(alias), last + 1
-                if not alias.isascii() or (bare(text[start - 1 : start] or " ") and bare(text[end : end + 1] or " ")):
-                    yield alias, tickers[alias], start, end
-
         for batch in batches:
-            rows = chain.from_iterable(((i, *hit) for hit in within(t)) for i, t in zip(batch["id"], batch["text"]) if t)
-            yield pd.DataFrame(list(rows), columns=["id", "alias", "ticker", "start", "end"])
+            found: list[tuple] = []
+            for row, text in enumerate(batch.column("__text").to_pylist()):
+                text = (text or "").lower() if fold else text or ""
+                for last, alias in automaton.iter(text):
+                    end = last + 1
+                    start = end - len(alias)
+                    if alias in alone and (start and beside(text[start - 1]) or end < len(text) and beside(text[end])):
+                        continue
+                    found.append((row, alias, start, end, text[max(0, start - context) : start], text[end : end + context]))
+            of, *columns = zip(*found, strict=True) if found else ((),) * 6
+            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()][: 3 + len(around)]
+            kept = [batch.column(k).take(pa.array(of, pa.int64())) for k in keys]
+            yield pa.record_batch([*kept, *(pa.array(c, t) for c, t in zip(columns, types, strict=False))], names=names)
+
+    return docs.select(*keys, F.col(text_col).alias("__text")).mapInArrow(scan, schema)
 
+
+def entity_spans(docs: DataFrame, id_col: str, text_col: str, aliases: Sequence[tuple[str, str]]) -> DataFrame:
+    """A row an occurrence of an alias and each ticker it stands for: id, alias, ticker, start, end (code points).
+
+    Aliases of ASCII characters stand between word borders (no ASCII letter or digit beside them), Chinese ones anywhere, overlapping ones too."""
+    tickers: dict[str, list[str]] = {}
+    for alias, ticker in aliases:
+        if ticker not in tickers.setdefault(alias, []):
+            tickers[alias].append(ticker)
+    hits = alias_hits(docs, [id_col], text_col, list(tickers))
     if not tickers:
-        return docs.sparkSession.createDataFrame([], f"{id_col} {kind}, alias string, ticker string, start int, end int")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(scan, f"id {kind}, alias string, ticker string, start int, end int").withColumnRenamed("id", id_col)
+        return hits.select(id_col, "alias", F.lit("").alias("ticker"), "start", "end")
+    known = F.create_map(*[c for alias, of in tickers.items() for c in (F.lit(alias), F.array(*map(F.lit, of)))])
+    return hits.select(id_col, "alias", F.explode(known[F.col("alias")]).alias("ticker"), "start", "end")
