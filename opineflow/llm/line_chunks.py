@@ -5,8 +5,9 @@ A rolling hash over the hashes of ``window`` neighbouring lines ends a chunk whe
 the same way.  Chunks of two lines or more that occur more than once in the corpus are removed from
 all documents but the first (smallest doc_id, then text hash, then place).
 
-Chunks alone leave the ends of a shared passage, and all of a short one.  With ``passages`` every run
-of whole lines of over ``PASSAGE_WORDS`` words that stands in the corpus before goes in full as well.
+Chunks alone leave the ends of a shared passage, and all of a short one.  With ``passages``, as in the
+query and the pipeline, every run of whole lines of over ``PASSAGE_WORDS`` words that stands in the
+corpus before goes in full as well.
 """
 
 from __future__ import annotations
@@ -142,23 +143,29 @@ def remove_line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def line_chunk_digest(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_lines (before), removed_chunks, removed_lines, clean_sha256 (of the text that is left)."""
-    out = _without_chunks(documents(docs), "doc_id", "text", WINDOW, EVERY, False)
+    """Per row: doc_id, n_lines (before), removed_chunks (chunks and runs that went), removed_lines, clean_sha256 (of the text that is left)."""
+    out = _without_chunks(documents(docs), "doc_id", "text", WINDOW, EVERY, True)
     return out.select(
         F.col("row.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("chunks").cast("long").alias("removed_chunks"),
         F.col("lines").cast("long").alias("removed_lines"), F.sha2("clean", 256).alias("clean_sha256"),
     )
 
 
-ORACLE_SQL = f"""with d as (select doc_id, coalesce(text, '') as text, sha256(coalesce(text, ''))[1:32] as tk, string_split(coalesce(text, ''), chr(10)) as lines from documents),
-    l as (select doc_id, tk, text, lines, unnest(range(0, length(lines))) as i from d),
-    h as (select *, ('0x' || md5(lines[i + 1])[1:7])::bigint as h from l),
-    r as (select *, (coalesce(lag(h) over (partition by doc_id, tk order by i), 0) * {_BASE} + h) % {_MOD} as roll from h),
-    e as (select *, coalesce(sum(case when i + 1 = length(lines) or roll % {EVERY} = 0 then 1 else 0 end) over (partition by doc_id, tk order by i rows between unbounded preceding and 1 preceding), 0) as nth from r),
-    c as (select doc_id, tk, nth, min(i) as first_line, count(*) as n, string_agg(lines[i + 1], chr(10) order by i) as chunk from e group by doc_id, tk, nth),
+ORACLE_SQL = rf"""with d as materialized (select doc_id, coalesce(text, '') as text, sha256(coalesce(text, ''))[1:32] as tk, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+    l as (select doc_id, tk, unnest(lines) as line, unnest(range(0, length(lines))) as i, length(lines) as n_lines from d),
+    h as (select *, ('0x' || md5(line)[1:7])::bigint as h, len(regexp_extract_all(line, '[^ 	-]+')) as words from l),
+    r as materialized (select *, (coalesce(lag(h) over w, 0) * {_BASE} + h) % {_MOD} as roll, sum(words) over w as after, sum(length(line) + 1) over w - 1 as stop from h window w as (partition by doc_id, tk order by i)),
+    e as (select *, coalesce(sum(case when i + 1 = n_lines or roll % {EVERY} = 0 then 1 else 0 end) over (partition by doc_id, tk order by i rows between unbounded preceding and 1 preceding), 0) as nth from r),
+    c as (select doc_id, tk, nth, min(i) as first_line, count(*) as n, string_agg(line, chr(10) order by i) as chunk from e group by doc_id, tk, nth),
     m as (select *, count(*) over (partition by chunk) as copies, row_number() over (partition by chunk order by doc_id, tk, nth) as k from c where n >= 2),
-    x as (select doc_id, tk, nth, n from m where copies > 1 and k > 1),
-    k as (select e.doc_id, e.tk, string_agg(e.lines[e.i + 1], chr(10) order by e.i) as rest from e anti join x using (doc_id, tk, nth) group by e.doc_id, e.tk),
-    s as (select doc_id, tk, count(*) as chunks, sum(n) as gone from x group by doc_id, tk)
-    select d.doc_id, cast(length(d.lines) as bigint) as n_lines, cast(coalesce(s.chunks, 0) as bigint) as removed_chunks, cast(coalesce(s.gone, 0) as bigint) as removed_lines, sha256(coalesce(k.rest, '')) as clean_sha256
-    from d left join k using (doc_id, tk) left join s using (doc_id, tk)"""
+    w as materialized (select doc_id, tk, i, cast(after as bigint) as after, cast(after - words as bigint) as before, stop, stop - length(line) as start from r where words > 0),
+    ps as (select a.doc_id, a.tk, a.i, z.i - a.i + 1 as n, a.start, z.stop from w a asof join w z on a.doc_id = z.doc_id and a.tk = z.tk and a.before + {PASSAGE_WORDS} < z.after
+        union select z.doc_id, z.tk, a.i, z.i - a.i + 1, a.start, z.stop from w z asof join w a on a.doc_id = z.doc_id and a.tk = z.tk and z.after - {PASSAGE_WORDS} > a.before),
+    pk as (select ps.*, sha256(substr(text, cast(start + 1 as bigint), cast(stop - start as bigint))) as passage from ps join d using (doc_id, tk)),
+    pm as (select *, count(*) over (partition by passage) as copies, row_number() over (partition by passage order by doc_id, tk, i) as k from pk),
+    x as (select doc_id, tk, first_line, n from m where copies > 1 and k > 1 union select doc_id, tk, i, n from pm where copies > 1 and k > 1),
+    gone as (select distinct doc_id, tk, unnest(range(first_line, first_line + n)) as i from x),
+    k as (select r.doc_id, r.tk, string_agg(r.line, chr(10) order by r.i) as rest from r anti join gone using (doc_id, tk, i) group by r.doc_id, r.tk),
+    s as (select doc_id, tk, count(*) as chunks from x group by doc_id, tk), t as (select doc_id, tk, count(*) as gone from gone group by doc_id, tk)
+    select d.doc_id, cast(length(d.lines) as bigint) as n_lines, cast(coalesce(s.chunks, 0) as bigint) as removed_chunks, cast(coalesce(t.gone, 0) as bigint) as removed_lines, sha256(coalesce(k.rest, '')) as clean_sha256
+    from d left join k using (doc_id, tk) left join s using (doc_id, tk) left join t using (doc_id, tk)"""

@@ -394,7 +394,8 @@ def test_signatures_estimate_weighted_jaccard():
     assert abs((s[0] == s[1]).mean() - true) < 0.04
 
 
-def brute_chunks(rows):
+def brute_chunks(rows, passages=True):
+    """The texts without repeated chunks and, by a look at all runs of lines, repeated passages."""
     docs = list({(i, t or "") for i, t, *_ in rows})
     place, text_key = {}, lambda t: hashlib.sha256(t.encode()).digest()[:16]
     for i, t in docs:
@@ -415,6 +416,18 @@ def brute_chunks(rows):
     for k, d, s in occurrences:
         if first[body(d, s)] != k:
             gone[d] |= set(range(*s))
+    if passages:
+        runs = []
+        for i, t in docs:
+            lines = t.split("\n")
+            words = [len(x.encode().split()) for x in lines]
+            runs += [((*key(i), text_key(t), a), (i, t), (a, z)) for a in range(len(lines)) for z in range(a + 1, len(lines) + 1) if words[a] and words[z - 1] and sum(words[a:z]) > 50]
+        first = {}
+        for k, d, s in runs:
+            first[body(d, s)] = min(first.get(body(d, s), k), k)
+        for k, d, s in runs:
+            if first[body(d, s)] != k:
+                gone[d] |= set(range(*s))
     return {d: "\n".join(x for n, x in enumerate(d[1].split("\n")) if n not in gone[d]) for d in docs}
 
 
@@ -425,9 +438,21 @@ def test_line_chunks(rows, docs, empty):
     assert sum(r.removed_chunks for r in got) > 0
     clean = line_chunks.remove_line_chunks(docs)
     assert clean.columns == docs.columns and clean.count() == len(rows)
+    alone = brute_chunks(rows, passages=False)
+    assert Counter((r.doc_id, r.text or "") for r in clean.collect()) == Counter((i, alone[i, t or ""]) for i, t, *_ in rows)
     assert line_chunks.line_chunk_digest(empty).count() == 0
 
 
+def test_recall_of_the_query(spark):
+    """Passages of 1-8 lines and some 60 words, in three texts each between unlike lines: all copies but the first go, and nothing else."""
+    rng = random.Random(33)
+    line = lambda n: " ".join(word(rng) for _ in range(n))
+    passages = [[line(60 // n + 1) for _ in range(n)] for n in (1, 2, 3, 4, 6, 8) for _ in range(8)]
+    rows = [(1000 * k + i, "\n".join([line(9), *p, line(9), line(7)]), "en", "s", None) for k in range(3) for i, p in enumerate(passages)]
+    got = {r.doc_id: r.removed_lines for r in line_chunks.line_chunk_digest(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == {1000 * k + i: len(p) if k else 0 for k in range(3) for i, p in enumerate(passages)}
+
+
 def test_repeated_passages_go_in_full(spark):
     """Recall of the pipeline's line dedup on passages of 1-6 lines: 1, and no other line goes."""
     import corpus_pipeline
