@@ -100,3 +100,10 @@ def trade_attribution(trades: DataFrame) -> DataFrame:
         F.round(F.avg(F.when(won, F.col("net_pnl"))), 2).alias("avg_win"), F.round(F.avg(F.when(lost, F.col("net_pnl"))), 2).alias("avg_loss"),
         F.round(F.avg("holding_days"), 2).alias("avg_days"),
     )
+
+
+def equity_snapshots(curve: DataFrame, start: float = 1_000_000.0) -> DataFrame:
+    """An equity curve (kol, day, total) with its running peak and the day's gain; the first day counts from ``start``."""
+    order = Window.partitionBy("kol").orderBy("day")
+    gain = F.col("total") - F.coalesce(F.lag("total").over(order), F.lit(start))
+    return curve.select("kol", "day", "total", F.max("total").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("peak"), (F.rint(gain * 100) / 100).alias("pnl"))

@@ -145,6 +145,10 @@ def price_route(ticker: Column) -> Column:
     return F.when(t.endswith(".HK"), "hk").when(t.rlike(r"\.(SH|SZ|SS)$|^[0-9]{6}$"), "cn").when(t.rlike("^(BTC|ETH|SOL|DOGE)([-/]?USDT?)?$"), "crypto").otherwise("us")
 
 
+def price_routes(rows: DataFrame, ticker: str) -> DataFrame:
+    return rows.withColumn("provider", price_route(F.col(ticker)))
+
+
 def subtitle_segments(files: DataFrame) -> DataFrame:
     """Segments of SRT subtitles (id, content): n, start and end in seconds, text in one line."""
     stamp = r"([0-9]{2}):([0-9]{2}):([0-9]{2})[,.]([0-9]{3})"
@@ -170,15 +174,15 @@ def exact_percentiles(samples: DataFrame, operation: str, value: str, shares: tu
     and only those that hold a wanted rank are put in order, each for itself."""
     s = samples.where(F.col(value).isNotNull()).select(F.col(operation).alias("op"), F.col(value).alias("v"))
     cuts = s.groupBy("op").agg(F.percentile_approx("v", [i / slices for i in range(1, slices)], 10_000).alias("cuts"), F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean"))
-    s = s.join(F.broadcast(cuts.select("op", "cuts")), "op").select("op", "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("slice"))
+    s = s.join(cuts.select("op", "cuts"), "op").select("op", "v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("slice"))
     counts = s.groupBy("op", "slice").agg(F.count("*").alias("in_slice"))
     counts = counts.withColumn("before", F.sum("in_slice").over(Window.partitionBy("op").orderBy("slice")) - F.col("in_slice"))
     wanted = cuts.select("op", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), (F.lit(q) * (F.col("n") - 1)).alias("rank")) for q in shares])).alias("w")).select("op", "w.*")
     wanted = wanted.select("op", "q", "rank", F.explode(F.array_distinct(F.array(F.floor("rank"), F.ceil("rank")))).alias("at"))
     place = wanted.join(counts, "op").where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("in_slice"))).select("op", "q", "rank", "at", "slice", "before")
-    needed = s.join(F.broadcast(place.select("op", "slice", "before").distinct()), ["op", "slice"])
+    needed = s.join(place.select("op", "slice", "before").distinct(), ["op", "slice"])
     numbered = needed.select("op", "v", (F.col("before") + F.row_number().over(Window.partitionBy("op", "slice").orderBy("v")) - 1).alias("at"))
-    found = numbered.join(F.broadcast(place.select("op", "q", "rank", "at")), ["op", "at"])
+    found = numbered.join(place.select("op", "q", "rank", "at"), ["op", "at"])
     weight = F.when(F.col("at") == F.floor("rank"), 1 - (F.col("rank") - F.floor("rank"))).otherwise(F.col("rank") - F.floor("rank"))
     out = found.groupBy("op").agg(*[F.round(F.sum(F.when(F.col("q") == q, F.col("v") * weight)), 4).alias(f"p{int(q * 100)}") for q in shares])
     return cuts.drop("cuts").withColumn("mean", F.round("mean", 4)).join(out, "op").withColumnRenamed("op", operation)

@@ -47,6 +47,11 @@ def trading_calendar(first, last, spark) -> DataFrame:
     return days.withColumn("is_open", F.weekday("date") < 5)
 
 
+def calendar_of(rows: DataFrame, at: str) -> DataFrame:
+    """The days on which something happened, open on weekdays."""
+    return rows.select(F.col(at).cast("date").alias("date")).distinct().withColumn("is_open", F.weekday("date") < 5)
+
+
 def neighbour_days(calendar: DataFrame) -> DataFrame:
     """For each day the trading days before and after it, and the running count of trading days.  A calendar is small."""
     order = Window.orderBy("date")

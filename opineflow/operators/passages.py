@@ -116,3 +116,9 @@ def coverage(blocks: DataFrame, mentions: DataFrame, by: str, worst: int) -> Dat
     g = blocks.join(hit, F.col("doc_id") == F.col("__d"), "left").groupBy(by).agg(F.count("*").alias("blocks"), F.count("__hit").alias("hits"))
     g = g.withColumn("rate", F.round(F.col("hits") / F.col("blocks"), 4))
     return g.withColumn("worst", F.row_number().over(Window.orderBy("rate", by)) <= worst)  # a row a group
+
+
+def overlap(items: DataFrame, training: DataFrame) -> DataFrame:
+    """Evaluation items (item_id, text) with ``leaked``: whether a training text is the same but for blanks at its ends; null texts never are."""
+    seen = training.select(F.trim("text").alias("__t")).where("__t is not null").distinct().withColumn("__seen", F.lit(True))
+    return items.join(seen, F.trim("text") == F.col("__t"), "left").select(*items.columns, F.coalesce("__seen", F.lit(False)).alias("leaked"))

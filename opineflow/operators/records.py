@@ -177,7 +177,10 @@ def change_feed(history: DataFrame, snapshots: DataFrame, limit: int) -> DataFra
 
 
 def merged_spans(spans: DataFrame, key: str) -> DataFrame:
-    """Overlapping and touching spans (start, end) of a key as one, with how many it holds."""
+    """Overlapping and touching spans (start, end) of a key as one, with how many it holds.
+
+    A span without an end is a point; one without a start has no place and is left out, as are those that end before they start."""
+    spans = spans.withColumn("end", F.coalesce("end", "start")).where(F.col("start") <= F.col("end"))
     order = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     s = spans.withColumn("fresh", F.coalesce(F.col("start") > F.max("end").over(order), F.lit(True)).cast("int"))
     s = s.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))

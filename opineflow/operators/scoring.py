@@ -6,12 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def perf_percentiles(samples: DataFrame, operation: str, value: str) -> DataFrame:
-    """Exact linear percentiles per operation."""
-    p = [F.round(F.percentile(value, F.lit(q)), 4).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)]
-    return samples.groupBy(operation).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 4).alias("mean"), *p)
-
-
 def perf_alerts(samples: DataFrame, operation: str, value: str, warn: float, critical: float) -> DataFrame:
     """Samples over budget per operation and level."""
     level = F.when(F.col(value) > critical, "critical").when(F.col(value) > warn, "warning").otherwise("ok")

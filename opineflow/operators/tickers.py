@@ -55,8 +55,8 @@ def tickers_match(a: Column, b: Column) -> Column:
 
 
 def ticker_in_text(ticker: Column, text: Column) -> Column:
-    """The ticker, or its code of two signs and more, stands in the text; an empty ticker doesn't."""
-    raw, big = F.upper(F.trim(F.coalesce(ticker, F.lit("")))), F.upper(F.coalesce(text, F.lit("")))
+    """The ticker, or its code of two signs and more, stands in the text; a leading dollar sign doesn't count, an empty ticker never does."""
+    raw, big = F.ltrim(F.upper(F.trim(F.coalesce(ticker, F.lit("")))), F.lit("$")), F.upper(F.coalesce(text, F.lit("")))
     base = F.substring_index(raw, ".", 1)
     return (raw != "") & (F.contains(big, raw) | ((F.length(base) >= 2) & F.contains(big, base)))
 
@@ -109,7 +109,19 @@ def window_suffix(period: Column) -> Column:
     return F.when(days != "", F.struct(days.cast("int").alias("days"), (F.regexp_extract(period, r"\[window=([0-9]+)d( truncated)?\]\s*$", 2) != "").alias("truncated")))
 
 
+def is_json_object(text: Column) -> Column:
+    """The text is one JSON object and nothing else.
+
+    Spark's parser leaves what follows a value unread, so the text is parsed as the first of two elements of a list: what follows the
+    object would stand between it and the closing mark, which then isn't the second and last."""
+    mark = "end of the text, 7c1e5b"
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{mark}"]')))
+    at = lambda path, kind: F.try_variant_get(parsed, path, kind)
+    whole = (at("$[1]", "string") == mark) & at("$[2]", "variant").isNull() & F.schema_of_variant(at("$[0]", "variant")).startswith("OBJECT")
+    return F.coalesce(whole, F.lit(False))
+
+
 def unfenced_json(raw: Column) -> Column:
-    """The JSON object of a model's answer, without a code fence around it; null if it doesn't parse."""
+    """The JSON object of a model's answer, without a code fence around it; null if it doesn't parse or more than an object stands there."""
     body = F.trim(F.regexp_replace(F.trim(raw), r"^```[a-zA-Z]*\s*|\s*```$", ""))
-    return F.when(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), body)
+    return F.when(is_json_object(body), body)

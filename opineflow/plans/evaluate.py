@@ -22,7 +22,7 @@ def _k():
 def _extractions(s: SparkSession, d: str) -> DataFrame:
     direction = F.element_at(F.array(*[F.lit(x) for x in ("bullish", "bearish", "neutral", "sideways")]), (_k() % 4 + 1).cast("int"))
     return table(s, d, "orders", "o_orderkey").select(
-        _k().alias("id"), F.when(_k() % 9 == 0, "NONE").when(_k() % 9 == 1, "N/A").otherwise(F.concat(F.lit("TK"), (_k() % 9).cast("string"))).alias("ticker"), direction.alias("direction"),
+        _k().alias("id"), F.when(_k() % 9 == 0, "NONE").when(_k() % 9 == 1, "N/A").otherwise(F.concat(F.when(_k() % 5 == 0, "$").otherwise(""), F.lit("TK"), (_k() % 9).cast("string"))).alias("ticker"), direction.alias("direction"),
         F.when(_k() % 3 == 0, F.array((_k() % 50).cast("double"))).otherwise(F.array().cast("array<double>")).alias("prices"), (_k() % 11 / F.lit(10.0)).alias("conviction"),
         F.when(_k() % 13 == 0, " ").otherwise("why").alias("rationale"), F.concat(F.lit("about tk"), (_k() % 6).cast("string"), F.lit(" at "), (_k() % 25).cast("string")).alias("evidence"),
     )
@@ -120,6 +120,22 @@ def _chats(s: SparkSession, d: str) -> DataFrame:
     return ev.chat_messages(table(s, d, "orders", "o_orderkey").select(_k().alias("id"), text.alias("content")))
 
 
+#: What the codes of parts become: shares of four venues, coins and names that only look like them.
+_SUFFIXES = (".hk", ".SZ", ".ss", ".SH", "", " ", ".N", "X")
+_COINS = ("BTC-USD", "eth", "SOLUSDT", "DOGE/USD", "BTCX", "ETHER")
+
+
+def _codes(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    code = F.when(k % 3 == 0, F.lpad(k.cast("string"), 6, "6")).when(k % 3 == 1, F.element_at(F.array(*map(F.lit, _COINS)), (k % 6 + 1).cast("int"))).otherwise(F.substring("p_name", 1, 4))
+    return table(s, d, "part", "p_partkey", "p_name").select("p_partkey", F.concat(code, F.element_at(F.array(*map(F.lit, _SUFFIXES)), (k % 8 + 1).cast("int"))).alias("ticker"))
+
+
+_ROUTES_SQL = f"""with c as (select p_partkey, case p_partkey % 3 when 0 then lpad(cast(p_partkey as varchar), 6, '6') when 1 then {list(_COINS)}[p_partkey % 6 + 1] else left(p_name, 4) end || {list(_SUFFIXES)}[p_partkey % 8 + 1] as ticker from part),
+    t as (select *, upper(trim(ticker)) as u from c) select p_partkey, ticker, case when u like '%.HK' then 'hk' when right(u, 3) in ('.SH', '.SZ', '.SS') or length(u) = 6 and translate(u, '0123456789', '') = '' then 'cn'
+        when u in ({", ".join(f"'{c}{x}'" for c in ("BTC", "ETH", "SOL", "DOGE") for x in ("", "USD", "USDT", "-USD", "-USDT", "/USD", "/USDT", "-", "/"))}) then 'crypto' else 'us' end as provider from t"""
+
+
 _register("reward_scores", lambda s, d: ev.reward_scores(_extractions(s, d)), _REWARD_SQL)
 _register("reference_match", lambda s, d: ev.reference_match(_golds(s, d)), "with p as (select l_orderkey as id, l_orderkey % 3 as a, l_partkey % 3 as g, l_orderkey % 4 = l_partkey % 4 as t from lineitem) select id, max(cast(a = g as integer) + cast(t as integer) + cast((a < 2) = (g < 2) as integer)) as score from p group by 1")
 _register("price_checks", lambda s, d: ev.price_checks(_priced(s, d)), "with p as (select p_partkey as id, p_size * 1.0::double as price, p_partkey % 60 as lo, p_partkey % 90 as hi, p_partkey % 3 as k, (p_size - 5.0::double) / 40 as share from part) select id, case when share < 0.1::double then 'near_52wk_low' when share > 0.9::double then 'near_52wk_high' else 'in_range' end as position, array_to_string(list_filter([case when lo >= hi then 'inverted_range' end, case when k = 0 and lo <= price then 'long_target_below_price' end, case when k = 1 and hi >= price then 'short_target_above_price' end, case when hi > 67.5 then 'far_above_range' end, case when lo < 2.5 then 'far_below_range' end], lambda e: e is not null), ',') as warnings from p")
@@ -138,7 +154,7 @@ _register("audit_bundles", _bundles, "with s as (select l_orderkey, string_agg(l
 _register("sector_proxy", _proxies, "select c_custkey as id, c_mktsegment as sector, case c_nationkey % 3 when 0 then 'CN' when 1 then 'US' else 'HK' end as market, case when c_mktsegment = 'BUILDING' then case when c_nationkey % 3 = 0 then 'B-CN' else 'B' end when c_mktsegment = 'MACHINERY' and c_nationkey % 3 = 1 then 'M-US' when c_mktsegment = 'FURNITURE' then 'F' end as symbol from customer")
 _register("account_identity", _accounts, "with k as (select distinct s_suppkey % 40 as k from supplier) select event_id as post_id, case when k is not null then 'c' || k end as creator_id from events left join k on k = user_id % 60")
 _register("stop_loss_quality", _stops, "with c as (select l_orderkey, l_shipdate as t, l_linenumber * 1000000 + l_partkey as v, min(l_quantity > 25) as hit from lineitem where l_orderkey % 3 <> 0 group by 1, 2, 3), f as (select l_orderkey, arg_min(hit, (t, v)) as hit from c group by 1) select o_custkey % 20 as kol, count(*) as views, count(hit) as validated, count(*) filter (hit) as hits from orders left join f on l_orderkey = o_orderkey where o_orderkey % 4 <> 0 group by 1")
-_register("price_routes", lambda s, d: s.createDataFrame([("0700.hk",), ("600519",), ("000001.SZ",), ("BTC-USD",), ("AAPL",), (" eth ",)], "ticker string").select("ticker", ev.price_route(F.col("ticker")).alias("provider")), "select * from (values ('0700.hk', 'hk'), ('600519', 'cn'), ('000001.SZ', 'cn'), ('BTC-USD', 'crypto'), ('AAPL', 'us'), (' eth ', 'crypto')) t(ticker, provider)")
+_register("price_routes", lambda s, d: ev.price_routes(_codes(s, d), "ticker"), _ROUTES_SQL)
 _register("subtitle_segments", _subtitles, "select o_orderkey as id, cast(n as integer) as n, case when n = 0 then o_orderkey % 50 + 0.5::double else 7200.001::double end as start, case when n = 0 then 60 + o_orderkey % 50 + 0.25::double else 7202.0::double end as \"end\", case when n = 0 then 'hello ' || (o_orderkey % 50) || ' again' else 'last' end as text from orders, (values (0), (2)) v(n)")
 _register("chat_messages", _chats, "with k as (select o_orderkey as id, o_orderkey % 100 as n, length(cast(o_orderkey % 100 as varchar)) as w from orders) select id, cast(6 as integer) as start, cast(47 + w as integer) as \"end\", 'Ann Lee' as name, '2024-01-02 09:30' as sent_at, 'first ' || n || chr(10) || 'more' as body from k union all select id, cast(47 + w as integer), cast(93 + w as integer), 'Bob', '2024-01-02 09:31', '### not a head' || chr(10) || 'second' from k")
-_register("perf_percentiles", lambda s, d: ev.exact_percentiles(table(s, d, "events", "event_type", "value"), "event_type", "value"), base._oracles["perf_percentiles"])
+_register("perf_percentiles", lambda s, d: ev.exact_percentiles(table(s, d, "events", "event_type", "value"), "event_type", "value"), "select event_type, count(*) as n, min(value) as least, max(value) as most, round(avg(value), 4) as mean, round(quantile_cont(value, 0.5), 4) as p50, round(quantile_cont(value, 0.95), 4) as p95, round(quantile_cont(value, 0.99), 4) as p99 from events group by 1")

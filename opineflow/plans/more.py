@@ -76,11 +76,8 @@ def _timed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _overlap(s: SparkSession, d: str) -> DataFrame:
-    """Benchmark items and how many of them are whole lines of the documents."""
-    lines = _docs(s, d).select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.trim("line").alias("line"))
-    items = table(s, d, "benchmark", "item_id", "text")
-    hit = items.join(lines, F.trim("text") == F.col("line"), "left_semi").select(F.col("item_id").alias("hit"))
-    return items.join(hit, F.col("item_id") == F.col("hit"), "left").agg(F.count("*").alias("items"), F.count("hit").alias("overlap"))
+    lines = _docs(s, d).select(F.explode(F.split("text", "\n", -1)).alias("text"))
+    return ps.overlap(table(s, d, "benchmark", "item_id", "text"), lines).agg(F.count("*").alias("items"), F.count_if("leaked").alias("overlap"))
 
 
 def _pairs_json(s: SparkSession, d: str) -> DataFrame:

@@ -50,6 +50,8 @@ _oracles: dict[str, str] = {}
 
 
 def _register(name: str, query: Query, sql: str | None = None) -> None:
+    if name in _queries:
+        raise ValueError(f"{name} is registered already")
     _queries[name] = query
     if sql:
         _oracles[name] = sql
@@ -109,7 +111,7 @@ _register("consistency_weighted", lambda s, d: tl.consistency(b.actions(s, d)),
 _register("adjusted_bars_qfq", _bars_and_factors("qfq"), _adjusted_sql("(factor / base)"))
 _register("adjusted_bars_hfq", _bars_and_factors("hfq"), _adjusted_sql("factor"))
 _register("asof_entry_bar", lambda s, d: mk.asof_bars(b.actions(s, d), b.bars(s, d)), f"{_WITH} select a.action_id, p.date as last_date, p.close as last_close, n.date as next_date, n.close as next_close from actions a asof left join bars p on p.ticker = a.ticker and p.date <= cast(a.clock as date) asof left join bars n on n.ticker = a.ticker and n.date >= cast(a.clock as date)")
-_register("trading_days", lambda s, d: mk.neighbour_days(mk.trading_calendar("2023-12-15", "2024-03-15", s)), "with c as (select cast(x as date) as date, isodow(x) < 6 as is_open from range(timestamp '2023-12-15', timestamp '2024-03-16', interval 1 day) r(x)) select date, is_open, last_value(case when is_open then date end ignore nulls) over (order by date rows between unbounded preceding and 1 preceding) as prev_day, first_value(case when is_open then date end ignore nulls) over (order by date rows between 1 following and unbounded following) as next_day, count(*) filter (is_open) over (order by date rows between unbounded preceding and current row) as open_days from c")
+_register("trading_days", lambda s, d: mk.neighbour_days(mk.calendar_of(table(s, d, "orders", "o_orderdate"), "o_orderdate")), "with c as (select distinct cast(o_orderdate as date) as date, isodow(o_orderdate) < 6 as is_open from orders) select date, is_open, last_value(case when is_open then date end ignore nulls) over (order by date rows between unbounded preceding and 1 preceding) as prev_day, first_value(case when is_open then date end ignore nulls) over (order by date rows between 1 following and unbounded following) as next_day, count(*) filter (is_open) over (order by date rows between unbounded preceding and current row) as open_days from c")
 _register("per_action_backtest", _results, f"{_WITH}, {_OUTCOME} select * from results")
 _register("settle_transitions", lambda s, d: bt.settle(_results(s, d)), f"{_WITH}, {_OUTCOME}, {_SETTLED} select * from s")
 _register("settle_report", lambda s, d: bt.settle_report(_results(s, d)), f"{_WITH}, {_OUTCOME}, {_SETTLED} select old_status, new_status, count(*) as n from s group by 1, 2")
@@ -118,7 +120,6 @@ _register("drawdown_runs", lambda s, d: bt.drawdown(bt.daily_totals(b.trades(s,
 _register("consecutive_losses", lambda s, d: bt.consecutive_losses(b.trades(s, d)), f"{_WITH}, i as (select *, sum(case when net_pnl < 0 then 0 else 1 end) over (partition by kol order by exit, l_orderkey, l_linenumber, ticker, holding_days, net_pnl, return_pct rows unbounded preceding) as island from trades), r as (select kol, island, count(*) filter (net_pnl < 0) as run from i group by 1, 2) select kol, max(run) as max_losses from r group by 1")
 _register("backtest_metrics", lambda s, d: bt.backtest_metrics(bt.daily_totals(b.trades(s, d))), f"{_WITH}, {_TOTALS}, r as (select kol, pnl / total as r from totals), q as (select kol, quantile_cont(r, 0.05) as v from r group by 1) select kol, count(*) as days, round(stddev_samp(r) * sqrt(252), 6) as volatility, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 4) as sharpe, round(max(v), 6) as value_at_risk, round(avg(r) filter (r <= v), 6) as expected_shortfall from r join q using (kol) group by 1")
 _register("kol_attribution", lambda s, d: bt.trade_attribution(b.trades(s, d)), f"{_WITH} select kol, count(*) as n, round(count(*) filter (net_pnl > 0) / count(*), 4) as win_rate, round(sum(case when net_pnl > 0 then net_pnl else 0 end) / nullif(sum(case when net_pnl < 0 then -net_pnl else 0 end), 0), 4) as profit_factor, round(avg(net_pnl) filter (net_pnl > 0), 2) as avg_win, round(avg(net_pnl) filter (net_pnl < 0), 2) as avg_loss, round(avg(holding_days), 2) as avg_days from trades group by 1")
-_register("perf_percentiles", lambda s, d: sc.perf_percentiles(table(s, d, "events", "event_type", "value"), "event_type", "value"), "select event_type, count(*) as n, min(value) as least, max(value) as most, round(avg(value), 4) as mean, round(quantile_cont(value, 0.5), 4) as p50, round(quantile_cont(value, 0.95), 4) as p95, round(quantile_cont(value, 0.99), 4) as p99 from events group by 1")
 _register("perf_alerts", lambda s, d: sc.perf_alerts(table(s, d, "events", "event_type", "value"), "event_type", "value", 100, 200), "select event_type, case when value > 200 then 'critical' when value > 100 then 'warning' else 'ok' end as level, count(*) as n from events group by 1, 2")
 _register("failure_rate_alert", lambda s, d: sc.failure_rate(table(s, d, "events", "event_type", "ts"), 0.2), "select cast(ts as date) as day, count(*) as n, round(count(*) filter (event_type = 'error') / count(*), 4) as rate, count(*) filter (event_type = 'error') / count(*) > 0.2 as alert from events group by 1")
 _register("sizing_bands", lambda s, d: sc.sizing_bands(b.actions(s, d)), f"{_WITH} select direction, case when direction not in ('bullish', 'bearish') then 'none' when confidence < 0.35 then 'small' when confidence < 0.70 then 'medium' else 'large' end as size_band, case time_horizon when 'short_term' then 30 when 'medium_term' then 90 else 180 end as window_days, count(*) as n, round(avg(confidence), 4) as avg_confidence from actions group by 1, 2, 3")

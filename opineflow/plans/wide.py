@@ -36,9 +36,9 @@ def _stocks(s: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("ticker"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("market"), F.when(F.col("c_nationkey") % 5 == 0, "D").otherwise("L").alias("list_status"))
 
 
-def _calendar(s: SparkSession) -> str:
+def _calendar(s: SparkSession, days: DataFrame) -> str:
+    """The days on which something happened, open on weekdays."""
     path = _folder(s, "calendar")
-    days = s.range(1).select(F.explode(F.sequence(F.to_date(F.lit("2023-12-15")), F.to_date(F.lit("2024-03-15")))).alias("day"))
     days = days.select(F.date_format("day", "yyyyMMdd").alias("cal_date"), (F.weekday("day") < 5).alias("is_open"), F.explode(F.array(F.lit("SSE"), F.lit("HKEX"))).alias("exchange"))
     ms.write_partitions(days, path, "exchange")
     return path
@@ -46,14 +46,17 @@ def _calendar(s: SparkSession) -> str:
 
 def _to_sync(s: SparkSession, d: str) -> DataFrame:
     have = s.read.schema(f"{_BARS}, date string").parquet(_daily_table(s, d)).where("int(date) % 3 <> 0").select("date")
-    return ms.days_to_sync(ms.calendar(s, _calendar(s), "SSE"), have, "2024-01-02")
+    days = table(s, d, "events", "ts").agg(F.date_sub(F.min("ts"), 17).alias("a"), F.max("ts").cast("date").alias("z")).select(F.explode(F.sequence("a", "z")).alias("day"))
+    return ms.days_to_sync(ms.calendar(s, _calendar(s, days), "SSE"), have, "2024-01-02")
 
 
 def _ledger(s: SparkSession, d: str) -> DataFrame:
     path = _folder(s, "lines")
     e = table(s, d, "events", "event_id", "event_type")
     whole = F.to_json(F.struct("event_id", "event_type"))
-    e.select(F.when(F.col("event_id") % 10 == 0, F.substring(whole, 1, 9)).when(F.col("event_id") % 10 == 1, F.lit(" ")).otherwise(whole).alias("value")).write.text(path)
+    n = F.col("event_id") % 10  # torn, blank, with more after it, two in one, a list, closed brackets
+    odd = F.when(n == 0, F.substring(whole, 1, 9)).when(n == 1, F.lit(" ")).when(n == 2, F.concat(whole, F.lit(" trailing"))).when(n == 3, F.concat(whole, whole)).when(n == 4, F.concat(F.lit("["), whole, F.lit("]"))).when(n == 5, F.concat(whole, F.lit("] x"))).when(n == 6, F.concat_ws(",", whole, whole))
+    e.select(odd.otherwise(whole).alias("value")).write.text(path)
     return ms.line_counts(ms.json_lines(s, path, "event_id long, event_type string"))
 
 
@@ -65,13 +68,9 @@ def _csv(s: SparkSession, d: str) -> DataFrame:
 
 
 def _equity(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     path = _folder(s, "equity")
     bt.daily_totals(b.trades(s, d)).select("kol", "day", "total").write.option("header", True).csv(path)
-    t = s.read.schema("kol long, day date, total double").option("header", True).csv(path)
-    order = Window.partitionBy("kol").orderBy("day")
-    return t.select("kol", "day", "total", F.max("total").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("peak"), (F.rint((F.col("total") - F.coalesce(F.lag("total").over(order), F.lit(1_000_000.0))) * 100) / 100).alias("pnl"))
+    return bt.equity_snapshots(s.read.schema("kol long, day date, total double").option("header", True).csv(path))
 
 
 def _tiers(s: SparkSession, d: str) -> DataFrame:
@@ -168,13 +167,14 @@ def _periods(s: SparkSession, d: str) -> DataFrame:
 def _answers(s: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     body = F.format_string('{"order": %d}', k)
-    raw = F.when(k % 4 == 0, body).when(k % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 4 == 2, F.lit("no answer")).otherwise(F.substring(body, 1, 8))
+    raw = F.when(k % 4 == 0, body).when(k % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 8 == 2, F.lit("no answer")).when(k % 8 == 6, F.concat(body, F.lit(" and that is all"))).otherwise(F.substring(body, 1, 8))
     return table(s, d, "orders", "o_orderkey").select("o_orderkey", tk.unfenced_json(raw).alias("answer"))
 
 
 def _spans(s: SparkSession, d: str) -> DataFrame:
     start = F.datediff("l_shipdate", F.lit("1990-01-01").cast("date"))
-    return table(s, d, "lineitem", "l_orderkey", "l_shipdate", "l_quantity").select("l_orderkey", start.alias("start"), (start + F.col("l_quantity").cast("int")).alias("end"))
+    n = F.col("l_partkey") % 10
+    return table(s, d, "lineitem", "l_orderkey", "l_shipdate", "l_quantity", "l_partkey").select("l_orderkey", F.when(n != 0, start).alias("start"), F.when(n == 2, start - 1).when(n != 1, start + F.col("l_quantity").cast("int")).alias("end"))
 
 
 def _preferences(s: SparkSession, d: str) -> DataFrame:
@@ -200,10 +200,10 @@ _SNAP = "{0} as (select s.*, credibility + case when creator_id = 'kol_2' then {
 
 _register("daily_partitions", lambda s, d: ms.daily(s, _daily_table(s, d), _BARS, "ticker,date,close", "T1, T4", start="20240105", end="2024-01-20"), f"{_WITH} select ticker, strftime(date, '%Y%m%d') as date, close from bars where ticker in ('T1', 'T4') and date between date '2024-01-05' and date '2024-01-20'")
 _register("stock_list", lambda s, d: ms.stock_list(_stocks(s, d), "ticker,name", market="BUILDING"), "select c_custkey as ticker, c_name as name from customer where c_nationkey % 5 <> 0 and c_mktsegment = 'BUILDING'")
-_register("trade_calendar", lambda s, d: ms.calendar(s, _calendar(s), "HKEX", "2024-01-01", "20240131", "1"), "select strftime(x, '%Y%m%d') as cal_date, true as is_open, 'HKEX' as exchange from range(timestamp '2024-01-01', timestamp '2024-02-01', interval 1 day) r(x) where isodow(x) < 6")
-_register("market_days_to_sync", _to_sync, "select strftime(x, '%Y%m%d') as cal_date from range(timestamp '2024-01-03', timestamp '2024-03-16', interval 1 day) r(x) where isodow(x) < 6 and cast(x as date) not in (select cast(ts as date) from events where cast(strftime(ts, '%Y%m%d') as integer) % 3 <> 0)")
+_register("trade_calendar", lambda s, d: ms.calendar(s, _calendar(s, table(s, d, "orders", "o_orderdate").select(F.col("o_orderdate").cast("date").alias("day")).distinct()), "HKEX", "1994-01-01", "19961231", "1"), "select distinct strftime(cast(o_orderdate as date), '%Y%m%d') as cal_date, true as is_open, 'HKEX' as exchange from orders where isodow(o_orderdate) < 6 and cast(o_orderdate as date) between date '1994-01-01' and date '1996-12-31'")
+_register("market_days_to_sync", _to_sync, "select strftime(x, '%Y%m%d') as cal_date from (select unnest(range(date '2024-01-03', max(cast(ts as date)) + 1, interval 1 day)) as x from events) where isodow(x) < 6 and cast(x as date) not in (select cast(ts as date) from events where cast(strftime(ts, '%Y%m%d') as integer) % 3 <> 0)")
 _register("table_readiness", lambda s, d: ms.table_readiness(b.bars(s, d), 20), f"{_WITH} select ticker, count(distinct date) as days, min(date) as first_day, max(date) as last_day, count(distinct date) >= 20 as ready from bars group by 1")
-_register("json_line_counts", _ledger, "select count(*) filter (event_id % 10 > 1) as good, count(*) filter (event_id % 10 = 0) as bad from events")
+_register("json_line_counts", _ledger, "select count(*) filter (event_id % 10 > 6) as good, count(*) filter (event_id % 10 in (0, 2, 3, 4, 5, 6)) as bad from events")
 _register("csv_prices", _csv, f"{_WITH} select '00' || ticker as ticker, date, close from bars")
 _register("equity_curve_snapshots", _equity, f"{_WITH}, {base._TOTALS} select kol, day, total, max(total) over (partition by kol order by day) as peak, round_even((total - coalesce(lag(total) over (partition by kol order by day), 1000000.0::double)) * 100, 0) / 100 as pnl from totals")
 _register("actions_first_wins", _tiers, f"{_WITH} select action_id, creator_id, case when action_id % 3 = 0 then status else 'later' end as status, cast(case when action_id % 3 = 0 then 0 else 1 end as integer) as tier from actions where action_id % 3 = 0 or action_id % 2 = 0")
@@ -242,7 +242,7 @@ _register("number_grounding", lambda s, d: table(s, d, "orders", "o_orderkey", "
 _register("stable_ids", lambda s, d: table(s, d, "pages", "page_id", "url").select("page_id", tk.stable_id("cnt_", F.lit("url"), F.col("url")).alias("content_id")), "select page_id, 'cnt_' || sha256(concat_ws(':', 'url', url))[1:16] as content_id from pages")
 _register("window_suffix", _periods, "select o_orderkey, case when o_orderkey % 3 < 2 then cast(o_orderkey % 200 as integer) end as days, case when o_orderkey % 3 < 2 then o_orderkey % 3 = 1 end as truncated from orders")
 _register("unfenced_json", _answers, "select o_orderkey, case when o_orderkey % 4 < 2 then '{\"order\": ' || o_orderkey || '}' end as answer from orders")
-_register("merged_spans", lambda s, d: rc.merged_spans(_spans(s, d), "l_orderkey"), "with s as (select l_orderkey, cast(cast(l_shipdate as date) - date '1990-01-01' as integer) as \"start\", cast(cast(l_shipdate as date) - date '1990-01-01' as integer) + cast(l_quantity as integer) as \"end\" from lineitem), f as (select *, case when \"start\" > max(\"end\") over (partition by l_orderkey order by \"start\", \"end\" rows between unbounded preceding and 1 preceding) is not false then 1 else 0 end as fresh from s), i as (select *, sum(fresh) over (partition by l_orderkey order by \"start\", \"end\" rows unbounded preceding) as island from f) select l_orderkey, min(\"start\") as \"start\", max(\"end\") as \"end\", count(*) as spans from i group by l_orderkey, island")
+_register("merged_spans", lambda s, d: rc.merged_spans(_spans(s, d), "l_orderkey"), "with s as (select l_orderkey, cast(cast(l_shipdate as date) - date '1990-01-01' as integer) as \"start\", cast(cast(l_shipdate as date) - date '1990-01-01' as integer) + case when l_partkey % 10 = 1 then 0 else cast(l_quantity as integer) end as \"end\" from lineitem where l_partkey % 10 not in (0, 2)), f as (select *, case when \"start\" > max(\"end\") over (partition by l_orderkey order by \"start\", \"end\" rows between unbounded preceding and 1 preceding) is not false then 1 else 0 end as fresh from s), i as (select *, sum(fresh) over (partition by l_orderkey order by \"start\", \"end\" rows unbounded preceding) as island from f) select l_orderkey, min(\"start\") as \"start\", max(\"end\") as \"end\", count(*) as spans from i group by l_orderkey, island")
 _register("preference_errors", _preferences, "with r as (select doc_id as id, case when doc_id % 17 = 0 then ' ' else ' Ask  ' || (doc_id % 60) end as prompt, doc_id % 4 as chosen, doc_id % 3 as rejected from documents), f as (select *, min(id) over (partition by sha256(regexp_replace(lower(trim(prompt)), '\\s+', ' ', 'g'))) as first_id from r) select id, array_to_string(list_filter([case when trim(prompt) = '' then 'empty_prompt' end, case when chosen = rejected then 'same_answers' end, case when id <> first_id then 'duplicate_prompt' end, case when id % 25 = 0 then 'eval_leak' end], lambda e: e is not null), ',') as errors from f")
 _register("needs_reprocess", _versions, "select o_orderkey as content_id, case when o_orderkey % 5 = 0 then 'never' when o_orderkey % 5 = 1 then 'failed' when o_orderkey % 3 = 0 then 'prompt' else 'config' end as why from orders where o_orderkey % 5 < 2 or o_orderkey % 3 = 0 or o_orderkey % 2 = 1")
 _register("last_samples", lambda s, d: rc.last_samples(table(s, d, "events", "event_id", "event_type", "ts", "value"), "event_type", "ts", "event_id", 100), "with r as (select event_type, value, row_number() over (partition by event_type order by ts desc, event_id desc) as n from events) select event_type, count(*) as n, round(avg(value), 4) as mean from r where n <= 100 group by 1")

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opineflow.operators.tickers import is_json_object
+
 
 def parse_day(value: str | None) -> str | None:
     """20240131 or 2024-01-31 as 20240131; null and empty stay null, anything else is an error."""
@@ -96,10 +98,9 @@ def table_readiness(daily: DataFrame, least_days: int) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with ``good``: whether a line is an object that parses; blank lines are no lines."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = F.try_parse_json("value")
-    return lines.select("value", F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False)).alias("good"), F.from_json("value", schema).alias("row"))
+    """JSON lines with ``good``: whether a line is one object and nothing else; blank lines are no lines, bad ones have no row."""
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("good", is_json_object(F.col("value")))
+    return lines.select("value", "good", F.when(F.col("good"), F.from_json("value", schema)).alias("row"))
 
 
 def line_counts(lines: DataFrame) -> DataFrame:

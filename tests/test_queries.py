@@ -12,6 +12,7 @@ from opineflow.plans import more as _more  # noqa: F401
 from opineflow.plans import queries as plans
 from opineflow.plans import rules as _rules  # noqa: F401
 from opineflow.plans import stages as _stages  # noqa: F401
+from opineflow.plans import stores as _stores  # noqa: F401
 from opineflow.plans import evaluate as _evaluate  # noqa: F401
 from opineflow.plans import wide as _wide  # noqa: F401
 
