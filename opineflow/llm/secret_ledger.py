@@ -47,6 +47,21 @@ ADDED_RULES = (
 _SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
 
+def _bound(value: Column, f) -> Column:
+    """f(value), the value worked out once however often f's own lambdas name it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _chunks(values: Column) -> Column:
+    """An array as an array of about as many arrays as each has elements.
+
+    A list that grows in a fold is copied at each step.  Folding within chunks and then over chunks copies but the square root."""
+    n = F.size(values)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    last = F.greatest(F.lit(0), F.floor((n - 1) / width).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(values, c * width + 1, width))
+
+
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """The rule's spans in ``text``, in order."""
     pattern = F.lit(rule.pattern)
@@ -55,12 +70,15 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     between = F.split(text, rule.pattern, -1)
     # lengths of piece, match, piece, match ...; their running sums are the borders
     sizes = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda p, m: F.struct(F.char_length(p).cast("long").alias("gap"), F.char_length(m).cast("long").alias("size")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    run = lambda at, of: F.struct(at.alias("at"), F.array().cast(of).alias("out"))
     step = lambda acc, x: F.struct(
         (acc["at"] + x["gap"] + x["size"]).alias("at"),
         F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + x["gap"] + x["size"]).alias("end"), F.lit(rule.kind).alias("kind")))).alias("out"),
     )
-    spans = F.aggregate(sizes, zero, step, lambda acc: acc["out"])
+    within = lambda acc, chunk: _bound(
+        F.aggregate(chunk, run(acc["at"], f"array<{_SPAN}>"), step), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out"))
+    )
+    spans = _bound(sizes, lambda s: F.flatten(F.aggregate(_chunks(s), run(F.lit(0).cast("long"), f"array<array<{_SPAN}>>"), within, lambda acc: acc["out"])))
     enough = F.zip_with(spans, values, lambda s, v: F.when(F.char_length(v) >= rule.least, s))
     found = F.filter(enough, lambda s: s.isNotNull())
     return F.when(F.rlike(text, pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
@@ -113,11 +131,20 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule
     text = F.coalesce(F.col(text_col), F.lit(""))
     findings, _ = scan_incremental(docs.select(text.alias("text")), rules=rules)
     rows = findings_by_path(docs, key128(text), spans_of_blobs(findings, rules)).select("row", F.col("found.spans").alias("spans"), F.col("row").getField(text_col).alias("body"))
-    clean = F.expr("""aggregate(spans, struct(0L as at, '' as out),
-        (acc, s) -> if(s.start >= acc.at,
-            struct(s.end as at, concat(acc.out, substring(body, int(acc.at) + 1, int(s.start - acc.at)), '[', s.kind, ']') as out),
-            struct(greatest(acc.at, s.end) as at, acc.out as out)),
-        acc -> concat(acc.out, substring(body, int(acc.at) + 1)))""")
+    body = F.col("body")
+
+    def redacted(acc: Column, chunk: Column) -> Column:
+        """The text up to the chunk's last span: its spans are cut out of that piece alone."""
+        end = F.greatest(acc["at"], F.array_max(F.transform(chunk, lambda s: s["end"])))
+        piece = F.substring(body, acc["at"].cast("int") + 1, (end - acc["at"]).cast("int"))
+        step = lambda p, a, s: F.when(
+            s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(p, (a["at"] - acc["at"]).cast("int") + 1, (s["start"] - a["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]")).alias("out"))
+        ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
+        done = _bound(piece, lambda p: F.aggregate(chunk, F.struct(acc["at"].alias("at"), F.lit("").alias("out")), lambda a, s: step(p, a, s)))
+        return _bound(done, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate(_chunks(F.col("spans")), none, redacted, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"].cast("int") + 1, F.char_length(body))))
     return rows.select([F.when(F.col("spans").isNull(), F.col("body")).otherwise(clean).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

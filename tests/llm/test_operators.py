@@ -594,3 +594,32 @@ def test_pipeline(spark):
     assert not any(any(brute_secrets(t)[:3]) for t in texts)
     packed = corpus_pipeline.STAGES[-1][1](spark, before, root)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_many_secrets_in_one_text(spark):
+    """Spans and redaction of thousands of hits in one text, overlapping ones too, by plain loops."""
+    rng = random.Random(12)
+    text = "".join(rng.choice(["é plain words ", "token=abcdef123456 ", "token=" + "0af" * 9 + " ", "AKIA" + "B" * 16 + " ", "0af" * 8 + "\n", "password: short "]) for _ in range(3000))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_ledger.document_secrets(df, secret_ledger.BASE_RULES).collect()}
+    found = []
+    for rank, rule in enumerate(secret_ledger.BASE_RULES):
+        found += [(m.start(), rank, m.end(), rule.kind) for m in re.finditer(rule.pattern.replace("(?i:", "(?ai:"), text) if len(m[rule.group]) >= rule.least]
+    assert got[1].spans == ",".join(f"{k}:{a}:{z}" for a, _, z, k in sorted(found)) and len(found) > 1500
+    at, out = 0, ""
+    for a, _, z, k in sorted(found):
+        if a >= at:
+            out += text[at:a] + f"[{k}]"
+        at = max(at, z)
+    clean = {r.doc_id: r.text for r in secret_ledger.redact_secrets(df, rules=secret_ledger.BASE_RULES).collect()}
+    assert clean == {1: out + text[at:], 2: None, 3: ""}
+
+
+def test_long_words_leave_no_trace(spark):
+    """Words over the cache's length are encoded right and are not kept."""
+    encoder = packing._WordIds(tokenizer_path("word_bpe_49k.json"))
+    long = ["x" * 100, "y" * 65 + ".", "z" * 5000]
+    first = encoder.encode([" ".join([*long, "short", *long])])
+    assert not any(len(w) > packing.CACHE_CHARS for w in encoder) and "short" in encoder
+    assert encoder.encode([" ".join([*long, "short", *long])]) == first
+    assert np.frombuffer(first[0], np.uint32).tolist() == encoder.tokenizer.encode(" ".join([*long, "short", *long]), add_special_tokens=False).ids
