@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import documents
 
 SEQUENCE = 4096
-CACHE_WORDS = 900_000
+CACHE_WORDS, CACHE_CHARS = 900_000, 64  # the words kept between batches, and the longest of these
 # What str.split() takes for white space and the tokenizer does not.
 _NO_GAP = "\x1c\x1d\x1e\x1f"
 _GAP = re.compile("[ \t\n\r]+")
@@ -83,7 +83,12 @@ class _WordIds(dict):
                 missing = {w for words in split for w in words}
             self.add(missing)
             out = [ids if None not in ids else map(self.__getitem__, words) for words, ids in zip(split, out, strict=True)]
-        return [b"".join(ids) for ids in out]
+        joined = [b"".join(ids) for ids in out]
+        for w in missing:
+            if len(w) > CACHE_CHARS:
+                self.pop(w, None)
+                self.pop(w[:-1], None)
+        return joined
 
 
 def encoder(path: str) -> _WordIds:
