@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opineflow.llm.common import materialize, read
+from opineflow.llm.common import materialize, read, release
 from opineflow.llm.dart_minhash import keep_one_per_class
 from opineflow.llm.line_chunks import remove_line_chunks
 from opineflow.llm.packing import power_of_two_pack
@@ -30,16 +30,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays; null texts are empty ones."""
     return keep_one_per_class(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind; all documents stay."""
+    """Secrets are replaced by their kind; all documents stay, null texts as null."""
     return _counted(redact_secrets(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces; a null text is empty and has the one id that ends a document."""
     return power_of_two_pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
@@ -49,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's table goes once the next is written, the last one stays, as the result reads it."""
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
