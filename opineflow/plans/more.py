@@ -99,10 +99,6 @@ def _first_arrivals(s: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id")
 
 
-def _scores(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "conversations", "conv_id", "turn", "text").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), ((F.char_length("text") % 21 - 10) / F.lit(10.0)).alias("score"))
-
-
 def _text(v: str) -> str:
     """A literal for DuckDB."""
     return "'" + v.replace("'", "''") + "'"
@@ -139,7 +135,6 @@ _register("clean_text", lambda s, d: table(s, d, "pages", "page_id", "html").sel
 _register("text_rhythm", lambda s, d: ps.text_rhythm(_docs(s, d)), "with d as (select doc_id, length(text) as chars, length(text) - length(regexp_replace(text, '[,;:]', '', 'g')) as pauses, list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: length(trim(x, ' '))), lambda n: n > 0) as l from documents), e as (select *, length(l) as n, list_sum(l) as s, list_sum(list_transform(l, lambda x: x * x)) as q from d) select doc_id, cast(n as integer) as sentences, round(s / nullif(n, 0), 3) as mean_chars, round(q / nullif(n, 0) - (s / nullif(n, 0)) * (s / nullif(n, 0)), 2) as variance, round(length(list_filter(range(1, n), lambda i: l[i + 1] < 0.7::double * l[i] or l[i + 1] > 1.3::double * l[i])) / nullif(n - 1, 0), 4) as alternation, round(pauses / nullif(chars, 0), 4) as pause_density from e")
 _register("sentiment_rules", lambda s, d: ps.sentiment_rules(_docs(s, d), FOR, AGAINST, NEGATOR), f"with t as (select doc_id, lower(text) as low from documents), p as (select doc_id, {_PLUS} as plus, {_MINUS} as minus from t), q as (select doc_id, round((plus - minus) / nullif(plus + minus, 0), 4) as score from p) select *, case when score > 0.15 then 'bullish' when score < -0.15 then 'bearish' else 'neutral' end as class from q")
 _register("passage_signals", lambda s, d: ps.passage_signals(_docs(s, d), TERMS, 100, 5000), f"select doc_id, cast({_SIGNALS} as integer) as signals, cast(length(regexp_extract_all(text, '[0-9]+')) as integer) as numbers, case when length(text) < 100 or length(text) > 5000 then 'noise' when {_SIGNALS} >= 5 then 'signal' else 'plain' end as kind from documents")
-_register("emotion_arc_stats", lambda s, d: ps.emotion_arcs(_scores(s, d)), "with e as (select conv_id as id, turn as pos, (length(text) % 21 - 10) / 10.0::double as score from conversations), s as (select id, score, lag(score) over w as b, lead(score) over w as a from e window w as (partition by id order by pos)) select id, count(*) as n, count(*) filter ((b is not null or a is not null) and score > coalesce(b, -9) and score > coalesce(a, -9)) as peaks, count(*) filter (sign(score) * sign(b) < 0) as sign_changes, round(greatest(0.0::double, least(1.0::double, 1 - coalesce(var_pop(abs(score - b)), 0))), 4) as rhythm from s group by 1")
 _register("fts_search", lambda s, d: ps.search(_docs(s, d), TERMS, 20), f"with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') as w from documents), c as (select cast(count(*) as double) as n, avg(length(w)) as mean from w), t(term) as (values {_BM25}), h as (select doc_id, length(w) as len, term, length(list_filter(w, lambda x: x = term)) as tf from w, t), f as (select term, count(*) as df from h where tf > 0 group by 1) select doc_id, round(sum(ln(1 + (c.n - df + 0.5) / (df + 0.5)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * len / c.mean))), 6) as score, count(*) as matched from h join f using (term), c where tf > 0 group by 1 order by score desc, doc_id limit 20")
 _register("related_content", lambda s, d: ps.related_content(base._mentions(s, d), 1), f"with {base._WORDS} select doc_id, count(*) as shared from m where doc_id <> 1 and ticker in (select ticker from m where doc_id = 1) group by 1")
 _register("coverage_by_group", lambda s, d: ps.coverage(table(s, d, "documents", "doc_id", "lang"), base._mentions(s, d), "lang", 2), f"with {base._WORDS}, g as (select lang, count(*) as blocks, count(x.doc_id) as hits from documents d left join (select distinct doc_id from m) x on x.doc_id = d.doc_id group by 1), q as (select *, round(hits / blocks, 4) as rate from g) select *, row_number() over (order by rate, lang) <= 2 as worst from q")

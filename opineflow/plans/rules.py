@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opineflow.operators import emotion as em
 from opineflow.operators import gates as gt
 from opineflow.operators import intent_rules as ir
+from opineflow.operators import passages as ps
 from opineflow.operators import topics as tp
 from opineflow.plans import queries as base
 from opineflow.sources.tables import table
@@ -216,3 +218,40 @@ _register(
     j as (select *, cast(row_number() over (partition by content_id order by first) as integer) as part from i)
     select c.content_id, c.block_id, cast(case when not cut then 0 else coalesce(part, max(part) over (partition by c.content_id) + 1) end as integer) as part, case when cut then coalesce(label, '{tp.REST}') end as label from c left join j using (content_id, identity)""",
 )
+
+LEXICON = (("开心", "joy"), ("相信", "trust"), ("担心", "fear"), ("风险", "fear"), ("惊喜", "surprise"), ("难过", "sadness"), ("讨厌", "disgust"), ("生气", "anger"), ("期待", "anticipation"), ("看好", "bullish"), ("涨", "bullish"), ("跌", "bearish"), ("风险", "bearish"),
+           ("happy", "joy"), ("Fear", "fear"), ("loss", "sadness"), ("hope", "anticipation"), ("bullish", "bullish"), ("risk", "bearish"))
+MOODS = ("非常看好", "不看好它", "未来看好", "无论涨跌", "没有担心, 只有惊喜惊喜", "Not happy", "a very HAPPY day, no loss", "稍微难过", "xxxxxxxxxxxxxxx看好", "不xxxxxxxxxx涨", "风险风险", "", "不生气 不惊喜", "相信 期待 讨厌", "hope and fear", "可能 非常 开心", "NOT看好", "non-risk", "很很很担心")
+
+
+def _moods(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents", "doc_id", "text")
+    lines = docs.select(F.col("doc_id").alias("id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "body"))
+    return lines.select("id", "pos", F.concat(F.substring("body", 1, 60), F.lit(" "), _pick(MOODS, F.col("id") * 7 + F.col("pos") * 3)).alias("text"))
+
+
+def _emotion_sql() -> str:
+    words = dict(LEXICON)
+    lex = ", ".join(f"({_q(w.lower())}, {str(w.isascii()).lower()}, {_q(e)}, {i})" for i, (w, e) in enumerate(words.items()))
+    no = " or ".join("(" + " and ".join([f"contains(p, {_q(w)})", *(f"not contains(p, {_q(x)})" for x in em.NOT_NEGATIONS.get(w, ()))]) + ")" for w in em.NEGATIONS)
+    weigh = " ".join(f"when contains(b, {_q(w)}) then {v}::double" for w, v in em.WEIGHTS.items())
+    turn = " ".join(f"when {_q(a)} then {_q(z)}" for a, z in em.OPPOSITES.items())
+    listed = lambda names: ", ".join(map(_q, names))
+    return f"""with l as (select doc_id as id, unnest(string_split(coalesce(text, ''), chr(10))) as body, unnest(range(0, length(string_split(coalesce(text, ''), chr(10))))) as pos from documents),
+    t as (select id, cast(pos as integer) as pos, left(body, 60) || ' ' || {_pick_sql(MOODS, "id * 7 + pos * 3")} as text from l), x(word, latin, emotion, place) as (values {lex}),
+    h as (select id, pos, x.*, strpos(case when latin then lower(text) else text end, word) - 1 as i0, case when latin then lower(text) else text end as u from t join x on contains(case when latin then lower(text) else text end, word)),
+    w as (select *, substr(u, greatest(i0 - 10, 0) + 1, least(i0, 10)) as p, substr(u, greatest(i0 - 15, 0) + 1, least(i0, 15)) as b from h), n as (select *, ({no}) as turned from w),
+    e as (select id, pos, place, case when turned then case emotion {turn} else 'neutral' end else emotion end as emotion, case when turned then 1.0::double else case {weigh} else 1.0::double end end as w from n),
+    s as (select id, pos, emotion, round(sum(w), 9) as w, count(*) as n, min(place) as place from e group by 1, 2, 3),
+    f as (select id, pos, arg_max(emotion, (w, -place)) as emotion, round((coalesce(sum(w) filter (emotion in ({listed(em.FOR)})), 0) - coalesce(sum(w) filter (emotion in ({listed(em.AGAINST)})), 0)) / sum(w), 6) as score,
+        round(least(1.0::double, sum(w) / 5), 6) as intensity, round(least(1.0::double, sum(w) / 3), 6) as confidence, cast(sum(n) as integer) as words from s group by 1, 2),
+    m as (select t.id, t.pos, coalesce(emotion, 'neutral') as emotion, coalesce(score, 0.0::double) as score, coalesce(intensity, 0.0::double) as intensity, coalesce(confidence, 0.3::double) as confidence, coalesce(words, 0) as words from t left join f using (id, pos))"""
+
+
+_register("paragraph_emotions", lambda s, d: em.paragraph_emotions(_moods(s, d), LEXICON), f"{_emotion_sql()} select * from m")
+_register(
+    "emotion_arc_stats",
+    lambda s, d: ps.emotion_arcs(em.paragraph_emotions(_moods(s, d), LEXICON).select("id", "pos", "score")),
+    f"""{_emotion_sql()}, q as (select id, score, lag(score) over w as b, lead(score) over w as a from m window w as (partition by id order by pos))
+    select id, count(*) as n, count(*) filter ((b is not null or a is not null) and score > coalesce(b, -9) and score > coalesce(a, -9)) as peaks, count(*) filter (sign(score) * sign(b) < 0) as sign_changes, round(greatest(0.0::double, least(1.0::double, 1 - coalesce(var_pop(abs(score - b)), 0))), 4) as rhythm from q group by 1""",
+)

@@ -80,3 +80,20 @@ def test_topics(spark):
 @pytest.mark.parametrize("rules", [[], RULES])
 def test_no_blocks(spark, rules):
     assert tp.split_by_topic(tp.assign_topics(blocks(spark, a=["x"]).limit(0).drop("block_type"), rules)).count() == 0
+
+
+def test_emotions(spark):
+    from opineflow.operators import emotion as em
+
+    lexicon = [("看好", "bullish"), ("担心", "fear"), ("惊喜", "surprise"), ("happy", "joy"), ("Loss", "sadness")]
+    texts = ["非常看好", "不看好", "非常非常担心 看好", "未来看好", "无论担心", "没惊喜", "Very HAPPY, never a loss", "", None, "x", "看好 不看好", "不" + "x" * 10 + "担心", "happy 担心"]
+    docs = spark.createDataFrame([(1, "\n".join(t or "" for t in texts)), (None, None), (3, " \n ")], "doc_id int, text string")
+    rows = em.paragraphs(docs)
+    kept = [t for t in texts if t]
+    assert [r.text for r in rows.orderBy("pos").collect()] == kept
+    got = {kept[r.pos]: (r.emotion, r.score, r.intensity, r.words) for r in em.paragraph_emotions(rows, lexicon).collect()}
+    assert got == {
+        "非常看好": ("bullish", 1.0, 0.3, 1), "不看好": ("bearish", -1.0, 0.2, 1), "非常非常担心 看好": ("bullish", 0.0, 0.6, 2), "未来看好": ("bullish", 1.0, 0.2, 1), "无论担心": ("fear", -1.0, 0.2, 1), "没惊喜": ("neutral", 0.0, 0.2, 1),
+        "Very HAPPY, never a loss": ("joy", 1.0, 0.5, 2), "x": ("neutral", 0.0, 0.0, 0), "看好 不看好": ("bullish", 1.0, 0.2, 1), "不" + "x" * 10 + "担心": ("fear", -1.0, 0.2, 1), "happy 担心": ("fear", 0.0, 0.4, 2),
+    }
+    assert {r.emotion for r in em.paragraph_emotions(rows, []).collect()} == {"neutral"}
