@@ -15,7 +15,9 @@ def adjusted_bars(daily: DataFrame, factors: DataFrame, how: str = "qfq") -> Dat
     j = daily.join(factors, ["ticker", "date"], "left").withColumn("factor", F.last("adj_factor", ignorenulls=True).over(newest)).where("factor is not null")
     scale = F.col("factor")
     if how == "qfq":
-        j = j.crossJoin(F.broadcast(j.agg(F.max_by("factor", F.struct("date", "ticker")).alias("base"))))  # one row
+        # the last row that stays has a factor of its own, as a later one would be a later row: no window is needed for it
+        own = factors.where("adj_factor is not null").join(daily.select("ticker", "date"), ["ticker", "date"], "left_semi")
+        j = j.crossJoin(F.broadcast(own.agg(F.max_by("adj_factor", F.struct("date", "ticker")).alias("base"))))  # one row
         scale = scale / F.col("base")
     cents = lambda c: F.rint(c * 100) / 100
     j = j.withColumn("scale", scale).select("ticker", "date", *[cents(F.col(c) * F.col("scale")).alias(c) for c in ("open", "high", "low", "close", "pre_close")])

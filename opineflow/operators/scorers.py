@@ -31,7 +31,7 @@ def _bands(value: Column, steps: tuple, rest: float, reaches: bool = False) -> C
 
 
 def _held(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value)))
 
 
 def turns(rows: DataFrame, keys: list[str], value: str, at: str, ties: list[str], cost) -> DataFrame:
@@ -118,7 +118,7 @@ def creator_ratings(views: DataFrame, triggers: DataFrame, validations: DataFram
     scores = {
         "accuracy": F.coalesce(_held(F.col("points"), 0, 100), F.lit(0.0)), "stop_loss_quality": F.least(F.lit(100.0), stop_score),
         "consistency": F.when(F.col("k3").isNull(), 50.0).otherwise(F.coalesce(F.col("steady") * 100, F.lit(100.0))),
-        "market_sensitivity": F.coalesce(F.least(F.lit(100.0), F.col("early") / 2 / F.col("validated") * 150), F.lit(50.0)),
+        "market_sensitivity": F.coalesce(_held(F.col("early") / 2 / F.col("validated") * 150, 0, 100), F.lit(50.0)),
         "risk_awareness": F.least(F.lit(100.0), F.col("aware") / n * 80 + F.least(F.lit(20), F.col("warnings") * 5)),
     }
     k = k.select("kol", "views", zero("validated").alias("validated"), *[c.alias(name) for name, c in scores.items()])
@@ -174,7 +174,7 @@ def crowd_sentiment(snapshots: DataFrame, weights: dict[str, float] = SOURCES, e
 
     Sources reddit, twitter and news are within 0 and 1 (centred) or -1 and 1 (held there), polymarket is a probability; null ones have
     no weight, and without any the score is 0.  ``velocity`` (null: 0) tells how fast the mood turns."""
-    centred = lambda c: F.when(F.col(c).between(0, 1), (F.col(c) - 0.5) * 2).otherwise(F.when(F.col(c).isNotNull(), _held(F.col(c), -1, 1)))
+    centred = lambda c: F.when(F.col(c).between(0, 1), (F.col(c) - 0.5) * 2).otherwise(_held(F.col(c), -1, 1))
     parts = {c: (F.col(c) - 0.5) * 2 if c == "polymarket" else centred(c) for c in weights}
     total = sum((F.when(F.col(c).isNotNull(), F.lit(w)).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
     mean = sum((F.coalesce(parts[c] * w, F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))

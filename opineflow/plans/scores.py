@@ -70,7 +70,7 @@ _register("creator_ratings", _rated, f"""{_WITH}, t as (select action_id as view
   y as (select kol, ticker, count(*) as n, sum(case when was is null or was = direction then 0 when was in ('bullish', 'bearish') and direction in ('bullish', 'bearish') then 10 when was = 'neutral' or direction = 'neutral' then 3 else 0 end) as cost from z group by 1, 2),
   x as (select kol, coalesce(avg(case when n > 1 then greatest(0.0::double, 1 - cost / 10 / (n - 1)) end) * 100, 100.0::double) as consistency from y group by 1),
   g as (select kol, count(*) as views, count(*) filter (stop) as stops, count(*) filter (direction = 'risk_warning') as warnings, count(*) filter (direction = 'risk_warning' or risky or stop) as aware from v group by 1),
-  f as (select kol, views, coalesce(validated, 0) as validated, coalesce(greatest(0.0::double, least(100.0::double, points)), 0.0::double) as accuracy,
+  f as (select kol, views, coalesce(validated, 0) as validated, case when points is null then 0.0::double else greatest(0.0::double, least(100.0::double, points)) end as accuracy,
     case when stops = 0 then least(50.0::double, warnings * 5.0::double) else least(40.0::double, stops / views * 100) + coalesce(timely, 0) / stops * 60 end as stop_loss_quality, coalesce(consistency, 50.0::double) as consistency,
     case when validated is null then 50.0::double else least(100.0::double, early / validated * 150) end as market_sensitivity, least(100.0::double, aware / views * 80 + least(20, warnings * 5)) as risk_awareness from g left join p using (kol) left join m using (kol) left join x using (kol)),
   w as (select *, round(0.35::double * accuracy + 0.25::double * stop_loss_quality + 0.2::double * consistency + 0.1::double * market_sensitivity + 0.1::double * risk_awareness, 9) as whole from f)

@@ -69,7 +69,7 @@ def test_gate_decisions(spark):
     got = {r.id: (r.score, r.gate, r.reasons, r.next_step, r.critical, r.weakest) for r in so.gate_decisions(cards).collect()}
     assert got["pass"] == (0.84, "pass", [], "extract_intent", 0, "temporal_resolution")
     assert got["reject"][:2] == (0.17, "reject") and got["reject"][3:] == ("drop", 1, "financial_relevance")
-    assert got["reject2"][:2] == (0.38, "reject")
+    assert got["reject2"][:2] == (0.4, "reject")
     assert got["blur"][1:] == ("review", ["readability:critical"], "reprocess_source", 1, "readability")
     assert got["trace"][1:] == ("review", ["evidence_traceability:pass"], "manual_review", 0, "evidence_traceability")
     assert got["mid"][1:4] == ("review", ["below_pass"], "manual_review")
