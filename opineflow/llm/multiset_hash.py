@@ -12,6 +12,8 @@ its vector.  Two kinds of lanes are summed:
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,11 +89,18 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(norm == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(a, b) / norm)))
 
 
+_SLOTS = 1 << 20  # numbers of slices within a range of ids
+
+
 def _ranges(docs: DataFrame, parts: int) -> tuple[Column, DataFrame]:
-    """Ranges of descending doc_id: the column that numbers them, and (head_id, before): each range's
-    first id and the range before it, around the end.  Two rows at most a range, whatever the data."""
-    cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] if parts > 1 else []
-    cuts = sorted(set(cuts or []), reverse=True)
+    """Ranges of (descending doc_id, text hash): the column that numbers them, and (head_id, head_hash, before): each range's
+    first row and the range before it, around the end.  Some two rows at most a range, whatever the data.
+
+    An id that several cuts name holds several ranges' rows; these are sliced by their hash, as are the rows without id."""
+    quantiles = F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("q")
+    found = docs.select("doc_id").agg(quantiles, F.count("*").alias("n"), F.count("doc_id").alias("with_id")).first()
+    repeats = Counter(found["q"] or []) if parts > 1 else Counter()
+    cuts = sorted(repeats, reverse=True)
     width = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
     part = F.lit(0)
@@ -101,24 +110,36 @@ def _ranges(docs: DataFrame, parts: int) -> tuple[Column, DataFrame]:
         rest = F.array(*[F.array(*[F.lit(q) for q in g[1:]]).cast("array<bigint>") for g in groups])
         inner = F.when(coarse > 0, below(F.element_at(rest, coarse))).otherwise(0)
         part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.when(coarse > 0, (coarse - 1) * width + 1 + inner).otherwise(0))
-    heads = docs.select("doc_id", part.alias("part")).groupBy("part").agg(F.max("doc_id").alias("head_id"))
+    # a named id is the smallest of its range, and rows without id come last: slice 0 is all that stands before them
+    hot = [q for q in cuts if repeats[q] > 1]
+    slices = F.lit(0)
+    if hot:
+        slices = F.coalesce(F.try_element_at(F.map_from_arrays(F.array(*[F.lit(q) for q in hot]).cast("array<bigint>"), F.array(*[F.lit(repeats[q] + 1) for q in hot])), F.col("doc_id")), F.lit(0))
+    bare = -(-(found["n"] - found["with_id"]) * parts // found["n"]) if found["n"] else 0
+    slices = F.when(F.col("doc_id").isNull(), F.lit(min(bare, _SLOTS - 2))).otherwise(slices)
+    place = (F.xxhash64("text") / F.lit(2.0**64) + 0.5) * slices  # rises with the hash
+    part = part.cast("long") * _SLOTS + F.when(slices > 0, 1 + F.least(F.floor(place), slices - 1)).otherwise(0)
+    heads = docs.select("doc_id", part.alias("part"), F.bitwise_not(F.xxhash64("text")).alias("late")).groupBy("part").agg(F.max(F.struct("doc_id", "late")).alias("head"))
     around = Window.orderBy("part")  # a row a range
-    heads = heads.select("head_id", F.coalesce(F.lag("part").over(around), F.max("part").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    return part, heads
+    before = F.coalesce(F.lag("part").over(around), F.max("part").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return part, heads.select(F.col("head.doc_id").alias("head_id"), F.bitwise_not("head.late").alias("head_hash"), before.alias("before"))
 
 
 def with_next_text(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, text, part, row (numbers rows within a part) and next_text, that of the next row in descending
-    doc_id (null last, ties by text hash); after the last the first.  One shuffle of the texts."""
+    doc_id (null last, ties by text hash); after the last the first.  One shuffle of the texts.
+
+    No id holds more than its ranges' rows in one task; only rows that repeat both id and text stay together."""
     parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part, heads = _ranges(docs, parts)
     # each range also gets the row that comes next after it
-    rows = docs.select("doc_id", "text", part.alias("part")).join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head_id")), "left")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), part.alias("part"))
+    rows = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("hash") == F.col("head_hash")), "left")
     places = F.when(F.col("before").isNull(), F.array(F.struct("part", F.lit(0).alias("guest")))).otherwise(F.array(F.struct("part", F.lit(0).alias("guest")), F.struct(F.col("before").alias("part"), F.lit(1).alias("guest"))))
-    rows = rows.select("doc_id", "text", F.explode(places).alias("place")).select("doc_id", "text", "place.part", "place.guest")
-    order = Window.partitionBy("part").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    rows = rows.select("doc_id", "text", "hash", F.explode(places).alias("place")).select("doc_id", "text", "hash", "place.part", "place.guest")
+    order = Window.partitionBy("part").orderBy("guest", F.col("doc_id").desc_nulls_last(), "hash", "text")
     rows = rows.select("*", F.row_number().over(order).alias("row"), F.lead("text").over(order).alias("next_text"))
-    return rows.where("guest = 0").drop("guest")
+    return rows.where("guest = 0").drop("guest", "hash")
 
 
 def document_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:

@@ -264,6 +264,20 @@ def test_pairs_of_terms_are_learnt():
     assert ((raw > 0) == y).mean() > 0.9
 
 
+def test_fingerprints_of_one_id(spark):
+    """A third of the rows under one id and a third without: their ranges are cut by hash, and the order stays whole."""
+    from pyspark.sql import functions as F
+
+    plain = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i}" if i % 10 else "same") for i in range(3000)]
+    docs = spark.createDataFrame(plain, "doc_id long, text string").repartition(6)
+    rows = multiset_hash.with_next_text(docs, parts=30).cache()
+    assert rows.count() == len(plain) and rows.groupBy("part").count().agg(F.max("count")).first()[0] <= 300
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(plain, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]], r[1]))
+    want = sorted(((a[0] is None, a[0] or 0, a[1], b[1]) for a, b in zip(order, order[1:] + order[:1])))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text, r.next_text) for r in rows.collect()) == want
+
+
 def test_fingerprints(spark, rows, docs, empty):
     plain = [(i, t) for i, t, *_ in rows if i is not None]
     plain = list({i: (i, t) for i, t in plain}.values())
