@@ -11,6 +11,7 @@ from opineflow.plans import anchors as _anchors  # noqa: F401
 from opineflow.plans import more as _more  # noqa: F401
 from opineflow.plans import queries as plans
 from opineflow.plans import rules as _rules  # noqa: F401
+from opineflow.plans import layouts as _layouts  # noqa: F401
 from opineflow.plans import scores as _scores  # noqa: F401
 from opineflow.plans import stages as _stages  # noqa: F401
 from opineflow.plans import stores as _stores  # noqa: F401
