@@ -74,11 +74,21 @@ def drawdown(totals: DataFrame) -> DataFrame:
 
 
 def consecutive_losses(trades: DataFrame) -> DataFrame:
+    """Per creator the longest run of losses (net_pnl below 0; a null ends it), by exit; trades without one come first.
+
+    Runs are counted within a month; months meet by one row each, so that a long history is many tasks."""
     # all that tells rows apart: ties would make the runs depend on row order
-    order = Window.partitionBy("kol").orderBy("exit", "l_orderkey", "l_linenumber", "ticker", "holding_days", "net_pnl", "return_pct").rowsBetween(Window.unboundedPreceding, 0)
-    t = trades.withColumn("island", F.sum(F.when(F.col("net_pnl") < 0, 0).otherwise(1)).over(order))
-    runs = t.groupBy("kol", "island").agg(F.count_if(F.col("net_pnl") < 0).alias("run"))
-    return runs.groupBy("kol").agg(F.max("run").alias("max_losses"))
+    order = Window.partitionBy("kol", "month").orderBy("exit", "l_orderkey", "l_linenumber", "ticker", "holding_days", "net_pnl", "return_pct").rowsBetween(Window.unboundedPreceding, 0)
+    t = trades.withColumn("month", F.trunc("exit", "MM"))
+    t = t.withColumn("island", F.sum(F.when(F.col("net_pnl") < 0, 0).otherwise(1)).over(order))
+    runs = t.groupBy("kol", "month", "island").agg(F.count_if(F.col("net_pnl") < 0).alias("run"))
+    m = runs.groupBy("kol", "month").agg(F.max("run").alias("most"), F.coalesce(F.max(F.when(F.col("island") == 0, F.col("run"))), F.lit(0)).alias("head"), F.max_by("run", "island").alias("tail"), (F.max("island") > 0).cast("int").alias("broken"))
+    months = Window.partitionBy("kol").orderBy("month")
+    m = m.withColumn("chain", F.sum("broken").over(months))
+    # a month of losses only lengthens the run that the months before it ended with
+    m = m.withColumn("open", F.sum("tail").over(Window.partitionBy("kol", "chain").orderBy("month")))
+    m = m.withColumn("joint", F.col("head") + F.coalesce(F.lag("open").over(months), F.lit(0)))
+    return m.groupBy("kol").agg(F.max(F.greatest("most", "open", "joint")).alias("max_losses"))
 
 
 def backtest_metrics(totals: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opineflow.operators.scorers import turns
+
 
 def accuracy_rating(views: DataFrame) -> DataFrame:
     """Of validated views (kol, direction, right_7d, right_30d, excess): weighted accuracy within 0 and 100, and stars.
@@ -32,9 +34,11 @@ def rank_strategies(trades: DataFrame, capital: float) -> DataFrame:
 
 
 def sign_alternation(trades: DataFrame, *order: str) -> DataFrame:
-    """Share of neighbouring returns with opposite signs, per creator; ``order`` must tell all rows of a creator apart."""
-    t = trades.withColumn("b", F.lag("return_pct").over(Window.partitionBy("kol").orderBy(*order)))
-    return t.groupBy("kol").agg(F.round(F.try_divide(F.count_if(F.col("return_pct") * F.col("b") < 0), F.count("b")), 4).alias("alternation"))
+    """Share of neighbouring returns with opposite signs, per creator (null of a single one); null returns do not count.
+
+    ``order``, a date first, must tell all rows of a creator apart."""
+    t = turns(trades.where("return_pct is not null"), ["kol"], "return_pct", order[0], list(order[1:]), lambda a, b: (a * b < 0).cast("int"))
+    return t.select("kol", F.round(F.try_divide("cost", F.col("n") - 1), 4).alias("alternation"))
 
 
 def budget_breaker(events: DataFrame, budget: int) -> DataFrame:

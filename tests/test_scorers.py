@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from opineflow.operators import backtest as bt
 from opineflow.operators import scorers as so
 
 NOW = dt.datetime(2024, 6, 1, tzinfo=dt.UTC)
@@ -88,3 +89,16 @@ def test_crowd_and_adjustments(spark):
     assert (got[4].score, got[4].reason, got[4].data_quality) == (0.0, "no_data", "unavailable")
     assert got[5].reason == "extreme_crowd" and got[6].reason == "" and got[6]["class"] == "neutral"
     assert so.crowd_sentiment(s.limit(0)).agg(F.count("*")).first()[0] == 0
+
+
+def test_losses_in_turn_across_months(spark):
+    rng = random.Random(9)
+    rows = [(k, day(rng.randrange(300)) if rng.random() < 0.97 else None, i, rng.choice([-1.0, -1.0, -1.0, 1.0, None]) if k < 3 else -2.0) for i in range(300) for k in range(4)]
+    t = spark.createDataFrame(rows, "kol int, exit timestamp, l_orderkey int, net_pnl double").selectExpr("*", "0 as l_linenumber", "0 as ticker", "0 as holding_days", "net_pnl as return_pct").repartition(5)
+    got = {r.kol: r.max_losses for r in bt.consecutive_losses(t).collect()}
+    for k in range(4):
+        run = most = 0
+        for r in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or NOW, r[2])):
+            run = run + 1 if r[3] is not None and r[3] < 0 else 0
+            most = max(most, run)
+        assert got[k] == most
