@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BORDER_KEYS = 32  # keys a slice from which a stratum's borders are taken
+
 
 def content_hash(text: str = "text"):
     """16 hex digits of SHA-1 over the text without white space."""
@@ -60,13 +62,26 @@ def stratified_select(rows: DataFrame, strata: str, score: str, key: str, quota:
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= quota)
 
 
+def key_borders(rows: DataFrame, strata: str, key: str, size: str, slices: int) -> DataFrame:
+    """Per stratum of ``size`` rows ``__cuts``, slices - 1 of its keys in order, the same ones however the rows are dealt.
+
+    They stand at even steps among the keys whose hash is small, some BORDER_KEYS a slice.  A stratum none of whose keys is chosen has no row."""
+    few = F.pmod(F.xxhash64(key), F.lit(1 << 31)) / (1 << 31) < BORDER_KEYS * slices / F.col(size)
+    keys = rows.where(few).groupBy(strata).agg(F.sort_array(F.collect_set(key)).alias("__keys"))
+    step = lambda i: F.get("__keys", F.floor(i * F.size("__keys") / slices).cast("int"))
+    return keys.select(strata, F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), step).alias("__cuts"))
+
+
 def stratified_sample(rows: DataFrame, strata: str, key: str, rate: float, least: int, slices: int = 64) -> DataFrame:
     """min(n, max(least, ceil(n * rate))) rows of each stratum, first by its numeric key.
 
-    Approximate borders cut a stratum by key into slices and the slices are counted, so that rows are put in order within a slice,
-    never within a whole stratum; slices beyond the quota are not put in order at all."""
-    cuts = rows.groupBy(F.col(strata).alias("__of")).agg(F.count("*").alias("n"), F.percentile_approx(key, [i / slices for i in range(1, slices)], 10_000).alias("__cuts"))
-    cut = rows.join(cuts, F.col(strata).eqNullSafe(F.col("__of")))
+    Borders cut a stratum by key into slices and the slices are counted, so that rows are put in order within a slice, never within
+    a whole stratum; slices beyond the quota are not put in order at all.  The borders are some of the keys, chosen by their hash: they
+    are worked out more than once and must be the same each time, which approximate percentiles are not."""
+    sizes = rows.groupBy(F.col(strata).alias("__of")).agg(F.count("*").alias("n"))
+    sized = rows.join(sizes, F.col(strata).eqNullSafe(F.col("__of")))
+    cuts = key_borders(sized, "__of", key, "n", slices).withColumnRenamed("__of", "__at")
+    cut = sized.join(cuts, F.col("__of").eqNullSafe(F.col("__at")), "left").drop("__at")
     cut = cut.withColumn("__slice", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(key))), F.lit(0))).drop("__cuts")
     counts = cut.groupBy(F.col("__of").alias("__in"), F.col("__slice").alias("__nth")).agg(F.count("*").alias("__n"))
     counts = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy("__in").orderBy("__nth")) - F.col("__n"))

@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 from opineflow.operators.anchoring import dates_in, entity_spans, temporal_spans
-from opineflow.operators.content import stratified_sample
+from opineflow.operators.content import key_borders, stratified_sample
 from opineflow.operators.creators import creator_bands
 from opineflow.sources.tables import action_files
 
@@ -65,3 +65,15 @@ def test_stratified_sample_by_slices(spark):
         keys = sorted(k for s, k in rows if s == of)
         want = keys[: -(-len(keys) // 10)]
         assert sorted((r["rank"], r.k, r.n) for r in got if r.s == of) == [(i + 1, k, len(keys)) for i, k in enumerate(want)]
+
+
+def test_borders_do_not_depend_on_how_rows_are_dealt(spark):
+    rows = spark.range(60_000).selectExpr("if(id % 3 = 0, null, 'hot') as s", "pmod(xxhash64(id), 1000003) as k", "if(id % 3 = 0, 20000, 40000) as n")
+    dealt = [rows.coalesce(1), rows.repartition(40).orderBy("k"), rows.repartition(7)]
+    first, *others = [sorted((str(r.s), r["__cuts"]) for r in key_borders(d, "s", "k", "n", 64).collect()) for d in dealt]
+    assert all(o == first for o in others) and [len(c) for _, c in first] == [63, 63] and all(c == sorted(c) for _, c in first)
+    hot = stratified_sample(rows.select("s", "k"), "s", "k", 0.05, 2).where("s = 'hot'")
+    assert sorted(r["rank"] for r in hot.collect()) == list(range(1, 2001))
+    assert "percentile_approx" not in hot._jdf.queryExecution().toString()
+    same = stratified_sample(spark.createDataFrame([("a", 7)] * 5000, "s string, k long"), "s", "k", 0.5, 2)
+    assert sorted(r["rank"] for r in same.collect()) == list(range(1, 2501))
