@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 from opineflow.operators.anchoring import dates_in, entity_spans, temporal_spans
-from opineflow.operators.content import key_borders, stratified_sample
+from opineflow.operators.content import entity_mentions, key_borders, stratified_sample
 from opineflow.operators.creators import creator_bands
 from opineflow.sources.tables import action_files
 
@@ -77,3 +77,12 @@ def test_borders_do_not_depend_on_how_rows_are_dealt(spark):
     assert "percentile_approx" not in hot._jdf.queryExecution().toString()
     same = stratified_sample(spark.createDataFrame([("a", 7)] * 5000, "s string, k long"), "s", "k", 0.5, 2)
     assert sorted(r["rank"] for r in same.collect()) == list(range(1, 2501))
+
+
+def test_mentions_are_counted_where_the_texts_are(spark):
+    docs = spark.createDataFrame([(1, "The the and x"), (1, "AND THE"), (2, None), (3, "zz"), (None, "the")], "doc_id long, text string")
+    registry = spark.createDataFrame([("the", "A"), ("and", "A"), ("the", "B"), ("x", "C")], "alias string, ticker string")
+    got = entity_mentions(docs, registry)
+    assert sorted((str(r.doc_id), r.ticker, r.mentions, r.longest_alias) for r in got.collect()) == [("1", "A", 5, "the"), ("1", "B", 3, "the"), ("1", "C", 1, "x"), ("None", "A", 1, "the"), ("None", "B", 1, "the")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
