@@ -22,6 +22,8 @@ DAYS = {"今天": 0, "今日": 0, "明天": 1, "明日": 1, "昨天": -1, "昨
 WEEKS = {"上周": -1, "本周": 0, "这周": 0, "下周": 1}
 MONTHS = {"上月": -1, "本月": 0, "这个月": 0, "下月": 1}
 WEEKDAYS = {"一": 0, "二": 1, "三": 2, "四": 3, "五": 4, "六": 5, "日": 6, "天": 6}
+# What a task holds of an Arrow batch as Python objects at a time.
+SLICE_ROWS, SLICE_HITS = 64, 10_000
 
 
 def _any(terms) -> str:
@@ -129,46 +131,61 @@ def _beside(border: str) -> Callable[[str], bool]:
     return (lambda c: c.isascii() and c.isalpha()) if border == "letters" else (lambda c: c.isascii() and c.isalnum())
 
 
+def hits_of(batches: Iterator[pa.RecordBatch], keys: Sequence[str], wanted: Sequence[str], alone: set[str], border: str, fold: bool, context: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``alias_hits`` for batches of the keys and ``__text``; no batch it gives is over SLICE_HITS rows."""
+    import ahocorasick
+
+    beside, names = _beside(border), [*keys, "alias", "start", "end", *(["before", "after"] if context else [])]
+    automaton = ahocorasick.Automaton()
+    for alias in wanted:
+        automaton.add_word(alias, alias)
+    automaton.make_automaton()
+    types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()][: len(names) - len(keys)]
+
+    def rows_of(part: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        of, *columns = zip(*found, strict=True)
+        kept = [part.column(k).take(pa.array(of, pa.int64())) for k in keys]
+        return pa.record_batch([*kept, *(pa.array(c, t) for c, t in zip(columns, types, strict=False))], names=names)
+
+    for batch in batches:
+        found: list[tuple] = []
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            for row, text in enumerate(batch.column("__text").slice(at, SLICE_ROWS).to_pylist(), at):
+                text = (text or "").lower() if fold else text or ""
+                for last, alias in automaton.iter(text):
+                    end = last + 1
+                    start = end - len(alias)
+                    if alias in alone and (start and beside(text[start - 1]) or end < len(text) and beside(text[end])):
+                        continue
+                    found.append((row, alias, start, end, text[max(0, start - context) : start], text[end : end + context]))
+                    if len(found) == SLICE_HITS:
+                        yield rows_of(batch, found)
+                        found = []
+        if found:
+            yield rows_of(batch, found)
+
+
 def alias_hits(docs: DataFrame, keys: Sequence[str], text_col: str, aliases: Sequence[str], border: str = "words", fold: bool = False, context: int = 0) -> DataFrame:
     """A row an occurrence of an alias: the ``keys`` of its text, alias, start, end (code points); overlapping ones too.
 
     Aliases without a Chinese character stand alone: no ASCII letter or digit beside them (``words``), no letter (``letters``), or
     anywhere (``none``).  ``fold`` compares in lower case, so offsets are those of the text in lower case.  With ``context`` the
     characters before and after come along.  Null texts have no hits; aliases are a curated list without empty ones, and each task
-    makes one automaton of it, so a text is read once however many there are."""
+    makes one automaton of it, so a text is read once however many there are.  A task holds the texts of SLICE_ROWS rows and SLICE_HITS
+    hits at a time besides its Arrow batch."""
     wanted = sorted({a.lower() if fold else a for a in aliases})
     if "" in wanted:
         raise ValueError("an alias is empty")
     around = ["before", "after"] if context else []
-    names = [*keys, "alias", "start", "end", *around]
     schema = StructType([docs.schema[k] for k in keys]).add("alias", "string").add("start", "integer").add("end", "integer")
     for c in around:
         schema = schema.add(c, "string")
     if not wanted:
         return docs.sparkSession.createDataFrame([], schema)
-    beside, alone = _beside(border), {a for a in wanted if border != "none" and not any("一" <= c <= "鿿" for c in a)}
+    alone = {a for a in wanted if border != "none" and not any("一" <= c <= "鿿" for c in a)}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for alias in wanted:
-            automaton.add_word(alias, alias)
-        automaton.make_automaton()
-        for batch in batches:
-            found: list[tuple] = []
-            for row, text in enumerate(batch.column("__text").to_pylist()):
-                text = (text or "").lower() if fold else text or ""
-                for last, alias in automaton.iter(text):
-                    end = last + 1
-                    start = end - len(alias)
-                    if alias in alone and (start and beside(text[start - 1]) or end < len(text) and beside(text[end])):
-                        continue
-                    found.append((row, alias, start, end, text[max(0, start - context) : start], text[end : end + context]))
-            of, *columns = zip(*found, strict=True) if found else ((),) * 6
-            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()][: 3 + len(around)]
-            kept = [batch.column(k).take(pa.array(of, pa.int64())) for k in keys]
-            yield pa.record_batch([*kept, *(pa.array(c, t) for c, t in zip(columns, types, strict=False))], names=names)
+        yield from hits_of(batches, keys, wanted, alone, border, fold, context)
 
     return docs.select(*keys, F.col(text_col).alias("__text")).mapInArrow(scan, schema)
 

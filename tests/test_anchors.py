@@ -3,6 +3,9 @@
 import datetime as dt
 import json
 
+import pyarrow as pa
+
+from opineflow.operators import anchoring as an
 from opineflow.operators.anchoring import dates_in, entity_spans, temporal_spans
 from opineflow.operators.content import entity_mentions, key_borders, stratified_sample
 from opineflow.operators.creators import creator_bands
@@ -86,3 +89,14 @@ def test_mentions_are_counted_where_the_texts_are(spark):
     assert sorted((str(r.doc_id), r.ticker, r.mentions, r.longest_alias) for r in got.collect()) == [("1", "A", 5, "the"), ("1", "B", 3, "the"), ("1", "C", 1, "x"), ("None", "A", 1, "the"), ("None", "B", 1, "the")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_hits_come_in_small_batches():
+    texts = ["ab " * 9000, None, "", *["ab"] * 5000, "ab " * 12000]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "__text"])
+    for context in (0, 4):
+        out = list(an.hits_of(iter([batch, batch]), ["id"], ["ab"], {"ab"}, "words", False, context))
+        assert max(b.num_rows for b in out) == an.SLICE_HITS and all(b.num_rows for b in out)
+        ids, starts = ([v for b in out for v in b.column(c).to_pylist()] for c in ("id", "start"))
+        one = [(i, m) for i, t in enumerate(texts) for m in range(0, len(t or ""), 3)]
+        assert list(zip(ids, starts, strict=True)) == one * 2
