@@ -131,38 +131,42 @@ def _beside(border: str) -> Callable[[str], bool]:
     return (lambda c: c.isascii() and c.isalpha()) if border == "letters" else (lambda c: c.isascii() and c.isalnum())
 
 
-def hits_of(batches: Iterator[pa.RecordBatch], keys: Sequence[str], wanted: Sequence[str], alone: set[str], border: str, fold: bool, context: int) -> Iterator[pa.RecordBatch]:
-    """The rows of ``alias_hits`` for batches of the keys and ``__text``; no batch it gives is over SLICE_HITS rows."""
-    import ahocorasick
-
+def hits_of(keys: Sequence[str], wanted: Sequence[str], alone: set[str], border: str, fold: bool, context: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes the rows of ``alias_hits`` from batches of the keys and ``__text``; no batch it gives is over SLICE_HITS rows."""
     beside, names = _beside(border), [*keys, "alias", "start", "end", *(["before", "after"] if context else [])]
-    automaton = ahocorasick.Automaton()
-    for alias in wanted:
-        automaton.add_word(alias, alias)
-    automaton.make_automaton()
     types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()][: len(names) - len(keys)]
+    slice_rows, slice_hits = SLICE_ROWS, SLICE_HITS
 
-    def rows_of(part: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+    def rows_of(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
         of, *columns = zip(*found, strict=True)
-        kept = [part.column(k).take(pa.array(of, pa.int64())) for k in keys]
+        kept = [batch.column(k).take(pa.array(of, pa.int64())) for k in keys]
         return pa.record_batch([*kept, *(pa.array(c, t) for c, t in zip(columns, types, strict=False))], names=names)
 
-    for batch in batches:
-        found: list[tuple] = []
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            for row, text in enumerate(batch.column("__text").slice(at, SLICE_ROWS).to_pylist(), at):
-                text = (text or "").lower() if fold else text or ""
-                for last, alias in automaton.iter(text):
-                    end = last + 1
-                    start = end - len(alias)
-                    if alias in alone and (start and beside(text[start - 1]) or end < len(text) and beside(text[end])):
-                        continue
-                    found.append((row, alias, start, end, text[max(0, start - context) : start], text[end : end + context]))
-                    if len(found) == SLICE_HITS:
-                        yield rows_of(batch, found)
-                        found = []
-        if found:
-            yield rows_of(batch, found)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for alias in wanted:
+            automaton.add_word(alias, alias)
+        automaton.make_automaton()
+        for batch in batches:
+            found: list[tuple] = []
+            for at in range(0, batch.num_rows, slice_rows):
+                for row, text in enumerate(batch.column("__text").slice(at, slice_rows).to_pylist(), at):
+                    text = (text or "").lower() if fold else text or ""
+                    for last, alias in automaton.iter(text):
+                        end = last + 1
+                        start = end - len(alias)
+                        if alias in alone and (start and beside(text[start - 1]) or end < len(text) and beside(text[end])):
+                            continue
+                        found.append((row, alias, start, end, text[max(0, start - context) : start], text[end : end + context]))
+                        if len(found) == slice_hits:
+                            yield rows_of(batch, found)
+                            found = []
+            if found:
+                yield rows_of(batch, found)
+
+    return scan
 
 
 def alias_hits(docs: DataFrame, keys: Sequence[str], text_col: str, aliases: Sequence[str], border: str = "words", fold: bool = False, context: int = 0) -> DataFrame:
@@ -183,10 +187,7 @@ def alias_hits(docs: DataFrame, keys: Sequence[str], text_col: str, aliases: Seq
     if not wanted:
         return docs.sparkSession.createDataFrame([], schema)
     alone = {a for a in wanted if border != "none" and not any("一" <= c <= "鿿" for c in a)}
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from hits_of(batches, keys, wanted, alone, border, fold, context)
-
+    scan = hits_of(keys, wanted, alone, border, fold, context)
     return docs.select(*keys, F.col(text_col).alias("__text")).mapInArrow(scan, schema)
 
 

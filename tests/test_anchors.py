@@ -95,7 +95,7 @@ def test_hits_come_in_small_batches():
     texts = ["ab " * 9000, None, "", *["ab"] * 5000, "ab " * 12000]
     batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "__text"])
     for context in (0, 4):
-        out = list(an.hits_of(iter([batch, batch]), ["id"], ["ab"], {"ab"}, "words", False, context))
+        out = list(an.hits_of(["id"], ["ab"], {"ab"}, "words", False, context)(iter([batch, batch])))
         assert max(b.num_rows for b in out) == an.SLICE_HITS and all(b.num_rows for b in out)
         ids, starts = ([v for b in out for v in b.column(c).to_pylist()] for c in ("id", "start"))
         one = [(i, m) for i, t in enumerate(texts) for m in range(0, len(t or ""), 3)]
