@@ -14,28 +14,35 @@ DEFAULT_DAYS = 180
 def per_action_backtest(actions: DataFrame, bars: DataFrame) -> DataFrame:
     """Outcome of following each action: exit_reason or skip, return_pct net of cost, holding_days, max_drawdown.
 
-    A ticker's closes form one short sorted array (its trading days), so an action reads its path without
-    being joined to every later bar.  On one bar a stop comes before a target, a target before the deadline.
+    A ticker's closes form one short sorted array (its trading days), so no action is joined to every later bar.  Actions on one
+    ticker and day with the same sign and window share their outcome, so each such case is worked out once, however many they are.
+    On one bar a stop comes before a target, a target before the deadline.
     """
     days = F.create_map(*[F.lit(x) for kv in WINDOW_DAYS.items() for x in kv])
     sign = F.when(F.col("direction") == "bullish", 1.0).when(F.col("direction").isin("bearish", "risk_warning"), -1.0)
     series = bars.where("close > 0").groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", "close"))).alias("series"))
-    a = actions.select("action_id", "creator_id", "ticker", "direction", "clock", "status", sign.alias("sign"), F.coalesce(days[F.coalesce("time_horizon", F.lit(""))], F.lit(DEFAULT_DAYS)).alias("days"))
-    a = a.join(series, "ticker", "left").withColumn("path", F.expr("filter(series, b -> b.date >= cast(clock as date))"))
-    a = a.withColumn("entry", F.expr("try_element_at(path, 1)")).withColumn("scan", F.expr("slice(path, 2, greatest(size(path) - 1, 0))"))
+    a = actions.select("action_id", "creator_id", "ticker", "direction", "clock", "status", F.col("clock").cast("date").alias("day"), sign.alias("sign"), F.coalesce(days[F.coalesce("time_horizon", F.lit(""))], F.lit(DEFAULT_DAYS)).alias("days"))
+    cases = a.where("sign is not null").select("ticker", "day", "sign", "days").distinct()
+    c = cases.join(series, "ticker", "left").withColumn("path", F.expr("filter(series, b -> b.date >= day)"))
+    c = c.withColumn("entry", F.expr("try_element_at(path, 1)")).withColumn("scan", F.expr("slice(path, 2, greatest(size(path) - 1, 0))"))
     gross = "(sign * (b.close / entry.close - 1))"
-    a = a.withColumn("hit", F.expr(f"try_element_at(filter(scan, b -> {gross} <= {STOP}D or {gross} >= {TARGET}D or b.date >= date_add(entry.date, days)), 1)"))
-    a = a.withColumn("exit", F.expr("coalesce(hit, try_element_at(scan, -1))")).withColumn("gross", F.expr("sign * (exit.close / entry.close - 1)"))
-    a = a.withColumn("low", F.expr(f"array_min(transform(filter(scan, b -> b.date <= exit.date), b -> {gross}))"))
-    skip = F.when(F.col("sign").isNull(), "non_directional").when(F.col("series").isNull(), "no_price_data").when(F.col("entry").isNull(), "no_entry_bar").when(F.size("scan") == 0, "insufficient_bars")
+    c = c.withColumn("hit", F.expr(f"try_element_at(filter(scan, b -> {gross} <= {STOP}D or {gross} >= {TARGET}D or b.date >= date_add(entry.date, days)), 1)"))
+    c = c.withColumn("exit", F.expr("coalesce(hit, try_element_at(scan, -1))")).withColumn("gross", F.expr("sign * (exit.close / entry.close - 1)"))
+    c = c.withColumn("low", F.expr(f"array_min(transform(filter(scan, b -> b.date <= exit.date), b -> {gross}))"))
+    skip = F.when(F.col("series").isNull(), "no_price_data").when(F.col("entry").isNull(), "no_entry_bar").when(F.size("scan") == 0, "insufficient_bars")
     reason = F.when(F.col("gross") <= STOP, "stop_loss").when(F.col("gross") >= TARGET, "target_reached").when(F.col("hit").isNotNull(), "time_exit").otherwise("end_of_period")
     ok = skip.isNull()
-    return a.select(
-        "action_id", "creator_id", "ticker", "direction", "clock", "status", skip.alias("skip"), F.when(ok, reason).alias("exit_reason"),
+    c = c.select(
+        F.col("ticker").alias("__ticker"), F.col("day").alias("__day"), F.col("sign").alias("__sign"), F.col("days").alias("__days"), skip.alias("skip"), F.when(ok, reason).alias("exit_reason"),
         F.when(ok, F.col("entry.date")).alias("entry_date"), F.when(ok, F.col("exit.date")).alias("exit_date"),
         F.when(ok, F.round(F.col("gross") - COST, 4)).alias("return_pct"), F.when(ok, F.datediff("exit.date", "entry.date")).alias("holding_days"),
         F.when(ok, F.round(F.least(F.lit(0.0), F.col("low")), 4)).alias("max_drawdown"),
     )
+    same = F.col("ticker").eqNullSafe(F.col("__ticker")) & F.col("day").eqNullSafe(F.col("__day")) & (F.col("sign") == F.col("__sign")) & (F.col("days") == F.col("__days"))
+    return a.join(c, same, "left").select(
+        "action_id", "creator_id", "ticker", "direction", "clock", "status", F.when(F.col("sign").isNull(), "non_directional").otherwise(F.col("skip")).alias("skip"),
+        "exit_reason", "entry_date", "exit_date", "return_pct", "holding_days", "max_drawdown",
+    )
 
 
 def settle(results: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 
@@ -38,3 +39,16 @@ def test_settle_and_credibility(spark):
     done = outcome(spark, "bullish", [100, 125])
     assert settle(done).first().new_status == "verified"
     assert credibility(done).first().credibility == 73  # round(40 + 55 * 3 / 5)
+
+
+def test_equal_cases_are_worked_out_once(spark):
+    at = dt.datetime(2026, 3, 2, 9)
+    rows = [(i, "k", "T", "bullish", at + dt.timedelta(minutes=i), "pending", "short_term") for i in range(50)]
+    rows += [(50, "k", "T", "bullish", None, "pending", None), (51, None, None, "bearish", at, "pending", None), (52, "k", "T", None, at, None, None), (53, "k", "T", "bearish", at, "pending", "short_term")]
+    actions = spark.createDataFrame(rows, "action_id long, creator_id string, ticker string, direction string, clock timestamp_ntz, status string, time_horizon string")
+    bars = spark.createDataFrame([("T", DAY + dt.timedelta(i), c) for i, c in enumerate([100.0, 125.0, 90.0])], "ticker string, date date, close double")
+    done = per_action_backtest(actions, bars)
+    got = {r.action_id: r for r in done.collect()}
+    assert len(got) == 54 and {(got[i].exit_reason, got[i].return_pct, got[i].max_drawdown) for i in range(50)} == {("target_reached", 0.247, 0.0)}
+    assert [got[i].skip for i in (50, 51, 52, 53)] == ["no_entry_bar", "no_price_data", "non_directional", None] and got[53].exit_reason == "stop_loss"
+    assert re.search(r"Aggregate \[ticker#\d+, day#\d+, sign#\d+, days#\d+\]", done._jdf.queryExecution().optimizedPlan().toString())
