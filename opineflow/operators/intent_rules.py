@@ -45,11 +45,14 @@ def _has(text: Column, words: Sequence[str]) -> Column:
 
 def skipped(text: Column, more: Sequence[str] = ()) -> Column:
     """Blocks that say nothing: under four characters, a question of one line, time stamps, quoted marks, and patterns of the caller's own."""
-    t = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    out = (F.char_length(t) < 4) | (t.rlike(r"^Q[:：]\s*") & ~F.contains(t, F.lit("\n")))
-    for pattern in (*SKIPPED, *more):
-        out = out | t.rlike(pattern)
-    return F.coalesce(out, F.lit(True))
+    def silent(t: Column) -> Column:
+        out = (F.char_length(t) < 4) | (t.rlike(r"^Q[:：]\s*") & ~F.contains(t, F.lit("\n")))
+        for pattern in (*SKIPPED, *more):
+            out = out | t.rlike(pattern)
+        return out
+
+    # within an array, as a filter works out anew each expression that stands in it more than once
+    return F.coalesce(F.exists(F.array(F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))), silent), F.lit(True))
 
 
 def in_sections(blocks: DataFrame) -> DataFrame:
@@ -124,9 +127,9 @@ def rule_intents(blocks: DataFrame, registry: Sequence[Entry], more_skipped: Seq
     rows = in_sections(blocks).where(~F.col("is_heading")).where(~skipped(F.col("text"), more_skipped))
     words = alias_hits(rows, ["content_id", "section", "order_index", "block_id"], "text", [*BULLISH, *BEARISH], border="none")
     spans = words.groupBy("content_id", "section").agg(F.sort_array(F.collect_list(F.struct("order_index", "block_id", "start", "end", F.col("alias").alias("text")))).alias("spans"))
+    # the text is made by the aggregate itself: above it, the filter on stances would join the parts anew for every word it looks for
     parts = F.array_sort(F.collect_list(F.struct("order_index", "block_id", "text")))
-    whole = rows.groupBy("content_id", "section").agg(F.first("heading", ignorenulls=True).alias("heading"), parts.alias("parts"))
-    whole = whole.select("content_id", "section", "heading", F.array_join(F.col("parts.text"), " ").alias("text"))
+    whole = rows.groupBy("content_id", "section").agg(F.first("heading", ignorenulls=True).alias("heading"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
     found = _targets(whole, registry)
     s = whole.join(spans, ["content_id", "section"]).join(found, F.col("content_id").eqNullSafe(F.col("__c")) & (F.col("section") == F.col("__s")), "left").drop("__c", "__s")
     if anchors is not None:

@@ -2,6 +2,10 @@
 
 import pytest
 
+import re
+
+from pyspark.sql import functions as F
+
 from opineflow.operators import intent_rules as ir
 from opineflow.operators import topics as tp
 
@@ -97,3 +101,13 @@ def test_emotions(spark):
         "Very HAPPY, never a loss": ("joy", 1.0, 0.5, 2), "x": ("neutral", 0.0, 0.0, 0), "看好 不看好": ("bullish", 1.0, 0.2, 1), "不" + "x" * 10 + "担心": ("fear", -1.0, 0.2, 1), "happy 担心": ("fear", 0.0, 0.4, 2),
     }
     assert {r.emotion for r in em.paragraph_emotions(rows, []).collect()} == {"neutral"}
+
+
+def test_texts_of_sections_are_joined_once(spark):
+    got = ir.rule_intents(blocks(spark, a=["看好腾讯", "卖出"]), REGISTRY)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(transform(array_sort(collect_list(") == 2  # the targets' and the intents' own, whatever words are looked for
+    assert "Filter" in plan and not re.search(r"contains\(array_join", plan)
+    texts = ["看好", "看好了吧", " Q: 买入? ", "Q: 买入?\n看好", "  2026年1月2日 10:30 ", None, "> * 看好", "　看好了吧"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", ir.skipped(F.col("t")).alias("s"), ir.skipped(F.col("t"), ["吧$"]).alias("more")).orderBy("i").collect()
+    assert [r.s for r in rows] == [True, False, True, False, True, True, True, False] and rows[1].more and rows[7].more
