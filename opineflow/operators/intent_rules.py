@@ -73,8 +73,11 @@ def in_sections(blocks: DataFrame) -> DataFrame:
 
 def direction(text: Column) -> Column:
     """bullish, bearish, mixed, neutral for caution alone, null for nothing; caution weighs against a bullish word."""
-    up, caution = _hits(text, BULLISH), _hits(text, CAUTION)
-    down = _hits(text, BEARISH_STANCE) + F.when(up > 0, caution).otherwise(0)
+    return _leaning(_hits(text, BULLISH), _hits(text, BEARISH_STANCE), _hits(text, CAUTION))
+
+
+def _leaning(up: Column, bearish: Column, caution: Column) -> Column:
+    down = bearish + F.when(up > 0, caution).otherwise(0)
     return F.when(up > down, "bullish").when(down > up, "bearish").when(up > 0, "mixed").when(caution > 0, "neutral")
 
 
@@ -137,21 +140,26 @@ def rule_intents(blocks: DataFrame, registry: Sequence[Entry], more_skipped: Seq
         s = s.join(first, F.col("content_id") == F.col("__a"), "left").drop("__a")
     else:
         s = s.withColumn("anchor", F.lit(None).cast("struct<name:string,symbol:string,market:string,type:string>"))
-    text, kind = F.col("text"), section_kind(F.col("text"))
-    s = s.withColumn("kind", kind).withColumn("acts", actionability(text)).withColumn("stance", F.when(F.col("kind").isNotNull(), "neutral").otherwise(direction(text))).where("stance is not null")
+    # exploded, so that each word is looked for once: what a filter or several columns read would be worked out anew for each
+    text = F.col("text")
+    counts = {"up": BULLISH, "against": BEARISH_STANCE, "caution": CAUTION, "bearish": BEARISH}
+    said = F.struct(section_kind(text).alias("kind"), actionability(text).alias("acts"), *[_hits(text, words).alias(c) for c, words in counts.items()])
+    s = s.withColumn("said", F.explode(F.array(said))).select("*", "said.*").drop("said")
+    stance = F.when(F.col("kind").isNotNull(), "neutral").otherwise(_leaning(F.col("up"), F.col("against"), F.col("caution")))
+    s = s.withColumn("stance", stance).where("stance is not null")
     s = s.select(
         "content_id", "section", F.coalesce("name", "anchor.name", F.lit("unknown")).alias("target"),
         F.coalesce(F.col("entry.type"), F.when(F.col("name").isNull(), F.col("anchor.type")), F.lit("unknown")).alias("target_type"),
         F.when(F.col("name").isNotNull(), F.col("entry.symbol")).otherwise(F.col("anchor.symbol")).alias("symbol"), F.when(F.col("name").isNotNull(), F.col("entry.market")).otherwise(F.col("anchor.market")).alias("market"),
         F.col("stance").alias("direction"), F.when(F.col("kind").isNotNull(), "watch").otherwise(F.col("acts.actionability")).alias("actionability"), F.when(F.col("kind").isNotNull(), "none").otherwise(F.col("acts.delta")).alias("delta"),
-        "kind", "text", "spans",
+        "kind", "text", "spans", (F.col("up") + F.col("bearish")).alias("signals"),
     )
     flags = [
         (F.col("kind") == "monitoring", "nondirectional_monitoring"), (F.col("kind") == "allocation", "nondirectional_allocation"), (F.col("target") == "unknown", "unknown_target"), (_has(text, RISK_NOTES), "risk_warning"),
         (_has(text, ("等跌到", "以下再")), "wait_for_better_entry"), (F.contains(text, F.lit("修复空间")) & F.contains(text, F.lit("有限")), "limited_upside"),
         (_has(text, HOLDING) & _has(text, HOLD_AND_ADD), "hold_and_add_compound"), (_has(text, RELATIVE_TIMES), "relative_time_unresolved"),
     ]
-    signals = _hits(text, BULLISH) + _hits(text, BEARISH)
+    signals = F.col("signals")
     horizon = None
     for name, terms in HORIZONS:
         horizon = F.when(_has(text, terms), name) if horizon is None else horizon.when(_has(text, terms), name)
