@@ -32,6 +32,8 @@ BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
 SMALL_BUCKET = 8
 BIT_WORDS, SHORT_PREFIX = 16, 32
+#: Shared items met more often than 1 / OFTEN of all go last in a prefix, by how often; the others go by their hash.
+OFTEN = 1 << 19
 #: Rank cells: [0, 2^-10), coarse up to 2^-4, then doubling.
 _RANKS = [0.0, 2.0**-10, 2.0**-7, *(2.0**k for k in range(-4, 24))]
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -141,37 +143,60 @@ def open_texts(rows: DataFrame, roots: DataFrame, small: int = SMALL_BUCKET) ->
 def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs (a < b) of different roots that may be similar; texts are (id, root, items), items as of ``_sets``.
 
-    Prefix filter: with all items in one order, rare ones first, two sets of this similarity share an item among
-    the first size - ceil(similarity * size) + 1 of each.  Sizes and the items behind the shared one bound the rest,
-    and so do bit maps of the items: each bit that the other text lacks is at least one item it lacks.
+    Prefix filter: with all items in one order, two sets of this similarity share an item among the first
+    size - ceil(similarity * size) + 1 of each.  Frequent ones go last; as these are few, each text finds its own
+    prefix, and only prefixes are shuffled.  Sizes and the items behind the shared one bound the rest, and so do
+    bit maps of the items: each bit that the other text lacks is at least one item it lacks.
     """
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                values = np.frombuffer(row.column("items")[0].as_py(), np.int64)
-                met = np.zeros(64 * BIT_WORDS, np.uint8)
-                met[values.view(np.uint64) % np.uint64(len(met))] = 1
-                bits = pa.array(np.packbits(met).view(np.int64)[None].tolist(), pa.list_(pa.int64()))
+                values = np.frombuffer(batch.column("items")[i].as_py(), np.int64)
+                root = batch.column("root").slice(i, 1)
                 for at in range(0, len(values), 1 << 16):
                     part = values[at : at + (1 << 16)]
+                    yield pa.record_batch([root.take(pa.array(np.zeros(len(part), np.int32))), pa.array(part)], names=["root", "item"])
+
+    met = texts.select("root", "items").mapInArrow(items, "root binary, item long").groupBy("item")
+    met = materialize(met.agg(F.count("*").alias("met"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("item", "met"), "shared-items")
+    # fewer than OFTEN items, whatever the data; what is met in one root only makes no pair, so it counts as rare
+    least = (met.agg(F.sum("met")).first()[0] or 0) // OFTEN
+    often = met.where(F.col("met") > least).orderBy("item").toArrow()
+    often = texts.sparkSession.sparkContext.broadcast([often.column(c).to_numpy() for c in ("item", "met")])
+    release(met)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = often.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                values = np.frombuffer(row.column("items")[0].as_py(), np.int64)
+                left, right = np.searchsorted(names, values), np.searchsorted(names, values, "right")
+                rank = np.zeros(len(values), np.int64)
+                rank[left < right] = counts[left[left < right]]
+                first = values[np.lexsort((values, rank))][: len(values) - math.ceil(len(values) * similarity - 1e-6) + 1]
+                bit = np.zeros(64 * BIT_WORDS, np.uint8)
+                bit[values.view(np.uint64) % np.uint64(len(bit))] = 1
+                bits = pa.array(np.packbits(bit).view(np.int64)[None].tolist(), pa.list_(pa.int64()))
+                for at in range(0, len(first), 1 << 16):
+                    part = first[at : at + (1 << 16)]
                     same = pa.array(np.zeros(len(part), np.int32))
-                    yield pa.record_batch([row.column("id").take(same), row.column("root").take(same), pa.array(np.full(len(part), len(values))), pa.array(part), bits.take(same)], names=["id", "root", "size", "item", "bits"])
-
-    each = texts.select("id", "root", "items").mapInArrow(items, "id binary, root binary, size long, item long, bits array<long>")
-    each = each.select("id", "root", "size", "item", *[F.col("bits")[k].alias(f"b{k}") for k in range(BIT_WORDS)])
-    met = each.groupBy(F.col("item").alias("i")).agg(F.count("*").alias("met"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    rarest = Window.partitionBy("id").orderBy("met", "item")
-    first = each.join(met, F.col("item") == F.col("i")).select(*each.columns, (F.col("lo") != F.col("hi")).alias("several"), F.row_number().over(rarest).alias("at"))
+                    columns = [row.column("id").take(same), row.column("root").take(same), pa.array(np.full(len(part), len(values))), pa.array(part), pa.array(np.arange(at + 1, at + 1 + len(part))), bits.take(same)]
+                    yield pa.record_batch(columns, names=["id", "root", "size", "item", "at", "bits"])
+
+    each = texts.select("id", "root", "items").mapInArrow(prefixes, "id binary, root binary, size long, item long, at long, bits array<long>")
+    each = materialize(each.select("id", "root", "size", "item", "at", *[F.col("bits")[k].alias(f"b{k}") for k in range(BIT_WORDS)]), "all-prefixes")
+    # only what stands in prefixes of several roots makes a pair
+    shared = each.groupBy(F.col("item").alias("i")).agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("i", "n")
+    first = join_groups(each, materialize(shared, "prefix-items"), "item", "i").select(*each.columns)
     # similar sets are of one size class or of neighbouring ones
     grade = F.floor(F.log("size") / (1.0001 * -math.log(similarity)))
-    first = first.where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-6) + 1) & F.col("several"))
     # where both prefixes are short, a pair is only met at the first item that they share
     whole = Window.partitionBy("id")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "item")).over(whole)), lambda x: x["item"])
     prefix = F.when(F.count("*").over(whole) <= SHORT_PREFIX, in_order)
-    first = materialize(first.drop("several").withColumns({"grade": grade, "prefix": prefix}), "prefixes")
+    first = materialize(first.withColumns({"grade": grade, "prefix": prefix}), "prefixes")
     x, y = first.withColumn("grade", F.explode(F.array("grade", F.col("grade") + 1))).alias("x"), first.alias("y")
     common = F.ceil((F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-6)
     left = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + 1

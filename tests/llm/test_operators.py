@@ -398,6 +398,42 @@ def test_large_buckets_lose_no_link(spark):
     assert found == alike and len(alike) < 61 * 60 / 2
 
 
+def join_rows(spark, since):
+    """The most rows that a join of the executions from number ``since`` on has made."""
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList(since, 1_000_000)
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size()) if "Join" in node.name()):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+@pytest.mark.parametrize("often", [1 << 19, 16, 1])
+def test_prefixes_are_found_before_any_join(spark, monkeypatch, often):
+    """A large component of near copies beside texts that are like some of them: only prefixes are joined, no link is lost."""
+    monkeypatch.setattr(dart_minhash, "OFTEN", often, raising=False)
+    rng = np.random.default_rng(17)
+    texts, roots = [], []
+    for n in range(90):
+        words = [f"w{i}" for i in range(120)]
+        for at in rng.choice(120, 2 if n < 60 else int(rng.integers(2, 9)), replace=False):
+            words[at] = f"x{n}y{at}"
+        texts.append(" ".join(words))
+        roots.append(b"one" if n < 60 else str(n).encode())
+    sets = dart_minhash.occurrence_sets(texts)
+    df = spark.createDataFrame([(str(i).encode(), s.tobytes(), r) for i, (s, r) in enumerate(zip(sets, roots, strict=True))], "id binary, items binary, root binary")
+    since = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    pairs = dart_minhash.materialize(dart_minhash.prefix_pairs(df), "found-pairs")
+    assert 0 < join_rows(spark, since) <= sum(len(s) - int(np.ceil(0.8 * len(s))) + 1 for s in sets)
+    found = {frozenset((int(r.a), int(r.b))) for r in dart_minhash.verified_links(pairs, df).collect()}
+    bags = [shingle_counts(t) for t in texts]
+    alike = {frozenset((i, j)) for i in range(90) for j in range(i) if roots[i] != roots[j] and (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total()}
+    assert found == alike and alike
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
     h = rng.integers(1, 2**63, 400).astype(np.uint64)
