@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,17 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collect_by_arrow(df: DataFrame) -> pd.DataFrame:
+    """A bounded table, to the driver as Arrow batches: as rows the driver's JVM would hold it unpacked and pickled beside what the tasks sent."""
+    key, conf = "spark.sql.execution.arrow.pyspark.enabled", df.sparkSession.conf
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return df.toPandas()
+    finally:
+        conf.set(key, before)
+
+
 #: A group of over 1 / HOT_SHARE of all rows and over HOT_ROWS rows is hot; there are fewer than HOT_SHARE of these, whatever the data.
 HOT_SHARE, HOT_ROWS = 1024, 500_000
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import collect_by_arrow, documents
 
 #: The most labelled rows that are fitted on; with more, those of the smallest id hashes are taken.
 FIT_ROWS = 10_000
@@ -63,6 +63,11 @@ class FactorizationMachine(NamedTuple):
             out[full] += np.add.reduceat(self.weights[slots], at) * scale[:, 0] + 0.5 * ((total * total).sum(1) - square) * scale[:, 0] ** 2
         return out
 
+    def raw_each(self, texts: list[np.ndarray]) -> np.ndarray:
+        """``raw`` of one array of slots a document, some hundred at a time."""
+        parts = [texts[at : at + 256] for at in range(0, len(texts), 256)]
+        return np.concatenate([np.zeros(0), *(self.raw(np.concatenate(x), np.cumsum([len(t) for t in x])) for x in parts)])
+
 
 def _scale(sizes: np.ndarray) -> np.ndarray:
     """Longer texts hold more terms of no account: each counts a little less."""
@@ -107,11 +112,13 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int | None = None,
     v = rng.normal(0, 0.02, (1 << BITS, FACTORS))
     if n == 0 or labels.min() == labels.max():
         return FactorizationMachine(bias, w, np.zeros_like(v))
-    met = np.bincount(np.concatenate(texts), minlength=1 << BITS)
-    texts = [t[met[t] >= LEAST_ROWS] for t in texts]
-    v[met < LEAST_ROWS] = 0
+    met = np.zeros(1 << BITS, np.int32)
+    for t in texts:
+        met[t] += 1  # its slots are distinct
+    kept = met >= LEAST_ROWS
+    v[~kept] = 0
     gw, gv, gb = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6
-    sizes = np.array([len(t) for t in texts])
+    sizes = np.array([np.count_nonzero(kept[t]) for t in texts])
     for _ in range(epochs or min(max(SEEN_ROWS // n, 8), 16)):
         order = rng.permutation(n)
         for k in range(0, n, batch):
@@ -120,6 +127,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int | None = None,
             if not len(rows):
                 continue
             idx = np.concatenate([texts[r] for r in rows])
+            idx = idx[kept[idx]]  # batch by batch: no second copy of all texts
             m = sizes[rows]
             at = np.cumsum(m) - m
             scale = _scale(m)
@@ -164,7 +172,7 @@ def calibrated_fit(texts: list[np.ndarray], labels: np.ndarray, inner: np.ndarra
         return model
     outer = fit([t for t, i in zip(texts, inner, strict=True) if not i], labels[~inner])
     own = [t for t, i in zip(texts, inner, strict=True) if i]
-    return model._replace(bias=model.bias - best_cut(outer.raw(np.concatenate(own), np.cumsum([len(t) for t in own])), labels[inner]))
+    return model._replace(bias=model.bias - best_cut(outer.raw_each(own), labels[inner]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -191,7 +199,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> FactorizationMachine:
     """Fit on ``fit_sample``; only its slots reach the driver."""
-    sample = fit_sample(docs, labels, fit_rows).toPandas().sort_values("doc_id")
+    sample = collect_by_arrow(fit_sample(docs, labels, fit_rows)).sort_values("doc_id")
     inner = np.array([crc32(str(i).encode()) % 5 == INNER for i in sample["doc_id"]], bool)
     return calibrated_fit([np.frombuffer(s, np.int32) for s in sample["slots"]], sample["toxic"].to_numpy(float), inner)
 

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -217,6 +218,25 @@ def test_repeated_id_is_collected_once(spark, monkeypatch):
     assert bytes(got[2]) == min(toxicity_fm.slots_of(t).tobytes() for t in texts)
 
 
+def test_fit_holds_its_sample_once(spark, monkeypatch):
+    """The driver gets the sample as Arrow batches, and fitting makes no second copy of its slots."""
+    how, key = [], "spark.sql.execution.arrow.pyspark.enabled"
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda self, f=type(spark.range(0)).toPandas: how.append(spark.conf.get(key)) or f(self))
+    before = spark.conf.get(key)
+    toxicity_fm.fit_toxicity(spark.createDataFrame([(2, "a"), (3, None)], "doc_id long, text string"), spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, toxic long"))
+    assert how == ["true"] and spark.conf.get(key) == before
+    rng = np.random.default_rng(3)
+    texts = [np.unique(rng.integers(0, 1 << toxicity_fm.BITS, 2000)).astype(np.int32) for _ in range(6000)]
+    labels = (rng.random(6000) < 0.1).astype(float)
+    tracemalloc.start()
+    model = toxicity_fm.fit(texts, labels, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * sum(t.nbytes for t in texts)  # the model's own arrays and a batch's
+    assert np.array_equal(model.raw_each(texts), model.raw(np.concatenate(texts), np.cumsum([len(t) for t in texts])))
+    assert model.raw_each([]).size == 0
+
+
 def test_rare_families_are_learnt():
     """A rarer language's insults, each in a few rows of many, whose beginnings clean texts have too."""
     rng = random.Random(5)
