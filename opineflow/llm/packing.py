@@ -11,6 +11,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ CACHE_WORDS, CACHE_CHARS = 900_000, 64  # the words kept between batches, and th
 # What str.split() takes for white space and the tokenizer does not.
 _NO_GAP = "\x1c\x1d\x1e\x1f"
 _GAP = re.compile("[ \t\n\r]+")
+# Letters up to U+024F, then ASCII signs: NFC leaves them, lower() is the tokenizer's lower case, and each part is one token run.  (U+0130 becomes two characters.)
+_PLAIN = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@\[-`{-~]*)")
 _ENCODERS: dict[str, "_WordIds"] = {}
 
 
@@ -36,58 +39,73 @@ class _WordIds(dict):
     """Word -> its ids as little-endian uint32 bytes, from the tokenizers library.
 
     The tokenizer drops white space and never joins words across it, so a text's ids are its words'
-    ids in turn.  A full stop or comma after a letter is a token run of its own.  Words of letters
-    are encoded a hundred at a time; each ends with the one id that closes a word.
+    ids in turn.  Signs after plain letters, and a full stop or comma after any letter, are a token run
+    of their own.  Words of letters are encoded a hundred at a time; each ends with the one id that
+    closes a word.  Plain ones need none of the tokenizer's normalizers and patterns, only its model.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model_only = Tokenizer(self.tokenizer.model)
+        self.model_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.long: list[str] = []  # words of the last batch that don't stay
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)
         self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def add(self, words: set[str]) -> None:
-        ended = [w for w in words if len(w) > 1 and w[-1] in ".," and _stays_letter(w[-2])]
-        roots = words.difference(ended).union(w[:-1] for w in ended).union(".,")
-        letters, others = [], []
-        for word in roots:
-            if word not in self:
-                (letters if word.isalpha() else others).append(word)
-        lines = [letters[i : i + 100] for i in range(0, len(letters), 100)]
-        for line, ids in zip(lines, self._encode([" ".join(x) for x in lines]), strict=True):
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(line):  # each has one at least, so each has one
-                data, end = ids.tobytes(), (4 * ends).tolist()
-                for word, i, j in zip(line, [0, *end], end, strict=False):
-                    self[word] = data[i:j]
-            else:
-                others += line
-        for word, ids in zip(others, self._encode(others), strict=True):
+        ended, plain, letters, others, seen = [], [], [], [], set()
+        for word in words:
+            root, tail, to = word, "", letters if word.isalpha() else others
+            if match := _PLAIN.fullmatch(word):
+                (root, tail), to = match.groups(), plain
+            elif len(word) > 1 and word[-1] in ".," and _stays_letter(word[-2]):
+                root, tail = word[:-1], word[-1]
+                to = letters if root.isalpha() else others
+            if tail:
+                ended.append((word, root, tail))
+                if tail not in self and tail not in seen:
+                    seen.add(tail)
+                    others.append(tail)
+            if root not in self and root not in seen:
+                seen.add(root)
+                to.append(root)
+        for tokenizer, own in ((self.model_only, plain), (self.tokenizer, letters)):
+            lines = [own[i : i + 100] for i in range(0, len(own), 100)]
+            texts = [" ".join(x) for x in lines]
+            for line, ids in zip(lines, self._encode(tokenizer, [x.lower() for x in texts] if own is plain else texts), strict=True):
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                if len(ends) == len(line):  # each has one at least, so each has one
+                    data, end = ids.tobytes(), (4 * ends).tolist()
+                    for word, i, j in zip(line, [0, *end], end, strict=False):
+                        self[word] = data[i:j]
+                else:
+                    others += line
+        for word, ids in zip(others, self._encode(self.tokenizer, others), strict=True):
             self[word] = ids.tobytes()
-        for word in ended:
-            self[word] = self[word[:-1]] + self[word[-1]]
+        for word, root, tail in ended:
+            self[word] = self[root] + self[tail]
+        self.long = [w for w in {*words, *seen} if len(w) > CACHE_CHARS]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_GAP.split(text) if any(c in text for c in _NO_GAP) else text.split() for text in texts]
-        out = [list(map(self.get, words)) for words in split]
-        if missing := {w for words, ids in zip(split, out, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}:
-            if len(self) + 2 * len(missing) > CACHE_WORDS:
+        words = set().union(*split)
+        if missing := set(filterfalse(self.__contains__, words)):
+            if len(self) + 3 * len(missing) > CACHE_WORDS:
                 self.clear()
-                missing = {w for words in split for w in words}
+                missing = words
             self.add(missing)
-            out = [ids if None not in ids else map(self.__getitem__, words) for words, ids in zip(split, out, strict=True)]
-        joined = [b"".join(ids) for ids in out]
-        for w in missing:
-            if len(w) > CACHE_CHARS:
-                self.pop(w, None)
-                self.pop(w[:-1], None)
+        joined = [b"".join(map(self.__getitem__, words)) for words in split]
+        for w in self.long:
+            self.pop(w, None)
+        self.long = []
         return joined
 
 

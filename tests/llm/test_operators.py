@@ -188,6 +188,32 @@ def test_warc(spark, tmp_path, sizes):
     assert warc.warc_round_trip(df.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_plain_words_need_the_model_only():
+    """All letters up to U+024F, in words with and without signs: the library's ids, and the whole tokenizer sees only the signs."""
+    path = tokenizer_path("word_bpe_49k.json")
+    words = packing._WordIds(path)
+    whole, given = words.tokenizer, []
+
+    class Seen:
+        def encode_batch_fast(self, texts, **kw):
+            given.extend(texts)
+            return whole.encode_batch_fast(texts, **kw)
+
+    words.tokenizer = Seen()
+    letters = [chr(i) for i in range(0x250) if chr(i).isalpha() and i != 0x130]
+    signs = [chr(i) for i in range(33, 127) if not chr(i).isalnum()]
+    rng = random.Random(9)
+    plain = [*letters, *(a + b for a in letters for b in "aZß"), *("".join(rng.choices(letters, k=rng.randint(2, 90))) for _ in range(3000))]
+    ended = [f"wOrd{a}" for a in signs] + [rng.choice(plain) + "".join(rng.choices(signs, k=rng.randint(1, 4))) for _ in range(3000)]
+    texts = [" ".join(rng.sample(plain + ended, 500)) for _ in range(30)] + [" ".join(plain), " ".join(ended), "", "a" + "=" * 500]
+    want = [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(texts, add_special_tokens=False)]
+    assert words.encode(texts) == want and words.encode(texts) == want
+    assert given and not any(c.isalpha() for x in given for c in x)
+    assert max(map(len, words)) <= packing.CACHE_CHARS
+    odd = ["İstanbul, İ. Σας ΣΑΣ. Å Å e\u0301a. don't. it's, a1. x²! _a_ a\u0345. 日本語。 日本. <|endoftext|>. a<|endoftext|> no\u200bgap\x1cb ſt. ŉa"]
+    assert words.encode(odd) == [np.array(x.ids, "<u4").tobytes() for x in whole.encode_batch(odd, add_special_tokens=False)]
+
+
 def test_toxicity(spark, empty):
     rng = random.Random(2)
     rows, labels = [], []
