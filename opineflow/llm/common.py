@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,25 @@ def collect_by_arrow(df: DataFrame) -> pd.DataFrame:
         conf.set(key, before)
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(operator: str, cache: dict) -> dict:
+    """``cache``, which the operator keeps in a Python worker from task to task, until another one's turn (``turn_to``)."""
+    _CACHES[operator] = cache
+    return cache
+
+
+def turn_to(operator: str) -> None:
+    """Empty the other operators' caches and return what Arrow holds of earlier batches.
+
+    Spark hands a Python worker from stage to stage, so they would add up beside the JVM, each within its own bound."""
+    for other, cache in _CACHES.items():
+        if other != operator:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 #: A group of over 1 / HOT_SHARE of all rows and over HOT_ROWS rows is hot; there are fewer than HOT_SHARE of these, whatever the data.
 HOT_SHARE, HOT_ROWS = 1024, 500_000
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, join_groups, key128, materialize, release
+from .common import documents, join_groups, key128, materialize, release, turn_to
 from .components import components
 from .shingles import jaccard, mix, occurrence_sets, shingle_sets, weighted
 
@@ -98,6 +98,7 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    turn_to("dart_minhash")
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
             part = batch.slice(at, 128)
@@ -150,6 +151,7 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("dart_minhash")
         for batch in batches:
             for i in range(batch.num_rows):
                 values = np.frombuffer(batch.column("items")[i].as_py(), np.int64)
@@ -167,6 +169,7 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     release(met)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("dart_minhash")
         names, counts = often.value
         for batch in batches:
             for i in range(batch.num_rows):
@@ -209,6 +212,7 @@ def prefix_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    turn_to("dart_minhash")
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
             part = batch.slice(at, 128)
@@ -220,6 +224,7 @@ def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILA
     """The pairs (a, b) whose weighted Jaccard is ``similarity`` or more; sets are (id, items) of their texts."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("dart_minhash")
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
             good = [jaccard(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) >= similarity for i in range(batch.num_rows)]

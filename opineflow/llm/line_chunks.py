@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, join_groups, key128, materialize
+from .common import documents, join_groups, key128, materialize, turn_to
 
 WINDOW, EVERY = 2, 4
 PASSAGE_WORDS = 50  # a passage has more
@@ -85,6 +85,7 @@ def passage_spans(lines: list[bytes]) -> set[tuple[int, int]]:
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    turn_to("line_chunks")
     names = ["doc_id", "text_key", "first_line", "n_lines", "passage"]
     for batch in batches:
         for at in range(0, batch.num_rows, 128):
@@ -153,7 +154,8 @@ def line_chunk_digest(docs: DataFrame) -> DataFrame:
 
 ORACLE_SQL = rf"""with d as materialized (select doc_id, coalesce(text, '') as text, sha256(coalesce(text, ''))[1:32] as tk, string_split(coalesce(text, ''), chr(10)) as lines from documents),
     l as (select doc_id, tk, unnest(lines) as line, unnest(range(0, length(lines))) as i, length(lines) as n_lines from d),
-    h as (select *, ('0x' || md5(line)[1:7])::bigint as h, len(regexp_extract_all(line, '[^ 	-]+')) as words from l),
+    h as (select *, ('0x' || md5(line)[1:7])::bigint as h, len(regexp_extract_all(line, '[^ 	-
+]+')) as words from l),
     r as materialized (select *, (coalesce(lag(h) over w, 0) * {_BASE} + h) % {_MOD} as roll, sum(words) over w as after, sum(length(line) + 1) over w - 1 as stop from h window w as (partition by doc_id, tk order by i)),
     e as (select *, coalesce(sum(case when i + 1 = n_lines or roll % {EVERY} = 0 then 1 else 0 end) over (partition by doc_id, tk order by i rows between unbounded preceding and 1 preceding), 0) as nth from r),
     c as (select doc_id, tk, nth, min(i) as first_line, count(*) as n, string_agg(line, chr(10) order by i) as chunk from e group by doc_id, tk, nth),

@@ -6,6 +6,7 @@ Tokenizing and cutting are narrow: the job has no shuffle, whatever the skew of
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, turn_to, worker_cache
 
 SEQUENCE = 4096
 CACHE_WORDS, CACHE_CHARS = 900_000, 64  # the words kept between batches, and the longest of these
@@ -27,7 +28,7 @@ _NO_GAP = "\x1c\x1d\x1e\x1f"
 _GAP = re.compile("[ \t\n\r]+")
 # Letters up to U+024F, then ASCII signs: NFC leaves them, lower() is the tokenizer's lower case, and each part is one token run.  (U+0130 becomes two characters.)
 _PLAIN = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@\[-`{-~]*)")
-_ENCODERS: dict[str, "_WordIds"] = {}
+_ENCODERS: dict[str, "_WordIds"] = worker_cache("packing", {})
 
 
 def _stays_letter(c: str) -> bool:
@@ -47,6 +48,8 @@ class _WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        # Spark runs the tasks side by side; a pool of threads in each worker would only hold memory a thread
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -139,6 +142,7 @@ def power_of_two_pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, lon
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to("packing")
         words, end = encoder(tokenizer_path), array("I", [end_id]).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

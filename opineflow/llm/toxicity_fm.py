@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import collect_by_arrow, documents
+from .common import collect_by_arrow, documents, turn_to, worker_cache
 
 #: The most labelled rows that are fitted on; with more, those of the smallest id hashes are taken.
 FIT_ROWS = 10_000
@@ -87,7 +87,7 @@ class _WordTerms(dict):
         return raw
 
 
-_TERMS = _WordTerms()
+_TERMS = worker_cache("toxicity_fm", _WordTerms())
 
 
 def slots_of(text: str) -> np.ndarray:
@@ -190,6 +190,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     rows = documents(docs).join(F.broadcast(chosen), "doc_id")
 
     def featurize(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn_to("toxicity_fm")
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "toxic": frame["toxic"], "slots": [slots_of(t).tobytes() for t in frame["text"]]})
 
@@ -210,6 +211,7 @@ def scorer(spark: SparkSession, model: FactorizationMachine) -> Callable[[Column
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        turn_to("toxicity_fm")
         out = []
         for at in range(0, len(texts), 256):
             slots = [slots_of(t or "") for t in texts[at : at + 256]]

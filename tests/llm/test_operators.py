@@ -4,9 +4,12 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -692,6 +695,40 @@ def test_pipeline(spark):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in before.collect()}
 
 
+def test_workers_keep_one_operators_caches(spark):
+    """Whichever operator's batch comes next in a Python worker, the caches of those before it are gone."""
+    path = tokenizer_path("word_bpe_49k.json")
+    batch = pa.record_batch([pa.array([b"a", b"b"]), pa.array(["one two three four five six", "seven"])], names=["id", "text"])
+    lines = pa.record_batch([pa.array([1]), pa.array([b"k"]), pa.array([b"one two"])], names=["doc_id", "text_key", "text"])
+    for stage in (lambda: line_chunks._passages(iter([lines])), lambda: dart_minhash._keys(iter([batch])), lambda: dart_minhash._sets(iter([batch]))):
+        packing.encoder(path).encode(["some words"])
+        toxicity_fm.slots_of("some words")
+        list(stage())
+        assert not packing._ENCODERS and not toxicity_fm._TERMS
+    # a worker of Spark's: one task at a time, so that the stages share it
+    docs = spark.createDataFrame([(i, f"some words of row {i}", i % 2 == 0) for i in range(40)], "doc_id long, text string, toxic boolean").coalesce(1)
+    assert power_of_two_pack(docs, path).count() and toxicity_fm.score_toxicity(docs, toxicity_fm.fit([], np.zeros(0))).agg({"score": "sum"}).first()
+
+    def kept(batches):
+        list(batches)
+        yield pa.record_batch([pa.array([os.getpid()]), pa.array([len(packing._ENCODERS)]), pa.array([len(toxicity_fm._TERMS)])], names=["pid", "encoders", "terms"])
+
+    got = spark.range(1000).repartition(16).mapInArrow(kept, "pid long, encoders long, terms long").collect()
+    assert not any(r.encoders and r.terms for r in got)
+
+
+def test_encoder_starts_no_threads():
+    """Tasks run side by side, so an encoder has no threads of its own, each of which would hold memory."""
+    code = f"""import os
+from opineflow.llm.packing import encoder
+words = encoder({tokenizer_path("word_bpe_49k.json")!r})
+before = len(os.listdir("/proc/self/task"))
+words.encode([" ".join(f"wört{{i}}er x{{i}}y zw{{i}}, Plain" for i in range(3000))])
+assert len(os.listdir("/proc/self/task")) == before, before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(packing.__file__).parents[2])
+
+
 def test_many_secrets_in_one_text(spark):
     """Spans and redaction of thousands of hits in one text, overlapping ones too, by plain loops."""
     rng = random.Random(12)
